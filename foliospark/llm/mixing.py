@@ -40,7 +40,8 @@ def flight(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.nd
     rows = [(1.0, float(t) / scale) for t in tokens]
     coins = iter(rng.random(len(p) + 8))
     open_: list[int] = []
-    for i in rng.permutation(len(p)):
+    # Large documents first, in random order among equals: what stays open for the landing is then small.
+    for i in np.lexsort((rng.random(len(p)), -tokens)):
         if _EPS < p[i] < 1 - _EPS:
             open_.append(int(i))
         while len(open_) == 3:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import mixing, spans, tokens
+from foliospark.llm import mixing, neighbours, spans, tokens
 from foliospark.session import table
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.neighbour_pairs(neighbours.nearest(table(spark, folder, "vector_results")))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_documents(table(spark, folder, "documents"))
 
@@ -33,6 +37,7 @@ def p8_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
