@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import mixing, neighbours, spans, tokens
+from foliospark.llm import mixing, neighbours, reading, spans, tokens
 from foliospark.session import table
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.same_reading(*(table(spark, folder, x) for x in ("ocr_lines", "domestic_functions", "competition_evidence_links")))
+
+
+def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line and quote in its canonical form."""
+    lines, cited = reading.lines_and_quotes(*(table(spark, folder, x) for x in ("ocr_lines", "domestic_functions", "competition_evidence_links")))
+    return lines.selectExpr("'line' place", "line_id text_id", "box_id", "form", "reading").unionByName(cited.drop("text"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.neighbour_pairs(neighbours.nearest(table(spark, folder, "vector_results")))
 
@@ -37,6 +47,8 @@ def p8_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_forms": p4_forms,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_mixture": p7_mixture,
