@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import mixing, neighbours, reading, spans, tokens
+from foliospark.llm import mixing, neighbours, reading, scans, spans, tokens
 from foliospark.session import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.page_noise(table(spark, folder, "ocr_lines"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return reading.same_reading(*(table(spark, folder, x) for x in ("ocr_lines", "domestic_functions", "competition_evidence_links")))
 
@@ -47,6 +51,7 @@ def p8_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
     "p5_found": p5_found,
