@@ -8,16 +8,15 @@ spelling. Tokens that reach none are brought to one form by table.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliospark.session import checkpoint
 
@@ -64,7 +63,8 @@ VOCABULARY_WORDS = 50_000
 def table() -> dict[int, str | None]:
     """Character (after canonical decomposition) to what it reads as; none for what can't be seen."""
     out: dict[int, str | None] = {}
-    for code in range(sys.maxunicode + 1):
+    # Ideographs have canonical mappings only, which decomposition applies before this table.
+    for code in (*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x20000), *range(0xE0000, 0xE0200)):
         c = chr(code)
         kind = unicodedata.category(c)
         if kind == "Cs" or kind == "Cn":
@@ -106,50 +106,56 @@ def reading(text: str | None) -> str | None:
 
 
 class Trie:
-    """Spellings by their characters; a node is [children, spelling, weight]."""
+    """Spellings by their characters.
+
+    A node is [edges by the first character that they read as, edges that can't be seen, spelling, weight]; an edge is
+    what it reads as and the node behind it.
+    """
 
     def __init__(self, words: dict[str, int]):
-        self.root: list = [{}, None, -1]
+        self.root, map_ = [{}, [], None, -1], table()
+        by_letter: dict[int, dict[str, list]] = {}
         for word, weight in words.items():
             node = self.root
             for c in unicodedata.normalize("NFD", word):
-                node = node[0].setdefault(c, [{}, None, -1])
-            if weight > node[2]:
-                node[1:] = [word, weight]
-
-    def canonical(self, token: str) -> str | None:
-        """The heaviest spelling that the zero-cost automaton reaches from ``token``; ties: the least spelling.
-
-        A state is a node and what is still to be read. The automaton may follow an edge whose character reads as the
-        next ones do, pass an edge that can't be seen, and skip what can't be seen in the token.
+                own = by_letter.setdefault(id(node), {})
+                if c not in own:
+                    own[c] = child = [{}, [], None, -1]
+                    if as_read := map_.get(ord(c), c):
+                        node[0].setdefault(as_read[0], []).append((as_read, child))
+                    else:
+                        node[1].append(child)
+                node = own[c]
+            if weight > node[3]:
+                node[2:] = [word, weight]
+
+    def canonical(self, read: str) -> str | None:
+        """The heaviest spelling that the zero-cost automaton reaches for a token that reads so; ties: the least one.
+
+        A state is a node and the place in the reading. The automaton follows edges that read as what comes next, and
+        passes those that can't be seen. What costs (any other letter) is never followed, the budget being zero.
         """
-        map_ = table()
-        read = reading(token)
-        states, seen, best = [(self.root, unicodedata.normalize("NFD", read or ""))], set(), None
+        read = unicodedata.normalize("NFD", read)
+        states, best = [(self.root, 0)], None
         while states:
-            node, rest = states.pop()
-            if (id(node), len(rest)) in seen:
-                continue
-            seen.add((id(node), len(rest)))
-            if not rest and node[1] is not None and (best is None or (node[2], best[1]) > (best[0], node[1])):
-                best = (node[2], node[1])
-            for c, child in node[0].items():
-                as_read = map_.get(ord(c), c)
-                if not as_read:
-                    states.append((child, rest))
-                elif rest.startswith(as_read):
-                    states.append((child, rest[len(as_read) :]))
+            node, at = states.pop()
+            if at == len(read):
+                if node[2] is not None and (best is None or (node[3], best[1]) > (best[0], node[2])):
+                    best = (node[3], node[2])
+            else:
+                states += [(child, at + len(as_read)) for as_read, child in node[0].get(read[at], ()) if read.startswith(as_read, at)]
+            states += [(child, at) for child in node[1]]
         return best[1] if best else None
 
 
-#: Words, with the marks and invisible characters in them; Han, kana and Thai text has no words and goes by table.
-_TOKEN = regex.compile(r"[\p{L}\p{M}\p{Cf}\p{N}'’-]+")
+#: Words of scripts that look like one another, with the marks and invisible characters in them, and all that is between.
+_TOKEN = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{Devanagari}\p{M}\p{Cf}]+|[^\p{Latin}\p{Cyrillic}\p{Greek}\p{Devanagari}\p{M}\p{Cf}]+")
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) of the column ``text``: spellings as they are."""
-    words = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}\p{Cf}][\p{L}\p{M}\p{Cf}'’-]*)"), F.lit(1))
-    return texts.select(F.explode(words).alias("word")).where("word rlike '[\\\\p{IsLatin}\\\\p{IsCyrillic}\\\\p{IsGreek}\\\\p{IsDevanagari}]'").groupBy("word").count().withColumnRenamed("count", "n")
+    words = F.regexp_extract_all("text", F.lit(r"([\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{IsDevanagari}\p{M}\p{Cf}]{2,})"), F.lit(1))
+    return texts.select(F.explode(words).alias("word")).groupBy("word").count().withColumnRenamed("count", "n")
 
 
 class Canonical:
@@ -158,21 +164,22 @@ class Canonical:
     def __init__(self, words: list[tuple[str, int]]):
         self.trie, self.known = Trie(dict(words)), {}
 
-    def _token(self, m) -> str:
-        t = m.group()
+    def _token(self, t: str) -> str:
         to = self.known.get(t)
         if to is None:
             if len(self.known) >= 100_000:
                 self.known.clear()
-            to = self.trie.canonical(t)
-            self.known[t] = to = reading(t) if to is None else to
+            whole = unicodedata.normalize("NFD", t).translate(table())
+            for a, b in _THAI:
+                whole = whole.replace(a, b)
+            to = self.trie.canonical(whole) if whole[:1].isalpha() else None
+            self.known[t] = to = unicodedata.normalize("NFC", whole) if to is None else to
         return to
 
     def __call__(self, text: str | None) -> str | None:
         if text is None:
             return None
-        whole = text if text.isascii() else unicodedata.normalize("NFC", text)
-        return " ".join(_TOKEN.sub(self._token, whole).split())
+        return " ".join("".join([self._token(t) for t in _TOKEN.findall(text)]).split())
 
 
 #: The last vocabulary's forms, kept by a Python worker from one task to the next.
@@ -185,25 +192,26 @@ def canonical_vocabulary(texts: DataFrame, words: int = VOCABULARY_WORDS) -> lis
     return [(r["word"], r["n"]) for r in top.collect()]
 
 
-def canonical_form(spark: SparkSession, text: Column, vocabulary: list[tuple[str, int]]) -> Column:
-    """STRUCT<form, reading>: ``text`` in canonical spellings, and the key by which forms are compared and searched.
+def canonical_forms(df: DataFrame, vocabulary: list[tuple[str, int]]) -> DataFrame:
+    """``df`` with form, its column ``text`` in canonical spellings, and reading, the key by which forms are compared
+    and searched. Each row passes through Python once.
 
     The key is the same for texts that read the same, whatever the vocabulary. Null stays null, an empty or invisible
     text gives empty ones.
     """
-    shared, key = spark.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
+    shared, key = df.sparkSession.sparkContext.broadcast(vocabulary), str(hash(tuple(vocabulary)))
 
-    @F.pandas_udf("form string, reading string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if key not in _made:
             _made.clear()
             _made[key] = Canonical(shared.value)
         form = _made[key]
-        for s in batches:
-            forms = [form(x) for x in s]
-            yield pd.DataFrame({"form": forms, "reading": [reading(x) for x in forms]}, dtype=object)
+        for b in batches:
+            forms = [form(x) for x in b["text"]]
+            yield b.assign(form=forms, reading=[reading(x) for x in forms])
 
-    return run(text)
+    fields = T.StructType([*df.schema.fields, T.StructField("form", T.StringType()), T.StructField("reading", T.StringType())])
+    return df.mapInPandas(run, fields)
 
 
 def quotes(functions: DataFrame, links: DataFrame) -> DataFrame:
@@ -220,16 +228,15 @@ def quotes(functions: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def lines_and_quotes(lines: DataFrame, functions: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines and quotes, each with its canonical form."""
-    spark = lines.sparkSession
-    rows = lines.where("line_id is not null").select("line_id", "box_id", "text").dropDuplicates(["line_id"])
-    cited = quotes(functions, links)
-    vocabulary = canonical_vocabulary(rows.select("text").unionByName(cited.select("text")))
+    """Lines and quotes, each with its canonical form. Of lines with the same line_id and text one stays."""
+    rows = lines.where("line_id is not null").select("line_id", "box_id", "text").distinct()
+    return _formed(lines, rows, quotes(functions, links))
 
-    def formed(df: DataFrame) -> DataFrame:
-        return df.withColumn("c", canonical_form(spark, F.col("text"), vocabulary)).select(*df.columns, "c.*")
 
-    return formed(rows), formed(cited)
+def _formed(lines: DataFrame, *parts: DataFrame) -> tuple[DataFrame, ...]:
+    """``parts`` with the canonical form of their text; the vocabulary is that of all lines and of the last part."""
+    vocabulary = canonical_vocabulary(lines.select("text").unionByName(parts[-1].select("text")))
+    return tuple(canonical_forms(df, vocabulary) for df in parts)
 
 
 def same_reading(lines: DataFrame, functions: DataFrame, links: DataFrame) -> DataFrame:
@@ -238,8 +245,18 @@ def same_reading(lines: DataFrame, functions: DataFrame, links: DataFrame) -> Da
     place function and draft: a quote and a line of the box that it cites, the quote reading as a part of the line
     without being contained in it. place line: two lines of a box. Null boxes match nothing, nor do null texts or texts
     in which nothing can be seen. White space at the ends, and how much of it there is, does not count.
+
+    Boxes without quote whose lines are all spelled alike have no pairs and leave before any text is read: what a box
+    has is aggregated by hashes, so that a box of many lines costs a row a task.
     """
-    rows, cited = lines_and_quotes(lines, functions, links)
+    rows = lines.where("line_id is not null and box_id is not null and text is not null").select("line_id", "box_id", "text")
+    cited = checkpoint(quotes(functions, links))
+    box = F.xxhash64("box_id").alias("box")
+    several = (
+        rows.select(box, F.xxhash64("text").alias("t")).groupBy("box").agg(F.min("t").alias("x"), F.max("t").alias("y")).where("x <> y").select("box")
+    )
+    asked = checkpoint(several.unionByName(cited.select(box)).distinct())
+    rows, cited = _formed(lines, rows.withColumn("box", box).join(asked, "box", "left_semi").drop("box"), cited)
     rows = checkpoint(rows.where("reading <> ''").drop("form"))
     in_line = (
         cited.where("reading <> ''")
@@ -248,11 +265,10 @@ def same_reading(lines: DataFrame, functions: DataFrame, links: DataFrame) -> Da
         .where(F.contains("reading", "part") & ~F.contains("text", "quote"))
         .select("place", "text_id", "line_id")
     )
-    # Lines that read the same meet by what they read, not by their box: a box of many lines is no hot key. Only groups
-    # with several spellings go on.
+    # Lines of a box meet by what they read: a box of many lines is no hot key. Only groups of several spellings go on.
     key = ["box_id", "reading"]
-    several = rows.groupBy(*key).agg(F.min("text").alias("x"), F.max("text").alias("y")).where("x <> y").select(*key)
-    some = rows.join(several, key, "left_semi")
+    pairs_of = rows.groupBy(*key).agg(F.min("text").alias("x"), F.max("text").alias("y")).where("x <> y").select(*key)
+    some = rows.join(pairs_of, key, "left_semi")
     a, b = (some.select(*key, F.col("line_id").alias(f"{x}_id"), F.col("text").alias(f"{x}_text")) for x in "ab")
     pairs = a.join(b, key).where("a_id < b_id and a_text <> b_text").select(F.lit("line").alias("place"), F.col("a_id").alias("text_id"), F.col("b_id").alias("line_id"))
     return in_line.unionByName(pairs).distinct()
