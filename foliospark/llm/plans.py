@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import mixing, neighbours, reading, scans, spans, tokens
+from foliospark.llm import mixing, neighbours, reading, scans, sentences, spans, tokens
 from foliospark.session import table
 
 
@@ -12,6 +12,21 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return scans.page_noise(table(spark, folder, "ocr_lines"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentences(table(spark, folder, "ocr_results")).select("result_id", "end_char").distinct()
+
+
+def p2_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sentence with its place and its text."""
+    results = table(spark, folder, "ocr_results")
+    texts = results.select("result_id", "raw_text").dropDuplicates(["result_id"])
+    return (
+        sentences.sentences(results)
+        .join(texts, "result_id")
+        .selectExpr("result_id", "no", "start_char", "end_char", "substring(raw_text, start_char + 1, end_char - start_char) sentence")
+    )
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return reading.same_reading(*(table(spark, folder, x) for x in ("ocr_lines", "domestic_functions", "competition_evidence_links")))
 
@@ -52,6 +67,8 @@ def p8_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_sentences": p2_sentences,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
     "p5_found": p5_found,
