@@ -8,6 +8,7 @@ word, and its neighbours on both sides are the context.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -15,13 +16,13 @@ from math import log
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm.confusions import PAIR, confusion_distance, partners
 from foliospark.llm.reading import reading
-from foliospark.session import bounded_broadcast, checkpoint
+from foliospark.session import bounded_broadcast, checkpoint, written
 
 #: A running title stands on at least this share of its source's pages, and on TITLE_PAGES.
 TITLE_SHARE, TITLE_PAGES = 0.08, 3
@@ -31,16 +32,21 @@ KNOWN = 4
 RATIO = 6
 #: Logarithmic evidence that makes a word, or a character of a dense script, misread.
 WORD_EVIDENCE, CHAR_EVIDENCE = 1.2, 3.0
+#: Words with candidates that are sent to all workers, at most.
+SENT_WORDS = 500_000
 #: Pairs of neighbouring characters of dense scripts that are sent to all workers: those seen twice, the most frequent.
 CHAR_PAIRS = 2_000_000
 
 # Signs of a word that goes on in the next line.
 BREAK_MARKS = "-‐‑‒=¬­"
+_MARK_SET = frozenset(BREAK_MARKS)
+_BEFORE_MARK = regex.compile(r"[\p{L}\p{M}\p{Nd}]\p{Cf}*$")
 
 _SPACED = r"\p{Latin}\p{Cyrillic}\p{Greek}\p{Devanagari}"
 _DENSE = r"\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}"
 _IS_SPACED, _IS_DENSE = regex.compile(f"[{_SPACED}]"), regex.compile(f"[{_DENSE}]")
-_WORD = regex.compile(rf"(?:(?![{_DENSE}])[\p{{L}}\p{{M}}\p{{Nd}}])+")
+_WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
 _INVISIBLE_END = regex.compile(r"[\s\p{Zs}\p{Cf}--­]+$", regex.V1)
 # Signs around a page number: dashes, bars and points, or a pair of brackets; commas and single brackets are body text.
 _AROUND = regex.compile(r"^[\s\p{Pd}|·•*~=_]*(?:\[(.*)\]|〔(.*)〕|\((.*)\)|［(.*)］|【(.*)】|([^\[\]〔〕()（）,;:，；：]*?))[\s\p{Pd}|·•*~=_.。]*$")
@@ -54,7 +60,10 @@ _NUMBER = regex.compile(
 )
 _ROMAN = regex.compile(r"^(?=.)m{0,4}(?:cm|cd|d?c{0,5})(?:xc|xl|l?x{0,5})(?:ix|iv|v?i{0,5})$")
 _ROMAN_VALUES = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
-_FINAL = regex.compile(r"[.!?…。！？,;:、，；：।”»」“)]\s*$")
+_FINAL = frozenset(".!?…。,;:、”»」“)")
+#: Longest line, in characters, that is tried as a page number, and as a running title.
+NUMBER_CHARS, TITLE_CHARS = 24, 80
+_NUMBER_WORD = regex.compile(rf"[\p{{Nd}}lIiOoSsBbZzGgqTtvxcdm|{_CJK_DIGITS}人入土士于第弟丁葉頁页]+$")
 
 
 def roman(word: str) -> int:
@@ -79,25 +88,37 @@ def is_number(read: str) -> bool:
 
 def title_key(read: str) -> str:
     """What a running title has in common on all pages: without numbers, signs and case."""
-    words = [w for w in regex.sub(r"[\p{P}|]+", " ", read.casefold()).split()]
-    while len(words) > 1 and is_number(words[-1]):
+    words = regex.sub(r"[\p{P}|]+", " ", read.casefold()).split()
+    while len(words) > 1 and _NUMBER_WORD.match(words[-1]) and is_number(words[-1]):
         words.pop()
-    while len(words) > 1 and is_number(words[0]):
+    while len(words) > 1 and _NUMBER_WORD.match(words[0]) and is_number(words[0]):
         words.pop(0)
     return " ".join(words)
 
 
+def _kind(read: str) -> str:
+    """Whether most letters are of scripts with spaces between words, or of dense ones."""
+    if read.isascii():
+        return "spaced" if any(c.isalpha() for c in read) else "none"
+    dense = len(_IS_DENSE.findall(read))
+    if not dense:
+        return "spaced" if _IS_SPACED.search(read) else "none"
+    return "spaced" if len(_IS_SPACED.findall(read)) >= dense else "dense"
+
+
 def _analyse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
         for text in b["text"]:
-            raw = _INVISIBLE_END.sub("", text)
-            marked = raw[-1:] in BREAK_MARKS and bool(raw) and bool(regex.search(r"[\p{L}\p{M}\p{Nd}]$", reading(raw[:-1])))
+            raw = text.rstrip()
+            if not raw.isascii():
+                raw = _INVISIBLE_END.sub("", raw)
+            marked = raw[-1:] in _MARK_SET and bool(_BEFORE_MARK.search(raw[-8:-1]))
             read = reading(raw[:-1] if marked else raw)
-            number = is_number(read) and not marked
-            spaced, dense = len(_IS_SPACED.findall(read)), len(_IS_DENSE.findall(read))
-            kind = "spaced" if spaced and spaced >= dense else "dense" if dense else "none"
-            out.append((read, marked, kind, number, "" if number else title_key(read), bool(_FINAL.search(read))))
+            number = len(read) <= NUMBER_CHARS and not marked and is_number(read)
+            final = read[-1:] in _FINAL
+            title = title_key(read) if not number and not marked and not final and len(read) <= TITLE_CHARS else ""
+            out.append((read, marked, _kind(read), number, title, final))
         yield pd.concat(
             [
                 b[["line_id", "result_id", "source_id", "page_id", "reading_order"]].reset_index(drop=True),
@@ -114,11 +135,10 @@ _ANALYSED = (
 
 
 def analysed(lines: DataFrame) -> DataFrame:
-    """What each line is by itself; a line sent twice counts once, null and invisible texts are left out."""
+    """What each line is by itself; null and invisible texts are left out."""
     return (
         lines.where("line_id is not null and text is not null")
         .select("line_id", "result_id", "source_id", "page_id", "reading_order", "text")
-        .dropDuplicates(["line_id"])
         .mapInPandas(_analyse, _ANALYSED)
         .where("read <> '' or marked")
     )
@@ -174,107 +194,123 @@ def is_title(key: str, titles: list[str], edge: bool, final: bool) -> bool:
     return False
 
 
-@F.pandas_udf(T.BooleanType())
-def _is_title(key: pd.Series, titles: pd.Series, edge: pd.Series, final: pd.Series) -> pd.Series:
-    return pd.Series([t is not None and is_title(k, list(t), bool(e), bool(f)) for k, t, e, f in zip(key, titles, edge, final, strict=True)])
+def _title_test(t: Column) -> Column:
+    """is_title over columns title, edge and final, without leaving the JVM."""
+    title = F.col("title")
+    size, most = F.length(title), F.greatest(F.lit(1), F.floor(F.length(t) / 5).cast("int"))
+    near = (F.abs(size - F.length(t)) <= most) & (F.levenshtein(title, t) <= most)
+    head = F.substring(t, F.lit(1), size)
+    whole = (F.substring(t, size + 1, F.lit(1)) == " ") | t.rlike("[^\\x00-\\x7F]")
+    begins = (size < F.length(t)) & whole & (F.col("edge") | F.contains(title, F.lit(" ")))
+    return near | (begins & ((title == head) | ((size >= 6) & (F.levenshtein(title, head) <= 1))))
 
 
 def classified(lines: DataFrame) -> DataFrame:
-    """Analysed lines with ``head``: whether the line is a running title. Written once, read by all that follows."""
-    rows = checkpoint(analysed(lines))
+    """Each line once, with ``head`` and ``number``, and for body lines what stands next to them on the page, titles and
+    numbers left out. Texts are shuffled once, by page; the result is written."""
+    rows = written(analysed(lines))
     titles = bounded_broadcast(checkpoint(running_titles(rows)))
+    order = Window.partitionBy("result_id").orderBy("reading_order", "line_id")
     page = Window.partitionBy("result_id")
-    edges = rows.withColumn(
-        "edge", (F.col("reading_order") == F.min("reading_order").over(page)) | (F.col("reading_order") == F.max("reading_order").over(page))
+    once = rows.withColumn("again", F.lag("line_id").over(order)).where(~F.col("line_id").eqNullSafe(F.col("again"))).drop("again")
+    edge = (F.col("reading_order") == F.min("reading_order").over(page)) | (F.col("reading_order") == F.max("reading_order").over(page))
+    flagged = (
+        once.withColumn("edge", edge)
+        .join(titles, "source_id", "left")
+        .withColumn("head", ~F.col("number") & (F.length("title") >= 2) & F.coalesce(F.exists("titles", _title_test), F.lit(False)))
+        .withColumn("body", F.when(~F.col("head") & ~F.col("number"), F.struct("line_id", "read", "marked")))
     )
-    return (
-        edges.join(titles, "source_id", "left")
-        .withColumn("head", ~F.col("number") & F.coalesce(_is_title("title", "titles", "edge", "final"), F.lit(False)))
-        .drop("titles", "title")
+    beside = flagged.withColumns(
+        {x: F.expr(f"{y}(body) ignore nulls over (partition by result_id order by reading_order, line_id)") for x, y in (("next", "lead"), ("last", "lag"))}
     )
-
-
-def body_lines(rows: DataFrame) -> DataFrame:
-    """Body lines with what stands before and behind them on the page, titles and numbers left out."""
-    page = Window.partitionBy("result_id").orderBy("reading_order", "line_id")
-    return rows.where("not head and not number").select(
-        "line_id",
-        "result_id",
-        "source_id",
-        "read",
-        "marked",
-        "kind",
-        "final",
-        F.lead("line_id").over(page).alias("next_id"),
-        F.lead("read").over(page).alias("next_read"),
-        F.lag("marked").over(page).alias("was_marked"),
-        F.lag("read").over(page).alias("last_read"),
+    dense = F.col("kind") == "dense"
+    return written(
+        beside.select(
+            "line_id",
+            "head",
+            "number",
+            "kind",
+            "read",
+            "marked",
+            "final",
+            F.col("next.line_id").alias("next_id"),
+            F.when(dense, F.left("next.read", F.lit(1))).otherwise(F.regexp_extract("next.read", r"^[\p{L}\p{M}\p{Nd}]+", 0)).alias("next_first"),
+            F.coalesce("last.marked", F.lit(False)).alias("was_marked"),
+            F.when(dense, F.right("last.read", F.lit(1))).alias("last_char"),
+        )
     )
 
 
-def _first(read: str | None) -> str:
-    """The word with which a line begins, if it begins with one."""
-    m = _WORD.match(read or "")
-    return m.group().casefold() if m and _countable(m.group()) else ""
-
-
-def words_of(read: str, marked: bool, next_read: str | None, was_marked: bool | None) -> list[tuple[str, int]]:
+def words_of(read: str, marked: bool, next_first: str | None, was_marked: bool) -> list[tuple[str, int]]:
     """(word, cut) of a line: a word broken at its end is whole, cut being the length of what stands in this line (else
-    0); the rest of the line before is left out."""
-    found = [m.group().casefold() for m in _WORD.finditer(read)]
-    if was_marked and found and _first(read):
+    0); the rest of one that the line before began is left out."""
+    if read.isascii():
+        found = _ASCII_WORD.findall(read.lower())
+    else:
+        found = _WORD.findall(read.casefold())
+    if was_marked and found and read[:1].isalnum() and _countable(found[0]):
         found = found[1:]
     out = [(w, 0) for w in found]
-    if marked and out and (rest := _first(next_read)):
-        out[-1] = (out[-1][0] + rest, len(out[-1][0]))
+    if marked and out and next_first and _countable(next_first):
+        out[-1] = (out[-1][0] + next_first.casefold(), len(out[-1][0]))
     return out
 
 
 def _countable(w: str) -> bool:
-    return any(c.isalpha() for c in w)
+    return not w.isdigit() and any(c.isalpha() for c in w)
+
+
+#: Different keys that a Python worker counts before it hands them on.
+_COUNTED = 400_000
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of words (kind w), of words inside a line (i), of neighbours (b), of characters' neighbours (c)."""
+    counts: dict[str, Counter] = {x: Counter() for x in "wibc"}
+
+    def rows() -> pd.DataFrame:
+        out = pd.concat([pd.DataFrame({"what": k, "key": list(c), "n": list(c.values())}) for k, c in counts.items()])
+        for c in counts.values():
+            c.clear()
+        return out
+
+    w, i, n, c = (counts[x] for x in "wibc")
     for b in batches:
-        counts: Counter = Counter()
-        for read, marked, kind, nxt, was, last in zip(b["read"], b["marked"], b["kind"], b["next_read"], b["was_marked"], b["last_read"], strict=True):
+        for read, marked, kind, nxt, was, last in zip(b["read"], b["marked"], b["kind"], b["next_first"], b["was_marked"], b["last_char"], strict=True):
             if kind == "dense":
-                counts.update(("c", x) for x in _char_pairs(_with_edges(read, last, nxt)[0]))
+                c.update(_char_pairs(_with_edges(read, last, nxt)[0]))
             elif kind == "spaced":
-                words = [w for w, _ in words_of(read, marked, nxt, was)]
-                counts.update(("w", w) for w in words if _countable(w))
-                counts.update(("i", w) for w in words[1 : None if marked else -1])
-                counts.update(("b", f"{x} {y}") for x, y in zip(words, words[1:], strict=False))
-        keys = list(counts)
-        yield pd.DataFrame({"what": [k[0] for k in keys], "key": [k[1] for k in keys], "n": [counts[k] for k in keys]})
+                words = [x for x, _ in words_of(read, marked, nxt, was)]
+                w.update(words)
+                i.update(words[1 : None if marked else -1])
+                n.update([f"{x} {y}" for x, y in zip(words, words[1:], strict=False)])
+        if sum(map(len, counts.values())) > _COUNTED:
+            yield rows()
+    yield rows()
+
+
+_DIGIT = regex.compile(r"\p{Nd}")
 
 
 def _with_edges(read: str, last: str | None, nxt: str | None) -> tuple[str, int]:
-    """A dense line between the characters before and behind it, digits alike, spaces left out between dense letters."""
-    text = regex.sub(r"\p{Nd}", "0", read)
-    before, behind = (last or "")[-1:] or "^", (nxt or "")[:1] or "$"
-    return before + text + behind, 1
+    """A dense line between the characters before and behind it, digits alike."""
+    return (last or "^") + _DIGIT.sub("0", read) + (nxt or "$"), 1
 
 
 def _char_pairs(text: str) -> list[str]:
     return [text[i : i + 2] for i in range(len(text) - 1)]
 
 
-def _deletes(words: pd.Series) -> list[list[str]]:
-    """The word, and what is left of it without a letter or without two that follow each other."""
-    out = []
-    for w in words:
-        keys = {w} | {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + w[i + 2 :] for i in range(len(w) - 1)}
-        out.append([k for k in keys if k])
-    return out
+def _delete_index(words: DataFrame) -> DataFrame:
+    """(key, word, n): the word, and what is left of it without a letter or without two that follow each other."""
+    size = F.length("word")
+    at = F.sequence(F.lit(1), size)
 
+    def without(k: int) -> Column:
+        return F.transform(at, lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + k, size)))
 
-def _delete_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        keys = _deletes(b["word"])
-        again = [len(k) for k in keys]
-        yield pd.DataFrame({"key": [x for k in keys for x in k], "word": b["word"].repeat(again).to_numpy(), "n": b["n"].repeat(again).to_numpy()})
+    keys = F.array_distinct(F.concat(F.array("word"), without(1), without(2)))
+    return words.select(F.explode(keys).alias("key"), "word", "n").where("key <> ''")
 
 
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,33 +326,38 @@ def corrections(words: DataFrame, known: int = KNOWN, ratio: float = RATIO) -> D
     ``words``: word, n, inside. Candidates are words seen inside lines ``known`` times or more, without digits, and
     ``ratio`` times as often as the word.
     """
-    lexicon = words.where((F.col("inside") >= known) & ~F.col("word").rlike("\\p{Nd}")).select("word", "n")
+    lexicon = words.where((F.col("inside") >= known) & (F.col("n") >= ratio) & ~F.col("word").rlike("\\p{Nd}")).select("word", "n")
     size = F.length("word")
     read = words.where((size >= 2) & ~F.col("word").rlike("^\\p{Nd}+$")).select("word", "n")
-    index = lexicon.mapInPandas(_delete_keys, "key string, word string, n long").select("key", F.col("word").alias("meant"), F.col("n").alias("n_meant"))
-    asked = read.mapInPandas(_delete_keys, "key string, word string, n long")
+    index = _delete_index(lexicon).select("key", F.col("word").alias("meant"), F.col("n").alias("n_meant"))
+    asked = _delete_index(read)
     pairs = asked.join(index, "key").where((F.col("n_meant") >= ratio * F.col("n")) & (F.col("word") != F.col("meant"))).drop("key").distinct()
     measured = pairs.mapInPandas(_measure, "word string, n long, meant string, n_meant long, cost double")
     best = Window.partitionBy("word").orderBy(F.col("cost") - F.log("n_meant") * 0.1, "meant")
     return measured.withColumn("rank", F.row_number().over(best)).where("rank <= 3").drop("rank")
 
 
-def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words of spaced lines, each between its neighbours."""
-    for b in batches:
-        out = []
-        for line, nxt_id, read, marked, nxt, was in zip(b["line_id"], b["next_id"], b["read"], b["marked"], b["next_read"], b["was_marked"], strict=True):
-            words = words_of(read, marked, nxt, was)
-            for k, (w, cut) in enumerate(words):
-                if len(w) >= 2 and _countable(w):
-                    out.append((line, int(nxt_id) if cut else -1, w, cut, words[k - 1][0] if k else "", words[k + 1][0] if k + 1 < len(words) else ""))
-        yield pd.DataFrame(out, columns=["line_id", "next_id", "word", "cut", "before", "behind"])
+def _occurrences(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Words of spaced lines that have candidates, each between its neighbours."""
+        wanted = None if shared is None else shared.value
+        for b in batches:
+            out = []
+            for line, nxt_id, read, marked, nxt, was in zip(b["line_id"], b["next_id"], b["read"], b["marked"], b["next_first"], b["was_marked"], strict=True):
+                words = words_of(read, marked, nxt, was)
+                for k, (w, cut) in enumerate(words):
+                    if (w in wanted) if wanted is not None else len(w) >= 2:
+                        out.append((line, int(nxt_id) if cut else -1, w, cut, words[k - 1][0] if k else "", words[k + 1][0] if k + 1 < len(words) else ""))
+            yield pd.DataFrame(out, columns=["line_id", "next_id", "word", "cut", "before", "behind"])
+
+    return run
 
 
 def _counts(body: DataFrame) -> DataFrame:
-    """(what, key, n) over all body lines, written once."""
-    rows = body.select("read", "marked", "kind", "next_read", "was_marked", "last_read")
-    return checkpoint(rows.mapInPandas(_count_words, "what string, key string, n long").groupBy("what", "key").agg(F.sum("n").alias("n")))
+    """(what, key, n) over all body lines, written once. Pairs seen once say nothing and are left out."""
+    rows = body.where("kind <> 'none'").select("read", "marked", "kind", "next_first", "was_marked", "last_char")
+    sums = rows.mapInPandas(_count_words, "what string, key string, n long").groupBy("what", "key").agg(F.sum("n").alias("n"))
+    return written(sums.where("what in ('w', 'i') or n > 1"))
 
 
 def _word_table(counts: DataFrame) -> DataFrame:
@@ -324,17 +365,21 @@ def _word_table(counts: DataFrame) -> DataFrame:
         counts.where("what in ('w', 'i')")
         .groupBy(F.col("key").alias("word"))
         .agg(F.sum(F.when(F.col("what") == "w", F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("what") == "i", F.col("n")).otherwise(0)).alias("inside"))
-        .where("n > 0")
+        .where(F.col("word").rlike("\\p{L}"))
     )
 
 
 def misread_words(body: DataFrame, counts: DataFrame, words: DataFrame, evidence: float = WORD_EVIDENCE) -> DataFrame:
     """(line_id, read, meant): words of spaced scripts that stand for others."""
     found = checkpoint(corrections(words))
+    # Words that have candidates are few; where they aren't, all words leave Python for the join.
+    asked = found.select("word").distinct()
+    few = asked.limit(SENT_WORDS + 1).count() <= SENT_WORDS
+    shared = body.sparkSession.sparkContext.broadcast({r["word"] for r in asked.toLocalIterator()}) if few else None
     uses = (
         body.where("kind = 'spaced'")
-        .select("line_id", "next_id", "read", "marked", "next_read", "was_marked")
-        .mapInPandas(_occurrences, "line_id long, next_id long, word string, cut int, before string, behind string")
+        .select("line_id", "next_id", "read", "marked", "next_first", "was_marked")
+        .mapInPandas(_occurrences(shared), "line_id long, next_id long, word string, cut int, before string, behind string")
         .join(bounded_broadcast(found), "word")
     )
     uses = checkpoint(uses.withColumn("use", F.monotonically_increasing_id()))
@@ -394,6 +439,7 @@ _pairs_of: dict[str, dict[str, int]] = {}
 
 def _judge_chars(shared, key: str, evidence: float):
     swap = {c: [x for x in others if _IS_DENSE.match(x)] for c, others in partners().items() if _IS_DENSE.match(c)}
+    may = re.compile("[" + "".join(swap) + "]")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if key not in _pairs_of:
@@ -402,10 +448,11 @@ def _judge_chars(shared, key: str, evidence: float):
         n = _pairs_of[key].get
         for b in batches:
             out = []
-            for line, read, last, nxt in zip(b["line_id"], b["read"], b["last_read"], b["next_read"], strict=True):
+            for line, read, last, nxt in zip(b["line_id"], b["read"], b["last_char"], b["next_first"], strict=True):
                 text, first = _with_edges(read, last, nxt)
-                for i in range(first, len(text) - 1):
-                    for y in swap.get(text[i], ()):
+                for m in may.finditer(text, first, len(text) - 1):
+                    i = m.start()
+                    for y in swap[text[i]]:
                         left, x, right = text[i - 1], text[i], text[i + 1]
                         had = log(max(n(left + x, 0) - 1, 0) + 0.5) + log(max(n(x + right, 0) - 1, 0) + 0.5)
                         score = log(n(left + y, 0) + 0.5) + log(n(y + right, 0) + 0.5) - had
@@ -422,7 +469,7 @@ def misread_characters(body: DataFrame, counts: DataFrame, evidence: float = CHA
     spark = body.sparkSession
     top = counts.where("what = 'c' and n >= 2").orderBy(F.desc("n"), "key").limit(CHAR_PAIRS).select("key", "n")
     shared = spark.sparkContext.broadcast({r["key"]: r["n"] for r in top.toLocalIterator()})
-    rows = body.where("kind = 'dense'").select("line_id", "read", "last_read", "next_read")
+    rows = body.where("kind = 'dense'").select("line_id", "read", "last_char", "next_first")
     found = rows.mapInPandas(_judge_chars(shared, uuid.uuid4().hex, evidence), "line_id long, at int, read string, meant string, score double")
     return found
 
@@ -432,7 +479,7 @@ def unmarked_breaks(body: DataFrame, words: DataFrame) -> DataFrame:
     and one of them is hardly a word by itself."""
     lexicon = words.select("word", F.col("inside").alias("n"))
     last = F.lower(F.regexp_extract("read", r"([\p{L}\p{M}]+)$", 1))
-    first = F.lower(F.regexp_extract("next_read", r"^([\p{L}\p{M}]+)", 1))
+    first = F.lower(F.regexp_extract("next_first", r"^([\p{L}\p{M}]+)$", 1))
     ends = (
         body.where("kind = 'spaced' and not marked and not final and next_id is not null")
         .select("line_id", last.alias("a"), first.alias("b"))
@@ -457,11 +504,11 @@ def page_noise(lines: DataFrame) -> DataFrame:
     A line sent twice counts once. Null, empty and invisible texts have no noise. Deleted lines are judged like others.
     A page's body is its result's lines in reading order, ties by line_id.
     """
-    rows = checkpoint(classified(lines))
-    body = checkpoint(body_lines(rows))
+    rows = classified(lines)
+    body = rows.where("not head and not number")
     counts = _counts(body)
     words = checkpoint(_word_table(counts))
-    marked = body.where(F.col("marked") & F.col("next_read").rlike(r"^\p{Nd}?[\p{L}\p{M}]") & (F.col("kind") == "spaced"))
+    marked = body.where(F.col("marked") & F.col("next_first").rlike(r"^\p{Nd}?[\p{L}\p{M}]") & (F.col("kind") == "spaced"))
 
     def of(df: DataFrame, noise: str) -> DataFrame:
         return df.select("line_id", F.lit(noise).alias("noise"))
