@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliospark.plans import references
+from foliospark.plans import catalogue, references
 
-MODULES = [references]
+MODULES = [references, catalogue]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
