@@ -9,6 +9,7 @@ word, and its neighbours on both sides are the context.
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -44,6 +45,7 @@ _BEFORE_MARK = regex.compile(r"[\p{L}\p{M}\p{Nd}]\p{Cf}*$")
 
 _SPACED = r"\p{Latin}\p{Cyrillic}\p{Greek}\p{Devanagari}"
 _DENSE = r"\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}"
+_LETTER, _DENSE_CHAR = re.compile("[A-Za-z]"), re.compile("[\u0e01-\u0e4f\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0002fa1f]")
 _IS_SPACED, _IS_DENSE = regex.compile(f"[{_SPACED}]"), regex.compile(f"[{_DENSE}]")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
@@ -63,7 +65,9 @@ _ROMAN_VALUES = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000
 _FINAL = frozenset(".!?…。,;:、”»」“)")
 #: Longest line, in characters, that is tried as a page number, and as a running title.
 NUMBER_CHARS, TITLE_CHARS = 24, 80
-_NUMBER_WORD = regex.compile(rf"[\p{{Nd}}lIiOoSsBbZzGgqTtvxcdm|{_CJK_DIGITS}人入土士于第弟丁葉頁页]+$")
+_NUMBER_WORD = re.compile(rf"[\dlIiOoSsBbZzGgqTtvxcdm|{_CJK_DIGITS}人入土士于第弟丁葉頁页]+$")
+#: Signs that part the words of a title.
+_SIGNS = {ord(c): " " for c in map(chr, range(0x10000)) if c == "|" or unicodedata.category(c).startswith("P")}
 
 
 def roman(word: str) -> int:
@@ -88,7 +92,7 @@ def is_number(read: str) -> bool:
 
 def title_key(read: str) -> str:
     """What a running title has in common on all pages: without numbers, signs and case."""
-    words = regex.sub(r"[\p{P}|]+", " ", read.casefold()).split()
+    words = read.casefold().translate(_SIGNS).split()
     while len(words) > 1 and _NUMBER_WORD.match(words[-1]) and is_number(words[-1]):
         words.pop()
     while len(words) > 1 and _NUMBER_WORD.match(words[0]) and is_number(words[0]):
@@ -99,8 +103,8 @@ def title_key(read: str) -> str:
 def _kind(read: str) -> str:
     """Whether most letters are of scripts with spaces between words, or of dense ones."""
     if read.isascii():
-        return "spaced" if any(c.isalpha() for c in read) else "none"
-    dense = len(_IS_DENSE.findall(read))
+        return "spaced" if _LETTER.search(read) else "none"
+    dense = len(_DENSE_CHAR.findall(read))
     if not dense:
         return "spaced" if _IS_SPACED.search(read) else "none"
     return "spaced" if len(_IS_SPACED.findall(read)) >= dense else "dense"
@@ -211,9 +215,8 @@ def classified(lines: DataFrame) -> DataFrame:
     rows = written(analysed(lines))
     titles = bounded_broadcast(checkpoint(running_titles(rows)))
     order = Window.partitionBy("result_id").orderBy("reading_order", "line_id")
-    page = Window.partitionBy("result_id")
     once = rows.withColumn("again", F.lag("line_id").over(order)).where(~F.col("line_id").eqNullSafe(F.col("again"))).drop("again")
-    edge = (F.col("reading_order") == F.min("reading_order").over(page)) | (F.col("reading_order") == F.max("reading_order").over(page))
+    edge = F.lag("line_id").over(order).isNull() | F.lead("line_id").over(order).isNull()
     flagged = (
         once.withColumn("edge", edge)
         .join(titles, "source_id", "left")
@@ -265,8 +268,8 @@ _COUNTED = 400_000
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of words (kind w), of words inside a line (i), of neighbours (b), of characters' neighbours (c)."""
-    counts: dict[str, Counter] = {x: Counter() for x in "wibc"}
+    """Counts of words (kind w), of words at a line's ends (e), of neighbours (b), of characters' neighbours (c)."""
+    counts: dict[str, Counter] = {x: Counter() for x in "webc"}
 
     def rows() -> pd.DataFrame:
         out = pd.concat([pd.DataFrame({"what": k, "key": list(c), "n": list(c.values())}) for k, c in counts.items()])
@@ -274,16 +277,17 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             c.clear()
         return out
 
-    w, i, n, c = (counts[x] for x in "wibc")
+    w, e, n, c = (counts[x] for x in "webc")
     for b in batches:
         for read, marked, kind, nxt, was, last in zip(b["read"], b["marked"], b["kind"], b["next_first"], b["was_marked"], b["last_char"], strict=True):
             if kind == "dense":
                 c.update(_char_pairs(_with_edges(read, last, nxt)[0]))
             elif kind == "spaced":
                 words = [x for x, _ in words_of(read, marked, nxt, was)]
-                w.update(words)
-                i.update(words[1 : None if marked else -1])
-                n.update([f"{x} {y}" for x, y in zip(words, words[1:], strict=False)])
+                if words:
+                    w.update(words)
+                    e.update(words[:1] if marked or len(words) == 1 else (words[0], words[-1]))
+                    n.update([f"{x} {y}" for x, y in zip(words, words[1:], strict=False)])
         if sum(map(len, counts.values())) > _COUNTED:
             yield rows()
     yield rows()
@@ -337,18 +341,42 @@ def corrections(words: DataFrame, known: int = KNOWN, ratio: float = RATIO) -> D
     return measured.withColumn("rank", F.row_number().over(best)).where("rank <= 3").drop("rank")
 
 
-def _occurrences(shared):
+_held: dict[str, object] = {}
+
+_USE = "line_id long, next_id long, word string, meant string, cut int, before string, behind string"
+
+
+def _uses(words, pairs, key: str, evidence: float):
+    """Of spaced lines the words that have candidates, each between its neighbours (``words``: those words, None for all);
+    of dense lines the characters that stand for others (``pairs``: how often characters follow each other)."""
+    swap = {c: [x for x in others if _IS_DENSE.match(x)] for c, others in partners().items() if _IS_DENSE.match(c)}
+    may = re.compile("[" + "".join(swap) + "]")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Words of spaced lines that have candidates, each between its neighbours."""
-        wanted = None if shared is None else shared.value
+        if key not in _held:
+            _held.clear()
+            _held[key] = (None if words is None else words.value, pairs.value)
+        wanted, n = _held[key][0], _held[key][1].get
         for b in batches:
             out = []
-            for line, nxt_id, read, marked, nxt, was in zip(b["line_id"], b["next_id"], b["read"], b["marked"], b["next_first"], b["was_marked"], strict=True):
-                words = words_of(read, marked, nxt, was)
-                for k, (w, cut) in enumerate(words):
+            for line, nxt_id, read, marked, kind, nxt, was, last in zip(
+                *(b[x] for x in ("line_id", "next_id", "read", "marked", "kind", "next_first", "was_marked", "last_char")), strict=True
+            ):
+                if kind == "dense":
+                    text, first = _with_edges(read, last, nxt)
+                    for m in may.finditer(text, first, len(text) - 1):
+                        left, x, right = text[m.start() - 1 : m.start() + 2]
+                        had = log(max(n(left + x, 0) - 1, 0) + 0.5) + log(max(n(x + right, 0) - 1, 0) + 0.5)
+                        for y in swap[x]:
+                            if log(n(left + y, 0) + 0.5) + log(n(y + right, 0) + 0.5) - had >= evidence:
+                                out.append((line, -1, x, y, m.start() - first, left, right))
+                    continue
+                found = words_of(read, marked, nxt, was)
+                for k, (w, cut) in enumerate(found):
                     if (w in wanted) if wanted is not None else len(w) >= 2:
-                        out.append((line, int(nxt_id) if cut else -1, w, cut, words[k - 1][0] if k else "", words[k + 1][0] if k + 1 < len(words) else ""))
-            yield pd.DataFrame(out, columns=["line_id", "next_id", "word", "cut", "before", "behind"])
+                        before, behind = found[k - 1][0] if k else "", found[k + 1][0] if k + 1 < len(found) else ""
+                        out.append((line, int(nxt_id) if cut else -1, w, None, cut, before, behind))
+            yield pd.DataFrame(out, columns=["line_id", "next_id", "word", "meant", "cut", "before", "behind"])
 
     return run
 
@@ -357,31 +385,47 @@ def _counts(body: DataFrame) -> DataFrame:
     """(what, key, n) over all body lines, written once. Pairs seen once say nothing and are left out."""
     rows = body.where("kind <> 'none'").select("read", "marked", "kind", "next_first", "was_marked", "last_char")
     sums = rows.mapInPandas(_count_words, "what string, key string, n long").groupBy("what", "key").agg(F.sum("n").alias("n"))
-    return written(sums.where("what in ('w', 'i') or n > 1"))
+    return written(sums.where("what in ('w', 'e') or n > 1"))
 
 
 def _word_table(counts: DataFrame) -> DataFrame:
+    """(word, n, inside): inside counts the occurrences that do not begin or end a line."""
+
+    def of(what: str) -> Column:
+        return F.sum(F.when(F.col("what") == what, F.col("n")).otherwise(0))
+
     return (
-        counts.where("what in ('w', 'i')")
+        counts.where("what in ('w', 'e')")
         .groupBy(F.col("key").alias("word"))
-        .agg(F.sum(F.when(F.col("what") == "w", F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("what") == "i", F.col("n")).otherwise(0)).alias("inside"))
+        .agg(of("w").alias("n"), (of("w") - of("e")).alias("inside"))
         .where(F.col("word").rlike("\\p{L}"))
     )
 
 
-def misread_words(body: DataFrame, counts: DataFrame, words: DataFrame, evidence: float = WORD_EVIDENCE) -> DataFrame:
-    """(line_id, read, meant): words of spaced scripts that stand for others."""
+def suspects(body: DataFrame, counts: DataFrame, words: DataFrame, evidence: float = CHAR_EVIDENCE) -> tuple[DataFrame, DataFrame]:
+    """One pass over the body: uses of words with candidates, and characters of dense scripts that stand for others (meant
+    is set, cut is the character's place); and the candidates."""
     found = checkpoint(corrections(words))
+    context = body.sparkSession.sparkContext
     # Words that have candidates are few; where they aren't, all words leave Python for the join.
     asked = found.select("word").distinct()
     few = asked.limit(SENT_WORDS + 1).count() <= SENT_WORDS
-    shared = body.sparkSession.sparkContext.broadcast({r["word"] for r in asked.toLocalIterator()}) if few else None
-    uses = (
-        body.where("kind = 'spaced'")
-        .select("line_id", "next_id", "read", "marked", "next_first", "was_marked")
-        .mapInPandas(_occurrences(shared), "line_id long, next_id long, word string, cut int, before string, behind string")
-        .join(bounded_broadcast(found), "word")
-    )
+    shared = context.broadcast({r["word"] for r in asked.toLocalIterator()}) if few else None
+    top = counts.where("what = 'c' and n >= 2").orderBy(F.desc("n"), "key").limit(CHAR_PAIRS).select("key", "n")
+    pairs = context.broadcast({r["key"]: r["n"] for r in top.toLocalIterator()})
+    rows = body.where("kind <> 'none'").select("line_id", "next_id", "read", "marked", "kind", "next_first", "was_marked", "last_char")
+    return written(rows.mapInPandas(_uses(shared, pairs, uuid.uuid4().hex, evidence), _USE)), found
+
+
+def misread_characters(seen: DataFrame) -> DataFrame:
+    """(line_id, at, read, meant): characters of dense scripts that stand for others; at counts characters of the line's
+    reading."""
+    return seen.where("meant is not null").select("line_id", F.col("cut").alias("at"), F.col("word").alias("read"), "meant")
+
+
+def misread_words(seen: DataFrame, found: DataFrame, counts: DataFrame, evidence: float = WORD_EVIDENCE) -> DataFrame:
+    """(line_id, read, meant): words of spaced scripts that stand for others."""
+    uses = seen.where("meant is null").drop("meant").join(bounded_broadcast(found), "word")
     uses = checkpoint(uses.withColumn("use", F.monotonically_increasing_id()))
     pairs = counts.where("what = 'b'").select(F.col("key").alias("pair"), F.col("n").alias("n_pair"))
     sides = uses.select(
@@ -434,46 +478,6 @@ def _place(word: pd.Series, meant: pd.Series, cut: pd.Series, line: pd.Series, n
     return pd.Series(out, dtype="int64")
 
 
-_pairs_of: dict[str, dict[str, int]] = {}
-
-
-def _judge_chars(shared, key: str, evidence: float):
-    swap = {c: [x for x in others if _IS_DENSE.match(x)] for c, others in partners().items() if _IS_DENSE.match(c)}
-    may = re.compile("[" + "".join(swap) + "]")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if key not in _pairs_of:
-            _pairs_of.clear()
-            _pairs_of[key] = shared.value
-        n = _pairs_of[key].get
-        for b in batches:
-            out = []
-            for line, read, last, nxt in zip(b["line_id"], b["read"], b["last_char"], b["next_first"], strict=True):
-                text, first = _with_edges(read, last, nxt)
-                for m in may.finditer(text, first, len(text) - 1):
-                    i = m.start()
-                    for y in swap[text[i]]:
-                        left, x, right = text[i - 1], text[i], text[i + 1]
-                        had = log(max(n(left + x, 0) - 1, 0) + 0.5) + log(max(n(x + right, 0) - 1, 0) + 0.5)
-                        score = log(n(left + y, 0) + 0.5) + log(n(y + right, 0) + 0.5) - had
-                        if score >= evidence:
-                            out.append((line, i - first, x, y, score))
-            yield pd.DataFrame(out, columns=["line_id", "at", "read", "meant", "score"])
-
-    return run
-
-
-def misread_characters(body: DataFrame, counts: DataFrame, evidence: float = CHAR_EVIDENCE) -> DataFrame:
-    """(line_id, at, read, meant, score): characters of dense scripts that stand for others; at counts characters of the
-    line's reading."""
-    spark = body.sparkSession
-    top = counts.where("what = 'c' and n >= 2").orderBy(F.desc("n"), "key").limit(CHAR_PAIRS).select("key", "n")
-    shared = spark.sparkContext.broadcast({r["key"]: r["n"] for r in top.toLocalIterator()})
-    rows = body.where("kind = 'dense'").select("line_id", "read", "last_char", "next_first")
-    found = rows.mapInPandas(_judge_chars(shared, uuid.uuid4().hex, evidence), "line_id long, at int, read string, meant string, score double")
-    return found
-
-
 def unmarked_breaks(body: DataFrame, words: DataFrame) -> DataFrame:
     """line_id of lines whose last word goes on in the next line without a mark: together the parts are a known word,
     and one of them is hardly a word by itself."""
@@ -508,17 +512,20 @@ def page_noise(lines: DataFrame) -> DataFrame:
     body = rows.where("not head and not number")
     counts = _counts(body)
     words = checkpoint(_word_table(counts))
-    marked = body.where(F.col("marked") & F.col("next_first").rlike(r"^\p{Nd}?[\p{L}\p{M}]") & (F.col("kind") == "spaced"))
+
+    seen, found = suspects(body, counts, words)
+    starts = F.col("next_first").rlike(r"^\p{Nd}?[\p{L}\p{M}]")
+    is_break = ~F.col("head") & ~F.col("number") & F.col("marked") & (F.col("kind") == "spaced") & starts
+    flags = F.array(F.when(F.col("head"), "head"), F.when(F.col("number"), "number"), F.when(is_break, "break"))
 
     def of(df: DataFrame, noise: str) -> DataFrame:
         return df.select("line_id", F.lit(noise).alias("noise"))
 
     return (
-        of(rows.where("head"), "head")
-        .unionByName(of(rows.where("number"), "number"))
-        .unionByName(of(marked, "break"))
+        rows.where("head or number or marked")
+        .select("line_id", F.explode(F.array_compact(flags)).alias("noise"))
         .unionByName(of(unmarked_breaks(body, words), "break"))
-        .unionByName(of(misread_words(body, counts, words), "misread"))
-        .unionByName(of(misread_characters(body, counts), "misread"))
+        .unionByName(of(misread_words(seen, found, counts), "misread"))
+        .unionByName(of(misread_characters(seen), "misread"))
         .distinct()
     )
