@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliospark.plans import catalogue, references
+from foliospark.plans import catalogue, lexical, references
 
-MODULES = [references, catalogue]
+MODULES = [references, catalogue, lexical]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
