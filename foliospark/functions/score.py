@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 _INF = float("inf")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value being computed once a row though use reads it for every element of an array."""
+    return F.transform(F.array(value), use)[0]
+
+
 def finite(x: Column) -> Column:
     """Whether a number is neither null, NaN nor infinite."""
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < _INF)
@@ -41,10 +47,9 @@ def cosine(a: Column, b: Column) -> Column:
 
     def scaled(v: Column) -> Column:
         top = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
-        return F.transform(v, lambda x: x.cast("double") / top)
+        return let(top, lambda t: F.transform(v, lambda x: x.cast("double") / t))
 
-    p, q = scaled(a), scaled(b)
-    value = dot(p, q) / (F.sqrt(dot(p, p)) * F.sqrt(dot(q, q)))
+    value = let(scaled(a), lambda p: let(scaled(b), lambda q: dot(p, q) / (F.sqrt(dot(p, p)) * F.sqrt(dot(q, q)))))
     return F.when(vector_valid(a) & vector_valid(b) & (F.size(a) == F.size(b)), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))).otherwise(0.0)
 
 
@@ -56,23 +61,29 @@ def cosine_to_unit(x: Column) -> Column:
 def l2_normalize(v: Column) -> Column:
     """A vector of length 1; a zero vector stays zero, null stays null."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
+    return let(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))
 
 
 def entropy(values: Column) -> Column:
     """Entropy of weights over its maximum, in [0, 1]: 0 for at most one value, 1 if all are 0. Negative and non-finite
     weights count as 0, and zeros count among the values."""
-    w = F.transform(values, lambda x: F.when(finite(x) & (x > 0), x.cast("double")).otherwise(0.0))
-    total = F.aggregate(w, F.lit(0.0), lambda s, x: s + x)
-    h = F.aggregate(w, F.lit(0.0), lambda s, x: s + F.when(x > 0, -(x / total) * F.log(x / total)).otherwise(0.0))
-    return F.when(F.size(values) <= 1, 0.0).when(total == 0, 1.0).otherwise(clip(h / F.log(F.size(values).cast("double"))))
+    weights = F.transform(values, lambda x: F.when(finite(x) & (x > 0), x.cast("double")).otherwise(0.0))
+
+    def of(w: Column, total: Column) -> Column:
+        h = F.aggregate(w, F.lit(0.0), lambda s, x: s + F.when(x > 0, -(x / total) * F.log(x / total)).otherwise(0.0))
+        return F.when(F.size(w) <= 1, 0.0).when(total == 0, 1.0).otherwise(clip(h / F.log(F.size(w).cast("double"))))
+
+    return let(weights, lambda w: let(F.aggregate(w, F.lit(0.0), lambda s, x: s + x), lambda total: of(w, total)))
 
 
 def model_uncertainty(confidences: Column) -> Column:
     """Entropy of the softmax of confidences; null for a null array, 0 for at most one finite value."""
     values = F.filter(confidences, lambda x: finite(x))
-    top = F.array_max(values)
-    soft = F.transform(values, lambda x: F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), x.cast("double") - top))))
+
+    def softmax(top: Column) -> Column:
+        return F.transform(values, lambda x: F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), x.cast("double") - top))))
+
+    soft = let(F.array_max(values), softmax)
     return F.when(confidences.isNull(), F.lit(None).cast("double")).when(F.size(values) <= 1, 0.0).otherwise(entropy(soft))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliospark.plans import catalogue, lexical, references
+from foliospark.plans import catalogue, lexical, references, scoring
 
-MODULES = [references, catalogue, lexical]
+MODULES = [references, catalogue, lexical, scoring]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
