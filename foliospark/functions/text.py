@@ -141,7 +141,7 @@ def clean_markup(x: Column, depth: int = 4) -> Column:
     out = F.regexp_replace(out, "'{2,}", "")
     for entity, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(c))
-    lines = F.transform(F.split(out, "\n"), F.trim)
+    lines = F.transform(F.split(out, "\n"), lambda s: F.trim(s))
     return F.array_join(F.filter(lines, lambda s: s != ""), "\n")
 
 
