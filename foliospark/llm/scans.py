@@ -272,7 +272,8 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: dict[str, Counter] = {x: Counter() for x in "webc"}
 
     def rows() -> pd.DataFrame:
-        out = pd.concat([pd.DataFrame({"what": k, "key": list(c), "n": list(c.values())}) for k, c in counts.items()])
+        parts = [(k, x, n) for k, c in counts.items() for x, n in c.items()]
+        out = pd.DataFrame(parts, columns=["what", "key", "n"]).astype({"n": "int64"})
         for c in counts.values():
             c.clear()
         return out

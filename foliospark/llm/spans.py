@@ -186,15 +186,18 @@ def line_repeats(documents: DataFrame, least: int = SPAN) -> DataFrame:
 
     Lines (of ``least`` or more characters after their white space is made even) are digested; of each digest the
     occurrence of the lowest (doc_id, start_char) stays, all others are listed with their offsets in the text as it is.
-    A line repeated within its own document is listed as well. Null and empty texts have no lines.
+    A line repeated within its own document is listed as well. Null and empty texts have no lines. A row sent twice
+    counts once.
     """
     lines = (
         documents.where(F.length("text") > 0)
-        .select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+        .select("doc_id", "text")
+        .distinct()
+        .select("doc_id", F.xxhash64("text").alias("which"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
         .withColumn(
             "start_char",
             F.coalesce(
-                F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+                F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id", "which").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
             ),
         )
         .withColumn("unit", F.trim(F.regexp_replace("line", "\\s+", " ")))
