@@ -64,8 +64,8 @@ def manifest(path: str, groups: list[str]) -> dict[str, list[dict]]:
 
 def manifest_tables(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
     """A table for each record group of manifest files (one, a folder or a pattern), read by Spark with fixed schemas."""
-    schema = ", ".join(f"{g}: ARRAY<STRUCT<{s}>>" for g, s in schemas.items())
-    df = spark.read.schema(f"{schema}").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    schema = ", ".join(f"{g} ARRAY<STRUCT<{s}>>" for g, s in schemas.items())
+    df = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
     return {g: df.select(F.explode(g).alias("r")).select("r.*") for g in schemas}
 
 
