@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import lexical_tokens, nfkc
-from foliospark.session import bounded_broadcast
+from foliospark.session import bounded_broadcast, checkpoint, spread, written
 
 K1, B = 1.5, 0.75
 
@@ -21,29 +21,34 @@ def postings(docs: DataFrame, id_: str = "doc_id", text: str = "text", normalise
     )
 
 
-def corpus_stats(docs: DataFrame, terms: DataFrame, id_: str = "doc_id") -> DataFrame:
-    """One row (n_docs, avg_len); texts without terms count as documents of length 0, an empty corpus has length 1."""
-    total = terms.agg(F.sum("tf").alias("tokens"))
-    n = docs.agg(F.countDistinct(id_).alias("n_docs"))
-    return n.join(total).select("n_docs", F.coalesce(F.nullif(F.try_divide("tokens", "n_docs"), F.lit(0.0)), F.lit(1.0)).alias("avg_len"))
-
-
 def bm25_scores(docs: DataFrame, queries: DataFrame, id_: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, normalise: bool = True) -> DataFrame:
     """(query_id, doc_id, score) of every pair with a common term. ``queries``: query_id, text.
 
-    Statistics are those of ``docs`` as given, so filter first. Only terms that a query has are joined: the queries'
-    terms, counted before they are broadcast, keep all others out before the shuffle. Document lengths travel with the
-    postings. A query term of frequency f weighs 1 + ln f.
+    Statistics are those of ``docs`` as given, so filter first; texts without terms are documents of length 0. doc_ids
+    should be unique: of a repeated one terms add up and the longest text gives the length. A query term of frequency f
+    weighs 1 + ln f.
+
+    Texts are tokenised once. The queries' terms, counted before they are broadcast, keep all other terms out before the
+    shuffle; an empty term in each document carries its length for the statistics.
     """
-    x = nfkc(F.col("text")) if normalise else F.col("text")
+    x, q = (nfkc(F.col(c)) if normalise else F.col(c) for c in (text, "text"))
     asked = (
-        queries.select("query_id", F.explode(lexical_tokens(x)).alias("term")).groupBy("query_id", "term").agg((1 + F.log(F.count("*"))).alias("boost"))
+        queries.select("query_id", F.explode(lexical_tokens(q)).alias("term")).groupBy("query_id", "term").agg((1 + F.log(F.count("*"))).alias("boost"))
+    )
+    asked = checkpoint(asked)
+    mark = F.array(F.lit(""))
+    wanted = asked.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    tokens = spread(docs.select(F.col(id_).alias("doc_id"), F.col(text))).select("doc_id", F.coalesce(lexical_tokens(x), F.array().cast("array<string>")).alias("t"))
+    used = (
+        tokens.select("doc_id", F.size("t").alias("len"), F.explode(F.concat("t", mark)).alias("term"))
+        .join(bounded_broadcast(wanted), "term", "left_semi")
+        .groupBy("doc_id", "term")
+        .agg(F.count("*").alias("tf"), F.max("len").alias("len"))
     )
-    terms = postings(docs, id_, text, normalise)
-    sized = terms.withColumn("len", F.sum("tf").over(Window.partitionBy("doc_id")))
-    stats = F.broadcast(corpus_stats(docs, terms, id_))
-    wanted = bounded_broadcast(asked.select("term").distinct())
-    used = sized.join(wanted, "term", "left_semi")
+    used = written(used)
+    stats = used.where("term = ''").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    stats = F.broadcast(stats.select("n_docs", F.coalesce(F.nullif("avg_len", F.lit(0.0)), F.lit(1.0)).alias("avg_len")))
+    used = used.where("term <> ''")
     df = used.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))

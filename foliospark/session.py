@@ -51,6 +51,24 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work that costs far more than moving its input.
+
+    Large tables have more partitions than that and stay as they are; a table of one small file would be one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed by keys into a fixed number of partitions, for work in Python behind the shuffle: adaptive execution
+    would join small partitions by their bytes, though their work is long. The number is that of
+    ``spark.sql.shuffle.partitions``, and of cores at least."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, for a shuffle join.
 
