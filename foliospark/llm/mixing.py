@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.tokens import VOCABULARY, token_count
-from foliospark.session import checkpoint
+from foliospark.session import by_key, checkpoint
 
 #: Documents that fly together. A block is one task's group; of a hot source there are as many blocks as it needs.
 BLOCK = 20_000
@@ -117,7 +117,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
     """
     wanted = targets.groupBy("source").agg(F.max("max_passes").alias("most"))
     sizes = (
-        documents.select("doc_id", "source", "text")
+        by_key(documents.select("doc_id", "source", "text"), "doc_id")
         .dropDuplicates(["doc_id"])
         .join(F.broadcast(wanted), "source", "left_semi")
         .where("length(text) > 0")

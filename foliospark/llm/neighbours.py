@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.operators.skew import join_by_size
-from foliospark.session import checkpoint
+from foliospark.session import by_key, checkpoint, spread
 
 SPACE = ["entity_type", "modality", "provider", "model", "version", "dimension", "preprocessing_hash"]
 
@@ -68,7 +68,7 @@ def usable_vectors(vectors: DataFrame) -> DataFrame:
     )
     space = F.xxhash64(F.to_json(F.struct(*SPACE), {"ignoreNullFields": "false"}))
     return (
-        vectors.where(F.coalesce(fit, F.lit(False)))
+        spread(vectors).where(F.coalesce(fit, F.lit(False)))
         .select("vec_id", "dimension", "vector", space.alias("space"), "arrived_at")
         .groupBy("vec_id")
         .agg(F.min_by(F.struct("space", "dimension", "vector"), "arrived_at").alias("first"), F.min(F.struct("space", "dimension", "vector")).alias("any"))
@@ -264,7 +264,7 @@ def nearest(vectors: DataFrame, k: int = K, probes: int = PROBES, sample: int =
             spaces[r["space"]] = np.eye(1, dims, dtype=np.float32)
     shared = spark.sparkContext.broadcast(spaces)
     indexed = checkpoint(
-        kept.select("space", "vec_id", "v").mapInPandas(_assign(shared, probes), "space long, vec_id long, v binary, list int, probes array<int>")
+        spread(kept.select("space", "vec_id", "v")).mapInPandas(_assign(shared, probes), "space long, vec_id long, v binary, list int, probes array<int>")
     )
     weight: dict[int, np.ndarray] = {s: np.zeros(len(c)) for s, c in spaces.items()}
     for r in indexed.groupBy("space", "list").count().collect():  # a row a list
@@ -305,7 +305,7 @@ def nearest(vectors: DataFrame, k: int = K, probes: int = PROBES, sample: int =
             )
         )
     )
-    near = cells.groupBy("space", "block", "mp", "qp").applyInPandas(_search(k), "vec_id long, other long, d double")
+    near = by_key(cells, "space", "block", "mp", "qp").groupBy("space", "block", "mp", "qp").applyInPandas(_search(k), "vec_id long, other long, d double")
     top = Window.partitionBy("vec_id").orderBy("d", "other")
     return near.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).drop("rank").unionByName(copies)
 

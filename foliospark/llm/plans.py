@@ -12,6 +12,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return scans.page_noise(table(spark, folder, "ocr_lines"))
 
 
+def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every run's body as continuous paragraphs."""
+    return scans.repaired_pages(table(spark, folder, "ocr_lines"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentences(table(spark, folder, "ocr_results")).select("result_id", "end_char").distinct()
 
@@ -67,6 +72,7 @@ def p8_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_paragraphs": p1_paragraphs,
     "p2_found": p2_found,
     "p2_sentences": p2_sentences,
     "p4_found": p4_found,

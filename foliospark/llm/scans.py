@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm.confusions import PAIR, confusion_distance, partners
-from foliospark.llm.reading import reading
-from foliospark.session import bounded_broadcast, checkpoint, written
+from foliospark.llm.reading import Canonical, canonical_vocabulary, reading
+from foliospark.session import bounded_broadcast, by_key, checkpoint, written
 
 #: A running title stands on at least this share of its source's pages, and on TITLE_PAGES.
 TITLE_SHARE, TITLE_PAGES = 0.08, 3
@@ -33,6 +33,8 @@ KNOWN = 4
 RATIO = 6
 #: Logarithmic evidence that makes a word, or a character of a dense script, misread.
 WORD_EVIDENCE, CHAR_EVIDENCE = 1.2, 3.0
+#: Sources whose titles are sent to all workers, at most.
+SENT_SOURCES = 100_000
 #: Words with candidates that are sent to all workers, at most.
 SENT_WORDS = 500_000
 #: Pairs of neighbouring characters of dense scripts that are sent to all workers: those seen twice, the most frequent.
@@ -62,7 +64,7 @@ _NUMBER = regex.compile(
 )
 _ROMAN = regex.compile(r"^(?=.)m{0,4}(?:cm|cd|d?c{0,5})(?:xc|xl|l?x{0,5})(?:ix|iv|v?i{0,5})$")
 _ROMAN_VALUES = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
-_FINAL = frozenset(".!?…。,;:、”»」“)")
+_FINAL = frozenset(".!?…。,;:、”»」“)।॥○")
 #: Longest line, in characters, that is tried as a page number, and as a running title.
 NUMBER_CHARS, TITLE_CHARS = 24, 80
 _NUMBER_WORD = re.compile(rf"[\dlIiOoSsBbZzGgqTtvxcdm|{_CJK_DIGITS}人入土士于第弟丁葉頁页]+$")
@@ -110,47 +112,11 @@ def _kind(read: str) -> str:
     return "spaced" if len(_IS_SPACED.findall(read)) >= dense else "dense"
 
 
-def _analyse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for text in b["text"]:
-            raw = text.rstrip()
-            if not raw.isascii():
-                raw = _INVISIBLE_END.sub("", raw)
-            marked = raw[-1:] in _MARK_SET and bool(_BEFORE_MARK.search(raw[-8:-1]))
-            read = reading(raw[:-1] if marked else raw)
-            number = len(read) <= NUMBER_CHARS and not marked and is_number(read)
-            final = read[-1:] in _FINAL
-            title = title_key(read) if not number and not marked and not final and len(read) <= TITLE_CHARS else ""
-            out.append((read, marked, _kind(read), number, title, final))
-        yield pd.concat(
-            [
-                b[["line_id", "result_id", "source_id", "page_id", "reading_order"]].reset_index(drop=True),
-                pd.DataFrame(out, columns=["read", "marked", "kind", "number", "title", "final"]),
-            ],
-            axis=1,
-        )
-
-
-_ANALYSED = (
-    "line_id long, result_id long, source_id string, page_id string, reading_order int, read string, marked boolean, "
-    "kind string, number boolean, title string, final boolean"
-)
-
-
-def analysed(lines: DataFrame) -> DataFrame:
-    """What each line is by itself; null and invisible texts are left out."""
-    return (
-        lines.where("line_id is not null and text is not null")
-        .select("line_id", "result_id", "source_id", "page_id", "reading_order", "text")
-        .mapInPandas(_analyse, _ANALYSED)
-        .where("read <> '' or marked")
-    )
+def running_titles(rows: DataFrame, all_pages: DataFrame, share: float = TITLE_SHARE, pages: int = TITLE_PAGES) -> DataFrame:
+    """(source_id, titles): the keys of lines that stand on many pages of a source. At most 1 / share a line place.
 
-
-def running_titles(rows: DataFrame, share: float = TITLE_SHARE, pages: int = TITLE_PAGES) -> DataFrame:
-    """(source_id, titles): the keys of lines that stand on many pages of a source. At most 1 / share a line place."""
-    per_source = rows.select("source_id", "page_id").distinct().groupBy("source_id").agg(F.count("*").alias("all_pages"))
+    ``rows``: source_id, page_id, title, final of candidate lines; ``all_pages``: source_id, page_id of all."""
+    per_source = all_pages.select("source_id", "page_id").distinct().groupBy("source_id").agg(F.count("*").alias("all_pages"))
     keys = (
         rows.where("length(title) >= 2 and not final")
         .select("source_id", "title", "page_id")
@@ -198,50 +164,186 @@ def is_title(key: str, titles: list[str], edge: bool, final: bool) -> bool:
     return False
 
 
-def _title_test(t: Column) -> Column:
-    """is_title over columns title, edge and final, without leaving the JVM."""
-    title = F.col("title")
-    size, most = F.length(title), F.greatest(F.lit(1), F.floor(F.length(t) / 5).cast("int"))
-    near = (F.abs(size - F.length(t)) <= most) & (F.levenshtein(title, t) <= most)
-    head = F.substring(t, F.lit(1), size)
-    whole = (F.substring(t, size + 1, F.lit(1)) == " ") | t.rlike("[^\\x00-\\x7F]")
-    begins = (size < F.length(t)) & whole & (F.col("edge") | F.contains(title, F.lit(" ")))
-    return near | (begins & ((title == head) | ((size >= 6) & (F.levenshtein(title, head) <= 1))))
+def _rough_key(text: Column) -> Column:
+    """What a title's clean spellings have in common, by built-in functions alone: letters, without numerals."""
+    letters = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")
+    return F.trim(F.regexp_replace(letters, rf"[{_CJK_DIGITS}]+|\b[ivxlcdm]+\b|\s+", " "))
 
 
-def classified(lines: DataFrame) -> DataFrame:
-    """Each line once, with ``head`` and ``number``, and for body lines what stands next to them on the page, titles and
-    numbers left out. Texts are shuffled once, by page; the result is written."""
-    rows = written(analysed(lines))
-    titles = bounded_broadcast(checkpoint(running_titles(rows)))
-    order = Window.partitionBy("result_id").orderBy("reading_order", "line_id")
-    once = rows.withColumn("again", F.lag("line_id").over(order)).where(~F.col("line_id").eqNullSafe(F.col("again"))).drop("again")
-    edge = F.lag("line_id").over(order).isNull() | F.lead("line_id").over(order).isNull()
-    flagged = (
-        once.withColumn("edge", edge)
-        .join(titles, "source_id", "left")
-        .withColumn("head", ~F.col("number") & (F.length("title") >= 2) & F.coalesce(F.exists("titles", _title_test), F.lit(False)))
-        .withColumn("body", F.when(~F.col("head") & ~F.col("number"), F.struct("line_id", "read", "marked")))
-    )
-    beside = flagged.withColumns(
-        {x: F.expr(f"{y}(body) ignore nulls over (partition by result_id order by reading_order, line_id)") for x, y in (("next", "lead"), ("last", "lag"))}
+def _title_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for source, page, text in zip(b["source_id"], b["page_id"], b["text"], strict=True):
+            read = reading(text)
+            if read and not is_number(read):
+                out.append((source, page, title_key(read), read[-1] in _FINAL))
+        yield pd.DataFrame(out, columns=["source_id", "page_id", "title", "final"])
+
+
+def titles_of_lines(lines: DataFrame) -> DataFrame:
+    """running_titles of raw lines. Lines are first counted by a rough key, by its hash; only those whose key stands on
+    several pages of a source pass through Python for their exact key."""
+    short = lines.where((F.length("text") <= TITLE_CHARS) & F.col("text").isNotNull())
+    keyed = short.select("source_id", "page_id", "text", F.xxhash64("source_id", _rough_key(F.col("text"))).alias("rough"))
+    often = (
+        keyed.select("rough", F.xxhash64("page_id").alias("page"))
+        .distinct()
+        .groupBy("rough")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") >= TITLE_PAGES)
+        .select("rough")
     )
-    dense = F.col("kind") == "dense"
-    return written(
-        beside.select(
-            "line_id",
-            "head",
-            "number",
-            "kind",
-            "read",
-            "marked",
-            "final",
-            F.col("next.line_id").alias("next_id"),
-            F.when(dense, F.left("next.read", F.lit(1))).otherwise(F.regexp_extract("next.read", r"^[\p{L}\p{M}\p{Nd}]+", 0)).alias("next_first"),
-            F.coalesce("last.marked", F.lit(False)).alias("was_marked"),
-            F.when(dense, F.right("last.read", F.lit(1))).alias("last_char"),
-        )
+    some = keyed.join(often, "rough", "left_semi").select("source_id", "page_id", "text")
+    rows = some.mapInPandas(_title_rows, "source_id string, page_id string, title string, final boolean")
+    return running_titles(rows, lines.select("source_id", "page_id"))
+
+
+#: Different keys that a Python worker counts before it hands them on.
+_COUNTED = 400_000
+
+_PASS = (
+    "line_id long, head boolean, number boolean, kind string, read string, marked boolean, final boolean, next_id long, "
+    "next_first string, was_marked boolean, last_char string, what string, key string, n long"
+)
+_LINE = [x.split()[0] for x in _PASS.split(", ")][:11]
+
+
+class _Pages:
+    """Reads lines in page order, one line ahead: what each is, what stands beside it, and what its words count."""
+
+    def __init__(self, titles: dict[str, list[str]]):
+        self.titles = titles
+        self.page: object = self
+        self.held: tuple | None = None  # the line that is next to be judged
+        self.first = True
+        self.body: list | None = None  # the last body line, which waits for the next one
+        self.out: list[list] = []
+        self.counts: dict[str, Counter] = {x: Counter() for x in "webc"}
+        self.seen: dict[str, list[str]] = {x: [] for x in "webc"}
+
+    def add(self, page, line_id, source, text) -> None:
+        if page != self.page:
+            self.end_page()
+            self.page, self.first = page, True
+        elif self.held is not None and self.held[0] == line_id:
+            return
+        if self.held is not None:
+            self.judge(False)
+        self.held = (line_id, source, text)
+
+    def end_page(self) -> None:
+        if self.held is not None:
+            self.judge(True)
+        self.held = None
+        if self.body is not None:
+            self.emit(None, None)
+        self.body = None
+
+    def judge(self, is_last: bool) -> None:
+        line_id, source, text = self.held
+        raw = text.rstrip()
+        if not raw.isascii():
+            raw = _INVISIBLE_END.sub("", raw)
+        marked = raw[-1:] in _MARK_SET and bool(_BEFORE_MARK.search(raw[-8:-1]))
+        read = reading(raw[:-1] if marked else raw)
+        if not read and not marked:
+            return
+        edge, self.first = self.first or is_last, False
+        final = read[-1:] in _FINAL
+        if len(read) <= NUMBER_CHARS and not marked and is_number(read):
+            self.out.append([line_id, False, True, "none", read, marked, final, None, None, False, None])
+            return
+        titles = self.titles.get(source)
+        if titles and not marked and not final and len(read) <= TITLE_CHARS and is_title(title_key(read), titles, edge, final):
+            self.out.append([line_id, True, False, "none", read, marked, final, None, None, False, None])
+            return
+        kind = _kind(read)
+        before = self.body
+        if before is not None:
+            if before[3] == "dense":
+                nxt = read[:1]
+            else:
+                m = _WORD.match(read)
+                nxt = m.group() if m else ""
+            self.emit(line_id, nxt)
+        last_char = before[4][-1:] if before is not None and kind == "dense" else None
+        self.body = [line_id, False, False, kind, read, marked, final, None, None, before is not None and before[5], last_char]
+
+    def emit(self, next_id, nxt) -> None:
+        """Hands on the waiting body line, and counts its words or characters."""
+        line = self.body
+        line[7], line[8] = next_id, nxt
+        self.out.append(line)
+        seen = self.seen
+        if line[3] == "dense":
+            seen["c"] += _char_pairs(_with_edges(line[4], line[10], nxt))
+        elif line[3] == "spaced":
+            words = [x for x, _ in words_of(line[4], line[5], nxt, line[9])]
+            if words:
+                seen["w"] += words
+                seen["e"] += words[:1] if line[5] or len(words) == 1 else (words[0], words[-1])
+                seen["b"] += [f"{x} {y}" for x, y in zip(words, words[1:], strict=False)]
+
+    def frame(self, end: bool) -> pd.DataFrame:
+        """The lines that are ready, and the counts if they are many or the end is there."""
+        lines = pd.DataFrame(self.out, columns=_LINE)
+        self.out = []
+        for k, keys in self.seen.items():
+            self.counts[k].update(keys)
+            keys.clear()
+        if not end and sum(map(len, self.counts.values())) <= _COUNTED:
+            return lines.assign(what=None, key=None, n=None)
+        parts = [(k, x, n) for k, c in self.counts.items() for x, n in c.items()]
+        for c in self.counts.values():
+            c.clear()
+        return pd.concat([lines, pd.DataFrame(parts, columns=["what", "key", "n"])])
+
+
+def _pages(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pages = _Pages({} if shared is None else shared.value)
+
+        def frame(end: bool) -> pd.DataFrame:
+            out = pages.frame(end)
+            for c in ("line_id", "next_id", "n"):
+                out[c] = out[c].astype("Int64")
+            for c in ("head", "number", "marked", "final", "was_marked"):
+                out[c] = out[c].astype("boolean")
+            return out[[*_LINE, "what", "key", "n"]]
+
+        for b in batches:
+            if shared is None:
+                pages.titles.update((s, list(t)) for s, t in zip(b["source_id"], b["titles"], strict=True) if t is not None)
+            for page, line_id, source, text in zip(b["page"], b["line_id"], b["source_id"], b["text"], strict=True):
+                pages.add(page, line_id, source, text)
+            yield frame(False)
+        pages.end_page()
+        yield frame(True)
+
+    return run
+
+
+def read_pages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each line once, with ``head`` and ``number``, and for body lines what stands next to them on the page, titles and
+    numbers left out; and the counts (what, key, n) of words (w), of words at a line's ends (e), of neighbours (b) and
+    of characters' neighbours (c).
+
+    Texts are shuffled once, by page, and read once, in order; the result is written. Null and invisible texts are left
+    out. Titles go to all workers at once, or with the rows where the sources are too many for that.
+    """
+    titles = checkpoint(titles_of_lines(lines))
+    few = titles.limit(SENT_SOURCES + 1).count() <= SENT_SOURCES
+    shared = lines.sparkSession.sparkContext.broadcast({r["source_id"]: list(r["titles"]) for r in titles.toLocalIterator()}) if few else None
+    rows = lines.where("line_id is not null and text is not null").select(
+        F.coalesce("result_id", F.lit(-(1 << 62))).alias("page"), "reading_order", "line_id", "source_id", "text"
     )
+    if not few:
+        rows = rows.join(titles, "source_id", "left")
+    ordered = by_key(rows, "page").sortWithinPartitions("page", "reading_order", "line_id").drop("reading_order")
+    both = written(ordered.mapInPandas(_pages(shared), _PASS))
+    # Pairs seen once say nothing and are left out.
+    sums = both.where("what is not null").groupBy("what", "key").agg(F.sum("n").alias("n")).where("what in ('w', 'e') or n > 1")
+    return both.where("line_id is not null").select(*_LINE), written(sums)
 
 
 def words_of(read: str, marked: bool, next_first: str | None, was_marked: bool) -> list[tuple[str, int]]:
@@ -263,43 +365,12 @@ def _countable(w: str) -> bool:
     return not w.isdigit() and any(c.isalpha() for c in w)
 
 
-#: Different keys that a Python worker counts before it hands them on.
-_COUNTED = 400_000
-
-
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of words (kind w), of words at a line's ends (e), of neighbours (b), of characters' neighbours (c)."""
-    counts: dict[str, Counter] = {x: Counter() for x in "webc"}
-
-    def rows() -> pd.DataFrame:
-        parts = [(k, x, n) for k, c in counts.items() for x, n in c.items()]
-        out = pd.DataFrame(parts, columns=["what", "key", "n"]).astype({"n": "int64"})
-        for c in counts.values():
-            c.clear()
-        return out
-
-    w, e, n, c = (counts[x] for x in "webc")
-    for b in batches:
-        for read, marked, kind, nxt, was, last in zip(b["read"], b["marked"], b["kind"], b["next_first"], b["was_marked"], b["last_char"], strict=True):
-            if kind == "dense":
-                c.update(_char_pairs(_with_edges(read, last, nxt)[0]))
-            elif kind == "spaced":
-                words = [x for x, _ in words_of(read, marked, nxt, was)]
-                if words:
-                    w.update(words)
-                    e.update(words[:1] if marked or len(words) == 1 else (words[0], words[-1]))
-                    n.update([f"{x} {y}" for x, y in zip(words, words[1:], strict=False)])
-        if sum(map(len, counts.values())) > _COUNTED:
-            yield rows()
-    yield rows()
-
-
-_DIGIT = regex.compile(r"\p{Nd}")
+_DIGIT = re.compile(r"\d")
 
 
-def _with_edges(read: str, last: str | None, nxt: str | None) -> tuple[str, int]:
+def _with_edges(read: str, last: str | None, nxt: str | None) -> str:
     """A dense line between the characters before and behind it, digits alike."""
-    return (last or "^") + _DIGIT.sub("0", read) + (nxt or "$"), 1
+    return (last or "^") + _DIGIT.sub("0", read) + (nxt or "$")
 
 
 def _char_pairs(text: str) -> list[str]:
@@ -347,46 +418,51 @@ _held: dict[str, object] = {}
 _USE = "line_id long, next_id long, word string, meant string, cut int, before string, behind string"
 
 
-def _uses(words, pairs, key: str, evidence: float):
-    """Of spaced lines the words that have candidates, each between its neighbours (``words``: those words, None for all);
-    of dense lines the characters that stand for others (``pairs``: how often characters follow each other)."""
+def _uses(words, lexicon, pairs, key: str, evidence: float):
+    """Of spaced lines the words that have candidates, each between its neighbours (``words``: those words, None for all),
+    and lines whose last word goes on without a mark (word is empty; ``lexicon``: how often words stand inside lines,
+    None: not here); of dense lines the characters that stand for others (``pairs``: how often characters follow each
+    other)."""
     swap = {c: [x for x in others if _IS_DENSE.match(x)] for c, others in partners().items() if _IS_DENSE.match(c)}
     may = re.compile("[" + "".join(swap) + "]")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if key not in _held:
             _held.clear()
-            _held[key] = (None if words is None else words.value, pairs.value)
-        wanted, n = _held[key][0], _held[key][1].get
+            _held[key] = tuple(None if x is None else x.value for x in (words, lexicon, pairs))
+        wanted, known, n = _held[key]
+        n = n.get
         for b in batches:
             out = []
-            for line, nxt_id, read, marked, kind, nxt, was, last in zip(
-                *(b[x] for x in ("line_id", "next_id", "read", "marked", "kind", "next_first", "was_marked", "last_char")), strict=True
+            for line, nxt_id, read, marked, kind, final, nxt, was, last in zip(
+                *(b[x] for x in ("line_id", "next_id", "read", "marked", "kind", "final", "next_first", "was_marked", "last_char")), strict=True
             ):
                 if kind == "dense":
-                    text, first = _with_edges(read, last, nxt)
-                    for m in may.finditer(text, first, len(text) - 1):
+                    text = _with_edges(read, last, nxt)
+                    for m in may.finditer(text, 1, len(text) - 1):
                         left, x, right = text[m.start() - 1 : m.start() + 2]
                         had = log(max(n(left + x, 0) - 1, 0) + 0.5) + log(max(n(x + right, 0) - 1, 0) + 0.5)
                         for y in swap[x]:
                             if log(n(left + y, 0) + 0.5) + log(n(y + right, 0) + 0.5) - had >= evidence:
-                                out.append((line, -1, x, y, m.start() - first, left, right))
+                                out.append((line, -1, x, y, m.start() - 1, left, right))
                     continue
                 found = words_of(read, marked, nxt, was)
                 for k, (w, cut) in enumerate(found):
                     if (w in wanted) if wanted is not None else len(w) >= 2:
                         before, behind = found[k - 1][0] if k else "", found[k + 1][0] if k + 1 < len(found) else ""
                         out.append((line, int(nxt_id) if cut else -1, w, None, cut, before, behind))
+                if known is not None and nxt and found and not marked and not final and goes_on(found[-1][0], nxt.casefold(), known):
+                    out.append((line, -1, "", None, 0, "", ""))
             yield pd.DataFrame(out, columns=["line_id", "next_id", "word", "meant", "cut", "before", "behind"])
 
     return run
 
 
-def _counts(body: DataFrame) -> DataFrame:
-    """(what, key, n) over all body lines, written once. Pairs seen once say nothing and are left out."""
-    rows = body.where("kind <> 'none'").select("read", "marked", "kind", "next_first", "was_marked", "last_char")
-    sums = rows.mapInPandas(_count_words, "what string, key string, n long").groupBy("what", "key").agg(F.sum("n").alias("n"))
-    return written(sums.where("what in ('w', 'e') or n > 1"))
+def goes_on(a: str, b: str, known: dict[str, int]) -> bool:
+    """Whether a line's last word and the next one's first are one word: together they are a known word, and one of them
+    is hardly a word by itself."""
+    both = known.get(a + b, 0)
+    return both >= 2 and a.isalpha() and 4 * min(known.get(a, 0), known.get(b, 0)) <= both
 
 
 def _word_table(counts: DataFrame) -> DataFrame:
@@ -403,19 +479,23 @@ def _word_table(counts: DataFrame) -> DataFrame:
     )
 
 
-def suspects(body: DataFrame, counts: DataFrame, words: DataFrame, evidence: float = CHAR_EVIDENCE) -> tuple[DataFrame, DataFrame]:
-    """One pass over the body: uses of words with candidates, and characters of dense scripts that stand for others (meant
-    is set, cut is the character's place); and the candidates."""
+def suspects(body: DataFrame, counts: DataFrame, words: DataFrame, evidence: float = CHAR_EVIDENCE) -> tuple[DataFrame, DataFrame, bool]:
+    """One pass over the body: uses of words with candidates, lines that go on without a mark (word is empty), and
+    characters of dense scripts that stand for others (meant is set, cut is the character's place); the candidates; and
+    whether lines that go on were looked for, which needs a lexicon that all workers can hold."""
     found = checkpoint(corrections(words))
     context = body.sparkSession.sparkContext
     # Words that have candidates are few; where they aren't, all words leave Python for the join.
     asked = found.select("word").distinct()
     few = asked.limit(SENT_WORDS + 1).count() <= SENT_WORDS
     shared = context.broadcast({r["word"] for r in asked.toLocalIterator()}) if few else None
+    inside = words.where("inside > 0").select("word", "inside")
+    small = inside.limit(SENT_WORDS + 1).count() <= SENT_WORDS
+    lexicon = context.broadcast({r["word"]: r["inside"] for r in inside.toLocalIterator()}) if small else None
     top = counts.where("what = 'c' and n >= 2").orderBy(F.desc("n"), "key").limit(CHAR_PAIRS).select("key", "n")
     pairs = context.broadcast({r["key"]: r["n"] for r in top.toLocalIterator()})
-    rows = body.where("kind <> 'none'").select("line_id", "next_id", "read", "marked", "kind", "next_first", "was_marked", "last_char")
-    return written(rows.mapInPandas(_uses(shared, pairs, uuid.uuid4().hex, evidence), _USE)), found
+    rows = body.where("kind <> 'none'").select("line_id", "next_id", "read", "marked", "kind", "final", "next_first", "was_marked", "last_char")
+    return written(rows.mapInPandas(_uses(shared, lexicon, pairs, uuid.uuid4().hex, evidence), _USE)), found, small
 
 
 def misread_characters(seen: DataFrame) -> DataFrame:
@@ -426,7 +506,7 @@ def misread_characters(seen: DataFrame) -> DataFrame:
 
 def misread_words(seen: DataFrame, found: DataFrame, counts: DataFrame, evidence: float = WORD_EVIDENCE) -> DataFrame:
     """(line_id, read, meant): words of spaced scripts that stand for others."""
-    uses = seen.where("meant is null").drop("meant").join(bounded_broadcast(found), "word")
+    uses = seen.where("meant is null and word <> ''").drop("meant").join(bounded_broadcast(found), "word")
     uses = checkpoint(uses.withColumn("use", F.monotonically_increasing_id()))
     pairs = counts.where("what = 'b'").select(F.col("key").alias("pair"), F.col("n").alias("n_pair"))
     sides = uses.select(
@@ -507,14 +587,12 @@ def page_noise(lines: DataFrame) -> DataFrame:
     """(line_id, noise): head, number, break and misread, one row per line and kind.
 
     A line sent twice counts once. Null, empty and invisible texts have no noise. Deleted lines are judged like others.
-    A page's body is its result's lines in reading order, ties by line_id.
+    A page's body is its result's lines in reading order, ties by line_id; lines without a result are one page.
     """
-    rows = classified(lines)
+    rows, counts = read_pages(lines)
     body = rows.where("not head and not number")
-    counts = _counts(body)
     words = checkpoint(_word_table(counts))
-
-    seen, found = suspects(body, counts, words)
+    seen, found, with_breaks = suspects(body, counts, words)
     starts = F.col("next_first").rlike(r"^\p{Nd}?[\p{L}\p{M}]")
     is_break = ~F.col("head") & ~F.col("number") & F.col("marked") & (F.col("kind") == "spaced") & starts
     flags = F.array(F.when(F.col("head"), "head"), F.when(F.col("number"), "number"), F.when(is_break, "break"))
@@ -522,11 +600,96 @@ def page_noise(lines: DataFrame) -> DataFrame:
     def of(df: DataFrame, noise: str) -> DataFrame:
         return df.select("line_id", F.lit(noise).alias("noise"))
 
+    unmarked = seen.where("word = ''") if with_breaks else unmarked_breaks(body, words)
     return (
         rows.where("head or number or marked")
         .select("line_id", F.explode(F.array_compact(flags)).alias("noise"))
-        .unionByName(of(unmarked_breaks(body, words), "break"))
+        .unionByName(of(unmarked, "break"))
         .unionByName(of(misread_words(seen, found, counts), "misread"))
         .unionByName(of(misread_characters(seen), "misread"))
         .distinct()
     )
+
+
+def _assemble(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary, known = (x if x is None else x.value for x in shared)
+        form = Canonical(vocabulary)
+        for b in batches:
+            yield pd.DataFrame({"result_id": b["result_id"], "text": [assembled(list(x), known or {}, form) for x in b["lines"]]})
+
+    return run
+
+
+def assembled(lines: list[dict], known: dict[str, int], form: Canonical) -> str:
+    """Paragraphs of a page's body lines (text, broken, words and characters to repair), parted by line breaks.
+
+    A word broken at a line's end is put together, without its mark if the whole is a known word or one of its parts is
+    none; a compound keeps its hyphen. A paragraph ends where a short line ends with a final mark.
+    """
+    out, fixes = "", {}
+    widths = [len(x["text"]) for x in lines]
+    full = max(widths, default=0)
+    joined = ""
+    for x, width in zip(lines, widths, strict=True):
+        text = form(x["text"]) or ""
+        for c in x["chars"] or []:
+            if c["cut"] < len(text) and text[c["cut"]] == c["word"]:
+                text = text[: c["cut"]] + c["meant"] + text[c["cut"] + 1 :]
+        fixes.update((w["read"], w["meant"]) for w in x["words"] or [])
+        if out and not joined and x["kind"] != "dense":
+            out += "" if out.endswith(("\n", " ")) else " "
+        if joined == "mark":
+            a, b = _WORD.findall(out)[-1:], _WORD.match(text)
+            ends = [reading(w).casefold() for w in (*a, b.group() if b else "")]
+            if len(ends) == 2 and known.get("".join(ends), 0) < 2 and all(known.get(w, 0) >= 2 for w in ends):
+                out += "-"
+        out += text
+        joined = ""
+        if x["broken"]:
+            joined = "none"
+            if x["marked"]:
+                out, joined = regex.sub(r"[-\u2010\u2011\u2012=\u00ac\u00ad]\s*$", "", out), "mark"
+        elif x["final"] and width < 0.8 * full:
+            out += "\n"
+
+    def repair(m) -> str:
+        word = m.group()
+        meant = fixes.get(reading(word).casefold())
+        if meant is None:
+            return word
+        spelled = form.trie.canonical(meant) or meant
+        return spelled[:1].upper() + spelled[1:] if word[:1].isupper() else spelled
+
+    return _WORD.sub(repair, out.strip()) if fixes else out.strip()
+
+
+def repaired_pages(lines: DataFrame) -> DataFrame:
+    """(result_id, text): the body of each run as continuous paragraphs, parted by line breaks, in canonical spellings.
+
+    Titles and numbers are gone, broken words whole, misread words and characters repaired. Runs without body lines, and
+    lines without a result, are left out. A page is one row, and is put together in one task.
+    """
+    rows, counts = read_pages(lines)
+    body = rows.where("not head and not number")
+    words = checkpoint(_word_table(counts))
+    seen, found, with_breaks = suspects(body, counts, words)
+    unmarked = (seen.where("word = ''") if with_breaks else unmarked_breaks(body, words)).select("line_id").distinct()
+    fixed = misread_words(seen, found, counts).groupBy("line_id").agg(F.collect_set(F.struct("read", "meant")).alias("words"))
+    chars = seen.where("meant is not null").groupBy("line_id").agg(F.collect_set(F.struct("cut", "word", "meant")).alias("chars"))
+    starts = F.col("next_first").rlike(r"^\p{Nd}?[\p{L}\p{M}]")
+    parts = (
+        body.select("line_id", "marked", "final", "kind", (F.col("marked") & (F.col("kind") == "spaced") & starts).alias("at_mark"))
+        .join(unmarked.withColumn("goes_on", F.lit(True)), "line_id", "left")
+        .join(fixed, "line_id", "left")
+        .join(chars, "line_id", "left")
+        .withColumn("broken", F.coalesce("at_mark", F.lit(False)) | F.coalesce("goes_on", F.lit(False)))
+    )
+    texts = lines.where("result_id is not null").select("line_id", "result_id", "reading_order", "text").dropDuplicates(["line_id"])
+    one = F.struct("reading_order", "line_id", "text", "marked", "final", "kind", "broken", "words", "chars")
+    pages = texts.join(parts, "line_id").groupBy("result_id").agg(F.array_sort(F.collect_list(one)).alias("lines"))
+    context = lines.sparkSession.sparkContext
+    inside = words.where("inside > 0").select("word", "inside")
+    lexicon = context.broadcast({r["word"]: r["inside"] for r in inside.toLocalIterator()}) if inside.limit(SENT_WORDS + 1).count() <= SENT_WORDS else None
+    vocabulary = context.broadcast(canonical_vocabulary(lines.select("text")))
+    return by_key(pages, "result_id").mapInPandas(_assemble((vocabulary, lexicon)), "result_id long, text string")

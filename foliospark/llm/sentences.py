@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.reading import INVISIBLE, reading
-from foliospark.llm.scans import is_number, is_title, running_titles, title_key
-from foliospark.session import bounded_broadcast, checkpoint
+from foliospark.llm.scans import is_number, is_title, title_key, titles_of_lines
+from foliospark.session import bounded_broadcast, by_key, checkpoint
 
 # Marks that may end a sentence, by script; ○ does so behind a Han character.
 TERMINATORS = frozenset("!?！？。．｡।॥؟۔።։‼⁇⁈⁉")
@@ -282,17 +282,6 @@ def sentence_ends(text: str, titles: list[str]) -> list[int]:
     return ends
 
 
-def _titles_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for source, page_id, text in zip(b["source_id"], b["page_id"], b["raw_text"], strict=True):
-            for line in text.split("\n"):
-                read = reading(line)
-                if read and len(read) < 80 and not is_number(read):
-                    out.append((source, page_id, title_key(read), bool(regex.search(r"[.!?…。！？,;:、，；：।”»」“)]\s*$", read))))
-        yield pd.DataFrame(out, columns=["source_id", "page_id", "title", "final"])
-
-
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         ids, nos, starts, ends = [], [], [], []
@@ -313,12 +302,13 @@ def sentences(results: DataFrame) -> DataFrame:
     A sentence in which a title or page number stands goes on behind it, so that its span holds the title, too.
     """
     pages = checkpoint(
-        results.where("result_id is not null and length(trim(raw_text)) > 0")
-        .select("result_id", "source_id", "page_id", "raw_text")
-        .dropDuplicates(["result_id"])
+        by_key(
+            results.where("result_id is not null and length(trim(raw_text)) > 0").select("result_id", "source_id", "page_id", "raw_text"),
+            "result_id",
+        ).dropDuplicates(["result_id"])
     )
-    lines = pages.select("source_id", "page_id", "raw_text").mapInPandas(_titles_of, "source_id string, page_id string, title string, final boolean")
-    titles = bounded_broadcast(checkpoint(running_titles(lines)))
+    lines = pages.select("source_id", "page_id", F.explode(F.split("raw_text", "\n")).alias("text"))
+    titles = bounded_broadcast(checkpoint(titles_of_lines(lines)))
     return (
         pages.join(titles, "source_id", "left")
         .select("result_id", "raw_text", "titles")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.operators.skew import join_by_size
-from foliospark.session import checkpoint
+from foliospark.session import by_key, checkpoint, spread
 
 SPAN = 150
 UNIT = 50
@@ -135,7 +135,7 @@ def _in_several(rows: DataFrame) -> DataFrame:
 
 def _texts(documents: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
     """(rep, text) of each distinct text, and the ids of documents whose whole text another document has."""
-    docs = documents.where(F.length("text") >= span).select("doc_id", "text", F.sha2("text", 256).alias("digest"))
+    docs = spread(documents.select("doc_id", "text")).where(F.length("text") >= span).select("doc_id", "text", F.sha2("text", 256).alias("digest"))
     groups = checkpoint(docs.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count("*").alias("n")))
     copies = groups.where("rep <> last").select("digest", "n")
     copied = join_by_size(docs.select("doc_id", "digest", F.length("text").cast("long").alias("n_chars")), copies, ["digest"], how="left_semi")
@@ -155,7 +155,7 @@ def shared_spans(documents: DataFrame, span: int = SPAN, unit: int = UNIT) -> Da
     units = checkpoint(texts.mapInPandas(_units(span, unit), "h long, rep long, pos int"))
     common = checkpoint(_in_several(units))
     near = join_by_size(units, common, ["h"], how="left_semi").groupBy("rep").agg(F.collect_set("pos").alias("units"))
-    windows = checkpoint(texts.join(near, "rep").mapInPandas(_windows(span, unit), "h long, rep long, pos int"))
+    windows = checkpoint(by_key(texts, "rep").join(near, "rep").mapInPandas(_windows(span, unit), "h long, rep long, pos int"))
     shared = checkpoint(_in_several(windows))
     found = (
         join_by_size(windows, shared, ["h"], how="left_semi")

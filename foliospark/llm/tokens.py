@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.session import spread
+
 #: Where the vocabulary lies; a parameter of every operator here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -150,4 +152,4 @@ def encode_documents(documents: DataFrame, vocabulary: str = VOCABULARY) -> Data
     A null, empty or blank text never fails: null and empty give [], blanks are tokens. The strings of special tokens
     are ordinary text. Repeated rows give repeated rows.
     """
-    return documents.select("doc_id", token_ids(F.col("text"), vocabulary).alias("ids"))
+    return spread(documents.select("doc_id", "text")).select("doc_id", token_ids(F.col("text"), vocabulary).alias("ids"))
