@@ -50,7 +50,7 @@ _DENSE = r"\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}"
 _LETTER, _DENSE_CHAR = re.compile("[A-Za-z]"), re.compile("[\u0e01-\u0e4f\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0002fa1f]")
 _IS_SPACED, _IS_DENSE = regex.compile(f"[{_SPACED}]"), regex.compile(f"[{_DENSE}]")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
-_ASCII_WORD = re.compile(r"[a-z0-9]+")
+_ASCII_WORD, _ASCII_FIRST = re.compile("[a-z0-9]+"), re.compile("[A-Za-z0-9]+")
 _INVISIBLE_END = regex.compile(r"[\s\p{Zs}\p{Cf}--­]+$", regex.V1)
 # Signs around a page number: dashes, bars and points, or a pair of brackets; commas and single brackets are body text.
 _AROUND = regex.compile(r"^[\s\p{Pd}|·•*~=_]*(?:\[(.*)\]|〔(.*)〕|\((.*)\)|［(.*)］|【(.*)】|([^\[\]〔〕()（）,;:，；：]*?))[\s\p{Pd}|·•*~=_.。]*$")
@@ -137,6 +137,9 @@ def _near(a: str, b: str, most: int) -> bool:
     """Whether so few single edits part two strings."""
     if abs(len(a) - len(b)) > most:
         return False
+    # An edit changes how often letters occur by two at most.
+    if sum(abs(a.count(c) - b.count(c)) for c in set(b)) > 2 * most:
+        return False
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
@@ -183,7 +186,8 @@ def _title_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def titles_of_lines(lines: DataFrame) -> DataFrame:
     """running_titles of raw lines. Lines are first counted by a rough key, by its hash; only those whose key stands on
     several pages of a source pass through Python for their exact key."""
-    short = lines.where((F.length("text") <= TITLE_CHARS) & F.col("text").isNotNull())
+    # Lines that end with a mark are no titles.
+    short = lines.where((F.length("text") <= TITLE_CHARS) & ~F.right(F.rtrim("text"), F.lit(1)).isin(*_FINAL))
     keyed = short.select("source_id", "page_id", "text", F.xxhash64("source_id", _rough_key(F.col("text"))).alias("rough"))
     often = (
         keyed.select("rough", F.xxhash64("page_id").alias("page"))
@@ -212,7 +216,7 @@ class _Pages:
     """Reads lines in page order, one line ahead: what each is, what stands beside it, and what its words count."""
 
     def __init__(self, titles: dict[str, list[str]]):
-        self.titles = titles
+        self.titles, self.known = titles, {}
         self.page: object = self
         self.held: tuple | None = None  # the line that is next to be judged
         self.first = True
@@ -221,6 +225,13 @@ class _Pages:
         self.counts: dict[str, Counter] = {x: Counter() for x in "webc"}
         self.seen: dict[str, list[str]] = {x: [] for x in "webc"}
 
+    def of(self, source) -> tuple[list[str], int]:
+        """A source's titles, and how long a line can be to be one, with a number and signs around it."""
+        if source not in self.known:
+            titles = self.titles.get(source) or []
+            self.known[source] = (titles, min(TITLE_CHARS, max((len(t) * 5 // 4 for t in titles), default=0) + 20))
+        return self.known[source]
+
     def add(self, page, line_id, source, text) -> None:
         if page != self.page:
             self.end_page()
@@ -253,8 +264,8 @@ class _Pages:
         if len(read) <= NUMBER_CHARS and not marked and is_number(read):
             self.out.append([line_id, False, True, "none", read, marked, final, None, None, False, None])
             return
-        titles = self.titles.get(source)
-        if titles and not marked and not final and len(read) <= TITLE_CHARS and is_title(title_key(read), titles, edge, final):
+        titles, longest = self.of(source)
+        if titles and not marked and not final and len(read) <= longest and is_title(title_key(read), titles, edge, final):
             self.out.append([line_id, True, False, "none", read, marked, final, None, None, False, None])
             return
         kind = _kind(read)
@@ -263,7 +274,7 @@ class _Pages:
             if before[3] == "dense":
                 nxt = read[:1]
             else:
-                m = _WORD.match(read)
+                m = _ASCII_FIRST.match(read) if read.isascii() else _WORD.match(read)
                 nxt = m.group() if m else ""
             self.emit(line_id, nxt)
         last_char = before[4][-1:] if before is not None and kind == "dense" else None
