@@ -153,7 +153,7 @@ def _near(a: str, b: str, most: int) -> bool:
 
 def is_title(key: str, titles: list[str], edge: bool, final: bool) -> bool:
     """Whether a line's key is a title of its source: the same, misread, or its first words (``edge``: the line is the
-    first or last of its page)."""
+    first or last of its page or next to a number, and no small letter begins it)."""
     if len(key) < 2:
         return False
     for t in titles:
@@ -212,6 +212,10 @@ _PASS = (
 _LINE = [x.split()[0] for x in _PASS.split(", ")][:11]
 
 
+def _is_short_number(text: str) -> bool:
+    return len(text) <= NUMBER_CHARS and is_number(reading(text))
+
+
 class _Pages:
     """Reads lines in page order, one line ahead: what each is, what stands beside it, and what its words count."""
 
@@ -219,7 +223,7 @@ class _Pages:
         self.titles, self.known = titles, {}
         self.page: object = self
         self.held: tuple | None = None  # the line that is next to be judged
-        self.first = True
+        self.first = True  # no line before on this page, or a number
         self.body: list | None = None  # the last body line, which waits for the next one
         self.out: list[list] = []
         self.counts: dict[str, Counter] = {x: Counter() for x in "webc"}
@@ -239,7 +243,7 @@ class _Pages:
         elif self.held is not None and self.held[0] == line_id:
             return
         if self.held is not None:
-            self.judge(False)
+            self.judge(False, text)
         self.held = (line_id, source, text)
 
     def end_page(self) -> None:
@@ -250,7 +254,7 @@ class _Pages:
             self.emit(None, None)
         self.body = None
 
-    def judge(self, is_last: bool) -> None:
+    def judge(self, is_last: bool, behind: str = "") -> None:
         line_id, source, text = self.held
         raw = text.rstrip()
         if not raw.isascii():
@@ -259,13 +263,15 @@ class _Pages:
         read = reading(raw[:-1] if marked else raw)
         if not read and not marked:
             return
-        edge, self.first = self.first or is_last, False
         final = read[-1:] in _FINAL
         if len(read) <= NUMBER_CHARS and not marked and is_number(read):
             self.out.append([line_id, False, True, "none", read, marked, final, None, None, False, None])
+            self.first = True
             return
+        edge, self.first = self.first or is_last, False
         titles, longest = self.of(source)
-        if titles and not marked and not final and len(read) <= longest and is_title(title_key(read), titles, edge, final):
+        may = bool(titles) and not marked and not final and len(read) <= longest
+        if may and is_title(title_key(read), titles, (edge or _is_short_number(behind)) and not read[:1].islower(), final):
             self.out.append([line_id, True, False, "none", read, marked, final, None, None, False, None])
             return
         kind = _kind(read)

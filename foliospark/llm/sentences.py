@@ -108,11 +108,12 @@ class _Page:
         self.breaks: set[int] = set()
         keys = [reading(x) for x in lines]
         filled = [k for k, x in enumerate(keys) if x]
+        numbers = {k for k in filled if is_number(keys[k])}
         begin = 0
         for k, line in enumerate(lines):
-            edge = bool(filled) and k in (filled[0], filled[-1])
             read = keys[k]
-            if not (is_number(read) or (titles and is_title(title_key(read), titles, edge, False))):
+            edge = bool(filled) and not read[:1].islower() and (k in (filled[0], filled[-1]) or k - 1 in numbers or k + 1 in numbers)
+            if not (k in numbers or (titles and is_title(title_key(read), titles, edge, False))):
                 for i, c in enumerate(line.rstrip(_BLANK)):
                     if not _unseen(c):
                         self.chars.append(" " if c.isspace() and c != "　" else c)
