@@ -468,18 +468,22 @@ def _uses(words, lexicon, pairs, key: str, evidence: float):
                     if (w in wanted) if wanted is not None else len(w) >= 2:
                         before, behind = found[k - 1][0] if k else "", found[k + 1][0] if k + 1 < len(found) else ""
                         out.append((line, int(nxt_id) if cut else -1, w, None, cut, before, behind))
-                if known is not None and nxt and found and not marked and not final and goes_on(found[-1][0], nxt.casefold(), known):
+                if known is not None and nxt and found and not marked and not final and goes_on(read, found[-1][0], nxt, known):
                     out.append((line, -1, "", None, 0, "", ""))
             yield pd.DataFrame(out, columns=["line_id", "next_id", "word", "meant", "cut", "before", "behind"])
 
     return run
 
 
-def goes_on(a: str, b: str, known: dict[str, int]) -> bool:
-    """Whether a line's last word and the next one's first are one word: together they are a known word, and one of them
-    is hardly a word by itself."""
-    both = known.get(a + b, 0)
-    return both >= 2 and a.isalpha() and 4 * min(known.get(a, 0), known.get(b, 0)) <= both
+def goes_on(read: str, a: str, nxt: str, known: dict[str, int]) -> bool:
+    """Whether a line's last word (a, case folded) and the next line's first are one word: together they are a known word
+    and one of them is hardly a word by itself; or they are the halves of a rare name, a with a capital, neither of them
+    ever seen inside a line."""
+    if _DIGIT.search(a) or not read.casefold().endswith(a):
+        return False
+    b = nxt.casefold()
+    both, alone = known.get(a + b, 0), (known.get(a, 0), known.get(b, 0))
+    return (both >= 2 and 4 * min(alone) <= both) or (alone == (0, 0) and nxt[0].islower() and len(a) > 1 and read[-len(a)].isupper())
 
 
 def _word_table(counts: DataFrame) -> DataFrame:

@@ -263,3 +263,13 @@ def test_units_are_common_to_equal_passages():
         assert hashes[0] & hashes[1]
 
 
+
+
+def test_words_that_go_on_without_a_mark():
+    known = {"hammer": 5, "ham": 1, "cord": 40, "cordage": 3, "age": 30, "the": 90}
+    assert scans.goes_on("and the ham", "ham", "mer", known)
+    assert scans.goes_on("cria le copiste de Kel", "kel", "gasted", known)
+    assert not scans.goes_on("two lengths of cord", "cord", "age", known)
+    assert not scans.goes_on("and the ham —", "ham", "mer", known)
+    assert not scans.goes_on("of the", "the", "dyer", known)
+    assert not scans.goes_on("the weaver of Kelgasted", "kelgasted", "Turns", known)
