@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
-from foliospark.functions.text import clean_markup, has_known_noise
+from foliospark.functions.text import CJK, clean_markup, has_known_noise
 from foliospark.operators import layout, metrics, review, spatial
 from foliospark.operators.integrity import first_of
 from foliospark.plans.lexical import EVERY, FIGURE_NO
@@ -89,6 +89,13 @@ def q_reading_order(spark: SparkSession, d: str) -> DataFrame:
     return layout.reading_order(boxes, page="result_id").select("line_id", "result_id", "position")
 
 
+def q_layout_roles(spark: SparkSession, d: str) -> DataFrame:
+    """Roles of boxes by place, size and letters."""
+    pages = first_of(table(spark, d, "page_inventory").select("page_id", F.col("width").alias("page_width"), F.col("height").alias("page_height"), "arrived_at"), ["page_id"], ["arrived_at"]).drop("arrived_at")
+    boxes = _lines(spark, d).join(pages, "page_id").withColumn("page_no", F.regexp_extract("page_id", r"-p(\d+)$", 1).try_cast("int"))
+    return layout.roles(boxes).select("line_id", "role")
+
+
 def q_section_fill(spark: SparkSession, d: str) -> DataFrame:
     """Lines by the section they stand in: the last line that ends a paragraph by an exclamation or question mark."""
     anchor = F.when(F.col("text").rlike("[!?]$"), F.col("line_id"))
@@ -233,7 +240,7 @@ def q_stream_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    q_bbox_problems, q_contained, q_pixel_boxes, q_crop_pixels, q_located, q_regions_in_crop, q_scoped_functions, q_reading_order, q_section_fill, q_order_monotonic,
+    q_bbox_problems, q_contained, q_pixel_boxes, q_crop_pixels, q_located, q_regions_in_crop, q_scoped_functions, q_reading_order, q_layout_roles, q_section_fill, q_order_monotonic,
     q_permutation, q_inserted, q_alignment, q_error_rates, q_corpus_error_rate, q_box_recall, q_consensus, q_review_reasons, q_overrides, q_label_audit, q_quality_gates,
     q_markup, q_noise_terms, q_stream_windows, q_stream_latest,
 )}
@@ -266,6 +273,10 @@ SQL = {
       where not exists (select 1 from j where j.figure_key = k.figure_key and j.no = k.no and not ok)""",
     "q_reading_order": f"""with {_ONCE}, {_PAGES}, c as (select *, (bbox[1] + bbox[3]) / 2 m from li join pg using (page_id))
       select line_id, result_id, row_number() over (partition by result_id order by case when m >= w / 2 then 0 else 1 end, -round_even((m / 40)::double, 0), bbox[2], -m, box_id) "position" from c""",
+    "q_layout_roles": f"""with {_ONCE}, {_PAGES}, c as (select *, bbox[3] - bbox[1] bw, bbox[4] - bbox[2] bh, length(regexp_replace(coalesce("text", ''), '[^{CJK}]', '', 'g')) nc, cast(nullif(regexp_extract(page_id, '-p(\\d+)$', 1), '') as int) no from li join pg using (page_id))
+      select line_id, case when no = 1 then 'book_title' when bbox[1] < w * 0.115::double and bh < h * 0.32::double then 'margin_mark'
+        when regexp_matches(coalesce("text", ''), '[A-Za-z0-9]') and (nc < 8 or bh < h * 0.28::double) then 'interlinear_annotation' when bw < 25 and bh < 80 then 'recognition_fragment'
+        when nc >= 10 or bh >= h * 0.28::double then 'body' else 'interlinear_annotation' end "role" from c""",
     "q_section_fill": f"""with {_ONCE} select line_id, last_value(case when regexp_matches("text", '[!?]$') then line_id end ignore nulls) over (partition by result_id order by reading_order rows between unbounded preceding and current row) section from li""",
     "q_order_monotonic": f"""with {_ONCE}, l as (select result_id, bbox[3] y, lag(bbox[3]) over (partition by result_id order by reading_order) p from li) select result_id, count(*) n_back from l where y < p group by 1""",
     "q_permutation": f"""with {_ONCE} select * from (select result_id, count(reading_order) n, count(distinct reading_order) n_distinct, min(reading_order) lowest, max(reading_order) highest from li where deleted_at is null group by 1)

@@ -65,3 +65,9 @@ def freeze(df: DataFrame, folder: str) -> str:
     path = f"{folder}/snap-{content_digest(df)}"
     write_once(df, path)
     return path
+
+
+def append_snapshot(sessions: DataFrame, candidates: DataFrame, folder: str) -> None:
+    """Appends a search's sessions (one row a query, with its configuration) and their ranked candidates."""
+    candidates.write.mode("append").parquet(f"{folder}/candidates")
+    sessions.write.mode("append").parquet(f"{folder}/sessions")

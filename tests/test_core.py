@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import geometry as G
 from foliospark.functions import ids, score, text
 from foliospark.operators import bm25, cfr, integrity, layout, metrics, orphans, review, search, similarity, skew, spatial, vectors
-from foliospark.sources import files, storage
+from foliospark.sources import files, recognition, storage
 
 
 def value(spark, column, schema="a int", row=(1,)):
@@ -375,3 +375,23 @@ def test_exact_top_k_with_unusable_vectors(spark):
     got = vectors.exact_top_k(df.where("vec_id = 1"), df, 5).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [2, 3]
     assert vectors.exact_top_k(df.limit(0), df, 5).count() == 0
+
+
+def test_recognised_lines_of_both_layouts(spark):
+    square = "[[0,0],[4,0],[4,2],[0,2]]"
+    rows = [
+        ("a", f'{{"res":{{"rec_texts":["x"," ","z"],"rec_scores":[1.5,0.2],"rec_boxes":[[1,2,3,4],[0,0,1,1],{square}]}}}}'),
+        ("b", '{"rec_texts":["y"],"rec_scores":[0.5]}'),
+        ("c", f'[[{square},["t",-1]],[[1],["u"]],["v"],[{square},[" ",1]]]'),
+        ("d", None),
+        ("e", "no json"),
+        ("f", "[]"),
+    ]
+    got = {(r["page"], r["reading_order"]): (r["text"], r["bbox"], r["confidence"]) for r in recognition.recognised_lines(spark.createDataFrame(rows, "page string, payload string")).collect()}
+    assert got == {
+        ("a", 0): ("x", [1.0, 2.0, 3.0, 4.0], 1.0),
+        ("a", 2): ("z", [0.0, 0.0, 4.0, 2.0], 0.0),
+        ("b", 0): ("y", [0.0] * 4, 0.5),
+        ("c", 0): ("t", [0.0, 0.0, 4.0, 2.0], 0.0),
+        ("c", 1): ("u", [0.0] * 4, 0.0),
+    }
