@@ -26,7 +26,7 @@ SAMPLE = 20_000
 #: Rows that a list should have.
 LIST_ROWS = 200
 #: Lists that a query looks into.
-PROBES = 24
+PROBES = 48
 #: Members, and queries, of one task's block of lists.
 CELL_ROWS = 10_000
 #: Strictness of the test: a candidate is abandoned if its scaled partial distance exceeds (1 + EPS0 / sqrt(dims)) times
