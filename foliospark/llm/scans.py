@@ -11,10 +11,10 @@ from __future__ import annotations
 import re
 import unicodedata
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from math import log
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -50,6 +50,7 @@ _DENSE = r"\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}"
 _LETTER, _DENSE_CHAR = re.compile("[A-Za-z]"), re.compile("[\u0e01-\u0e4f\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0002fa1f]")
 _IS_SPACED, _IS_DENSE = regex.compile(f"[{_SPACED}]"), regex.compile(f"[{_DENSE}]")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
+_TOKEN, _ASCII_TOKEN = regex.compile(r"[\p{L}\p{M}\p{Nd}]+|\n"), re.compile(r"[a-z0-9]+|\n")
 _ASCII_WORD, _ASCII_FIRST = re.compile("[a-z0-9]+"), re.compile("[A-Za-z0-9]+")
 _INVISIBLE_END = regex.compile(r"[\s\p{Zs}\p{Cf}--­]+$", regex.V1)
 # Signs around a page number: dashes, bars and points, or a pair of brackets; commas and single brackets are body text.
@@ -94,7 +95,7 @@ def is_number(read: str) -> bool:
 
 def title_key(read: str) -> str:
     """What a running title has in common on all pages: without numbers, signs and case."""
-    words = read.casefold().translate(_SIGNS).split()
+    words = _ASCII_WORD.findall(read.lower()) if read.isascii() else read.casefold().translate(_SIGNS).split()
     while len(words) > 1 and _NUMBER_WORD.match(words[-1]) and is_number(words[-1]):
         words.pop()
     while len(words) > 1 and _NUMBER_WORD.match(words[0]) and is_number(words[0]):
@@ -162,15 +163,15 @@ def is_title(key: str, titles: list[str], edge: bool, final: bool) -> bool:
         if len(key) < len(t) and not final:
             head = t[: len(key)]
             whole = t[len(key)] == " " or not t.isascii()
-            if whole and (edge or " " in key) and (key == head or (len(key) >= 6 and _near(key, head, 1))):
+            ends = key[:3] == head[:3] or key[-3:] == head[-3:]  # a single edit leaves one of them
+            if whole and ends and (edge or " " in key) and (key == head or (len(key) >= 6 and _near(key, head, 1))):
                 return True
     return False
 
 
 def _rough_key(text: Column) -> Column:
     """What a title's clean spellings have in common, by built-in functions alone: letters, without numerals."""
-    letters = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")
-    return F.trim(F.regexp_replace(letters, rf"[{_CJK_DIGITS}]+|\b[ivxlcdm]+\b|\s+", " "))
+    return F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{M}}]+|[{_CJK_DIGITS}]+|\b[ivxlcdm]+\b", "")
 
 
 def _title_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,6 +217,65 @@ def _is_short_number(text: str) -> bool:
     return len(text) <= NUMBER_CHARS and is_number(reading(text))
 
 
+class _Counts:
+    """Counts of words, of words at a line's ends, and of neighbours, over many lines at a time: words become numbers, and
+    numbers are counted as arrays."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[str, int] = {"\n": 0}
+        self.words: list[np.ndarray] = []  # (word, count), and so on
+        self.ends: list[np.ndarray] = []
+        self.pairs: list[np.ndarray] = []
+        self.chars: list[np.ndarray] = []
+
+    def __len__(self) -> int:
+        return len(self.ids) + sum(len(x) for x in (*self.pairs, *self.chars))
+
+    def add_lines(self, texts: list[str], marked: list[bool], pattern) -> None:
+        """Counts the words of lines; of a marked line the last word is no end, being whole."""
+        if not texts:
+            return
+        ids = self.ids
+        w = np.array([0] + [ids.setdefault(x, len(ids)) for x in pattern.findall("\n".join(texts))] + [0])
+        self.words.append(_tally(w[w > 0]))
+        at = np.flatnonzero(w == 0)
+        some = np.diff(at) > 1
+        first, last = at[:-1][some] + 1, at[1:][some] - 1
+        last = last[(last > first) & ~np.array(marked)[some]] if len(first) else last
+        self.ends.append(_tally(np.concatenate([w[first], w[last]])))
+        both = (w[:-1] > 0) & (w[1:] > 0)
+        self.pairs.append(_tally(w[:-1][both] << 32 | w[1:][both]))
+
+    def add_dense(self, texts: list[str]) -> None:
+        """Counts characters that follow each other."""
+        if texts:
+            c = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            both = (c[:-1] != 10) & (c[1:] != 10)
+            self.chars.append(_tally(c[:-1][both] << 32 | c[1:][both]))
+
+    def rows(self) -> list[tuple[str, str, int]]:
+        names = list(self.ids)
+        low = (1 << 32) - 1
+        out = [(what, names[k], int(n)) for what, parts in (("w", self.words), ("e", self.ends)) for k, n in _total(parts)]
+        out += [("b", f"{names[k >> 32]} {names[k & low]}", int(n)) for k, n in _total(self.pairs)]
+        return out + [("c", chr(k >> 32) + chr(k & low), int(n)) for k, n in _total(self.chars)]
+
+
+def _tally(keys: np.ndarray) -> np.ndarray:
+    return np.stack(np.unique(keys, return_counts=True), axis=1)
+
+
+def _total(parts: list[np.ndarray]) -> list[list[int]]:
+    if not parts:
+        return []
+    both = np.concatenate(parts)
+    keys, at = np.unique(both[:, 0], return_inverse=True)
+    return list(zip(keys.tolist(), np.bincount(at, both[:, 1]).astype(np.int64).tolist(), strict=True))
+
+
 class _Pages:
     """Reads lines in page order, one line ahead: what each is, what stands beside it, and what its words count."""
 
@@ -226,8 +286,8 @@ class _Pages:
         self.first = True  # no line before on this page, or a number
         self.body: list | None = None  # the last body line, which waits for the next one
         self.out: list[list] = []
-        self.counts: dict[str, Counter] = {x: Counter() for x in "webc"}
-        self.seen: dict[str, list[str]] = {x: [] for x in "webc"}
+        self.counts = _Counts()
+        self.plain, self.other, self.dense = ([], []), ([], []), []  # texts to be counted, and whether they are marked
 
     def of(self, source) -> tuple[list[str], int]:
         """A source's titles, and how long a line can be to be one, with a number and signs around it."""
@@ -270,8 +330,7 @@ class _Pages:
             return
         edge, self.first = self.first or is_last, False
         titles, longest = self.of(source)
-        may = bool(titles) and not marked and not final and len(read) <= longest
-        if may and is_title(title_key(read), titles, (edge or _is_short_number(behind)) and not read[:1].islower(), final):
+        if titles and not marked and not final and len(read) <= longest and self.is_head(read, titles, edge, behind):
             self.out.append([line_id, True, False, "none", read, marked, final, None, None, False, None])
             return
         kind = _kind(read)
@@ -286,34 +345,40 @@ class _Pages:
         last_char = before[4][-1:] if before is not None and kind == "dense" else None
         self.body = [line_id, False, False, kind, read, marked, final, None, None, before is not None and before[5], last_char]
 
+    def is_head(self, read: str, titles: list[str], edge: bool, behind: str) -> bool:
+        key = title_key(read)
+        if not is_title(key, titles, True, False):
+            return False
+        return is_title(key, titles, (edge or _is_short_number(behind)) and not read[:1].islower(), False)
+
     def emit(self, next_id, nxt) -> None:
         """Hands on the waiting body line, and counts its words or characters."""
         line = self.body
         line[7], line[8] = next_id, nxt
         self.out.append(line)
-        seen = self.seen
+        read, marked = line[4], line[5]
         if line[3] == "dense":
-            seen["c"] += _char_pairs(_with_edges(line[4], line[10], nxt))
+            self.dense.append(_with_edges(read, line[10], nxt))
         elif line[3] == "spaced":
-            words = [x for x, _ in words_of(line[4], line[5], nxt, line[9])]
-            if words:
-                seen["w"] += words
-                seen["e"] += words[:1] if line[5] or len(words) == 1 else (words[0], words[-1])
-                seen["b"] += [f"{x} {y}" for x, y in zip(words, words[1:], strict=False)]
+            text = countable_text(read, marked, nxt, line[9])
+            texts, marks = self.plain if text.isascii() else self.other
+            texts.append(text)
+            marks.append(marked)
 
     def frame(self, end: bool) -> pd.DataFrame:
         """The lines that are ready, and the counts if they are many or the end is there."""
         lines = pd.DataFrame(self.out, columns=_LINE)
         self.out = []
-        for k, keys in self.seen.items():
-            self.counts[k].update(keys)
-            keys.clear()
-        if not end and sum(map(len, self.counts.values())) <= _COUNTED:
+        counts = self.counts
+        counts.add_lines(*self.plain, _ASCII_TOKEN)
+        counts.add_lines(*self.other, _TOKEN)
+        counts.add_dense(self.dense)
+        self.plain, self.other, self.dense = ([], []), ([], []), []
+        if not end and len(counts) <= _COUNTED:
             return lines.assign(what=None, key=None, n=None)
-        parts = [(k, x, n) for k, c in self.counts.items() for x, n in c.items()]
-        for c in self.counts.values():
-            c.clear()
-        return pd.concat([lines, pd.DataFrame(parts, columns=["what", "key", "n"])])
+        rows = pd.DataFrame(counts.rows(), columns=["what", "key", "n"])
+        counts.clear()
+        return pd.concat([lines, rows])
 
 
 def _pages(shared):
@@ -363,19 +428,17 @@ def read_pages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.where("line_id is not null").select(*_LINE), written(sums)
 
 
-def words_of(read: str, marked: bool, next_first: str | None, was_marked: bool) -> list[tuple[str, int]]:
-    """(word, cut) of a line: a word broken at its end is whole, cut being the length of what stands in this line (else
-    0); the rest of one that the line before began is left out."""
-    if read.isascii():
-        found = _ASCII_WORD.findall(read.lower())
-    else:
-        found = _WORD.findall(read.casefold())
-    if was_marked and found and read[:1].isalnum() and _countable(found[0]):
-        found = found[1:]
-    out = [(w, 0) for w in found]
-    if marked and out and next_first and _countable(next_first):
-        out[-1] = (out[-1][0] + next_first.casefold(), len(out[-1][0]))
-    return out
+def countable_text(read: str, marked: bool, next_first: str | None, was_marked: bool) -> str:
+    """The words of a line as one text: a word broken at its end is whole, and the rest of one that the line before began
+    is left out."""
+    text = read.lower() if read.isascii() else read.casefold()
+    if was_marked and text[:1].isalnum():
+        first = (_ASCII_FIRST if text.isascii() else _WORD).match(text).group()
+        if _countable(first):
+            text = text[len(first) :]
+    if marked and next_first and _countable(next_first) and text:
+        text += next_first.casefold()
+    return text
 
 
 def _countable(w: str) -> bool:
@@ -390,10 +453,6 @@ def _with_edges(read: str, last: str | None, nxt: str | None) -> str:
     return (last or "^") + _DIGIT.sub("0", read) + (nxt or "$")
 
 
-def _char_pairs(text: str) -> list[str]:
-    return [text[i : i + 2] for i in range(len(text) - 1)]
-
-
 def _delete_index(words: DataFrame) -> DataFrame:
     """(key, word, n): the word, and what is left of it without a letter or without two that follow each other."""
     size = F.length("word")
@@ -463,12 +522,16 @@ def _uses(words, lexicon, pairs, key: str, evidence: float):
                             if log(n(left + y, 0) + 0.5) + log(n(y + right, 0) + 0.5) - had >= evidence:
                                 out.append((line, -1, x, y, m.start() - 1, left, right))
                     continue
-                found = words_of(read, marked, nxt, was)
-                for k, (w, cut) in enumerate(found):
-                    if (w in wanted) if wanted is not None else len(w) >= 2:
-                        before, behind = found[k - 1][0] if k else "", found[k + 1][0] if k + 1 < len(found) else ""
-                        out.append((line, int(nxt_id) if cut else -1, w, None, cut, before, behind))
-                if known is not None and nxt and found and not marked and not final and goes_on(read, found[-1][0], nxt, known):
+                text = countable_text(read, marked, nxt, was)
+                found = (_ASCII_WORD if text.isascii() else _WORD).findall(text)
+                if wanted is None or not wanted.isdisjoint(found):
+                    whole = len(found) - 1 if marked and nxt and _countable(nxt) else -1
+                    for k, w in enumerate(found):
+                        if (w in wanted) if wanted is not None else len(w) >= 2:
+                            before, behind = found[k - 1] if k else "", found[k + 1] if k + 1 < len(found) else ""
+                            cut = max(len(w) - len(nxt.casefold()), 0) if k == whole else 0
+                            out.append((line, int(nxt_id) if cut else -1, w, None, cut, before, behind))
+                if known is not None and nxt and found and not marked and not final and goes_on(read, found[-1], nxt, known):
                     out.append((line, -1, "", None, 0, "", ""))
             yield pd.DataFrame(out, columns=["line_id", "next_id", "word", "meant", "cut", "before", "behind"])
 
