@@ -16,6 +16,7 @@ from math import log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,6 +69,8 @@ _ROMAN_VALUES = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000
 _FINAL = frozenset(".!?…。,;:、”»」“)।॥○")
 #: Longest line, in characters, that is tried as a page number, and as a running title.
 NUMBER_CHARS, TITLE_CHARS = 24, 80
+#: Longest line, with its invisible characters, that counts when titles are looked for.
+ROUGH_CHARS = 64
 _NUMBER_WORD = re.compile(rf"[\dlIiOoSsBbZzGgqTtvxcdm|{_CJK_DIGITS}人入土士于第弟丁葉頁页]+$")
 #: Signs that part the words of a title.
 _SIGNS = {ord(c): " " for c in map(chr, range(0x10000)) if c == "|" or unicodedata.category(c).startswith("P")}
@@ -188,7 +191,7 @@ def titles_of_lines(lines: DataFrame) -> DataFrame:
     """running_titles of raw lines. Lines are first counted by a rough key, by its hash; only those whose key stands on
     several pages of a source pass through Python for their exact key."""
     # Lines that end with a mark are no titles.
-    short = lines.where((F.length("text") <= TITLE_CHARS) & ~F.right(F.rtrim("text"), F.lit(1)).isin(*_FINAL))
+    short = lines.where((F.length("text") <= ROUGH_CHARS) & ~F.right(F.rtrim("text"), F.lit(1)).isin(*_FINAL))
     keyed = short.select("source_id", "page_id", "text", F.xxhash64("source_id", _rough_key(F.col("text"))).alias("rough"))
     often = (
         keyed.select("rough", F.xxhash64("page_id").alias("page"))
@@ -365,42 +368,46 @@ class _Pages:
             texts.append(text)
             marks.append(marked)
 
-    def frame(self, end: bool) -> pd.DataFrame:
+    def batches(self, end: bool) -> Iterator[pa.RecordBatch]:
         """The lines that are ready, and the counts if they are many or the end is there."""
-        lines = pd.DataFrame(self.out, columns=_LINE)
-        self.out = []
+        if self.out:
+            yield _batch(dict(zip(_LINE, zip(*self.out, strict=True), strict=True)), len(self.out))
+            self.out = []
         counts = self.counts
         counts.add_lines(*self.plain, _ASCII_TOKEN)
         counts.add_lines(*self.other, _TOKEN)
         counts.add_dense(self.dense)
         self.plain, self.other, self.dense = ([], []), ([], []), []
-        if not end and len(counts) <= _COUNTED:
-            return lines.assign(what=None, key=None, n=None)
-        rows = pd.DataFrame(counts.rows(), columns=["what", "key", "n"])
-        counts.clear()
-        return pd.concat([lines, rows])
+        if end or len(counts) > _COUNTED:
+            rows = counts.rows()
+            counts.clear()
+            for at in range(0, len(rows), 20_000):
+                part = rows[at : at + 20_000]
+                yield _batch(dict(zip(("what", "key", "n"), zip(*part, strict=True), strict=True)), len(part))
 
 
-def _pages(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pages = _Pages({} if shared is None else shared.value)
+_ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+_FIELDS = {x.split()[0]: _ARROW[x.split()[1]] for x in _PASS.split(", ")}
+
 
-        def frame(end: bool) -> pd.DataFrame:
-            out = pages.frame(end)
-            for c in ("line_id", "next_id", "n"):
-                out[c] = out[c].astype("Int64")
-            for c in ("head", "number", "marked", "final", "was_marked"):
-                out[c] = out[c].astype("boolean")
-            return out[[*_LINE, "what", "key", "n"]]
+def _batch(columns: dict[str, tuple], n: int) -> pa.RecordBatch:
+    """A record batch of the page pass; columns that are not given are null."""
+    arrays = [pa.array(columns[name], kind) if name in columns else pa.nulls(n, kind) for name, kind in _FIELDS.items()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(_FIELDS))
 
+
+def _pages(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages = _Pages({} if shared is None else shared.value)
         for b in batches:
+            column = {name: b.column(name).to_pylist() for name in b.schema.names}
             if shared is None:
-                pages.titles.update((s, list(t)) for s, t in zip(b["source_id"], b["titles"], strict=True) if t is not None)
-            for page, line_id, source, text in zip(b["page"], b["line_id"], b["source_id"], b["text"], strict=True):
+                pages.titles.update((s, t) for s, t in zip(column["source_id"], column["titles"], strict=True) if t is not None)
+            for page, line_id, source, text in zip(*(column[x] for x in ("page", "line_id", "source_id", "text")), strict=True):
                 pages.add(page, line_id, source, text)
-            yield frame(False)
+            yield from pages.batches(False)
         pages.end_page()
-        yield frame(True)
+        yield from pages.batches(True)
 
     return run
 
@@ -422,7 +429,7 @@ def read_pages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not few:
         rows = rows.join(titles, "source_id", "left")
     ordered = by_key(rows, "page").sortWithinPartitions("page", "reading_order", "line_id").drop("reading_order")
-    both = written(ordered.mapInPandas(_pages(shared), _PASS))
+    both = written(ordered.mapInArrow(_pages(shared), _PASS))
     # Pairs seen once say nothing and are left out.
     sums = both.where("what is not null").groupBy("what", "key").agg(F.sum("n").alias("n")).where("what in ('w', 'e') or n > 1")
     return both.where("line_id is not null").select(*_LINE), written(sums)
@@ -492,6 +499,8 @@ def corrections(words: DataFrame, known: int = KNOWN, ratio: float = RATIO) -> D
 _held: dict[str, object] = {}
 
 _USE = "line_id long, next_id long, word string, meant string, cut int, before string, behind string"
+_USE_NAMES = [x.split()[0] for x in _USE.split(", ")]
+_USE_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
 
 
 def _uses(words, lexicon, pairs, key: str, evidence: float):
@@ -502,7 +511,7 @@ def _uses(words, lexicon, pairs, key: str, evidence: float):
     swap = {c: [x for x in others if _IS_DENSE.match(x)] for c, others in partners().items() if _IS_DENSE.match(c)}
     may = re.compile("[" + "".join(swap) + "]")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _held:
             _held.clear()
             _held[key] = tuple(None if x is None else x.value for x in (words, lexicon, pairs))
@@ -511,7 +520,8 @@ def _uses(words, lexicon, pairs, key: str, evidence: float):
         for b in batches:
             out = []
             for line, nxt_id, read, marked, kind, final, nxt, was, last in zip(
-                *(b[x] for x in ("line_id", "next_id", "read", "marked", "kind", "final", "next_first", "was_marked", "last_char")), strict=True
+                *(b.column(x).to_pylist() for x in ("line_id", "next_id", "read", "marked", "kind", "final", "next_first", "was_marked", "last_char")),
+                strict=True,
             ):
                 if kind == "dense":
                     text = _with_edges(read, last, nxt)
@@ -530,10 +540,11 @@ def _uses(words, lexicon, pairs, key: str, evidence: float):
                         if (w in wanted) if wanted is not None else len(w) >= 2:
                             before, behind = found[k - 1] if k else "", found[k + 1] if k + 1 < len(found) else ""
                             cut = max(len(w) - len(nxt.casefold()), 0) if k == whole else 0
-                            out.append((line, int(nxt_id) if cut else -1, w, None, cut, before, behind))
+                            out.append((line, nxt_id if cut else -1, w, None, cut, before, behind))
                 if known is not None and nxt and found and not marked and not final and goes_on(read, found[-1], nxt, known):
                     out.append((line, -1, "", None, 0, "", ""))
-            yield pd.DataFrame(out, columns=["line_id", "next_id", "word", "meant", "cut", "before", "behind"])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _USE_TYPES, strict=True)], names=_USE_NAMES)
 
     return run
 
@@ -579,7 +590,7 @@ def suspects(body: DataFrame, counts: DataFrame, words: DataFrame, evidence: flo
     top = counts.where("what = 'c' and n >= 2").orderBy(F.desc("n"), "key").limit(CHAR_PAIRS).select("key", "n")
     pairs = context.broadcast({r["key"]: r["n"] for r in top.toLocalIterator()})
     rows = body.where("kind <> 'none'").select("line_id", "next_id", "read", "marked", "kind", "final", "next_first", "was_marked", "last_char")
-    return written(rows.mapInPandas(_uses(shared, lexicon, pairs, uuid.uuid4().hex, evidence), _USE)), found, small
+    return written(rows.mapInArrow(_uses(shared, lexicon, pairs, uuid.uuid4().hex, evidence), _USE)), found, small
 
 
 def misread_characters(seen: DataFrame) -> DataFrame:
