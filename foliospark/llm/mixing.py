@@ -5,6 +5,9 @@ documents are used once more is drawn with the probability q - floor(q), balance
 documents. The flight moves a few open probabilities at a time along the null space of the two constraints, until each
 is 0 or 1; it runs in blocks, and what a block leaves open (at most two documents) flies again with that of other
 blocks, until a landing problem of a few documents a source remains.
+
+A large document moves least in each step and so stays open longest. Some documents of each source, LANDING or so drawn by
+their ids, are therefore kept for the landing, where they make up for it.
 """
 
 from __future__ import annotations
@@ -20,6 +23,9 @@ from foliospark.session import by_key, checkpoint
 #: Documents that fly together. A block is one task's group; of a hot source there are as many blocks as it needs.
 BLOCK = 20_000
 
+#: Documents of each source that are kept for the landing, on average.
+LANDING = 48
+
 _EPS = 1e-9
 
 
@@ -40,8 +46,7 @@ def flight(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.nd
     rows = [(1.0, float(t) / scale) for t in tokens]
     coins = iter(rng.random(len(p) + 8))
     open_: list[int] = []
-    # Large documents first, in random order among equals: what stays open for the landing is then small.
-    for i in np.lexsort((rng.random(len(p)), -tokens)):
+    for i in rng.permutation(len(p)):
         if _EPS < p[i] < 1 - _EPS:
             open_.append(int(i))
         while len(open_) == 3:
@@ -74,16 +79,25 @@ def _fly(seed: int):
 
 
 def _land(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rounds the few open documents of a source so that the tokens come nearest to what is due; ties: lower doc_id."""
+    """Decides the documents of a source that are still open: about as many as are due, and so that their tokens come as
+    near as swaps and single changes bring them to what is due. In the order of doc_id, so that it can be repeated."""
     pdf = pdf.sort_values("doc_id", ignore_index=True)
-    due, best = float((pdf["p"] * pdf["n_tokens"]).sum()), None
-    n = len(pdf)
-    for mask in range(1 << n):
-        chosen = [mask >> k & 1 for k in range(n)]
-        off = abs(due - sum(c * t for c, t in zip(chosen, pdf["n_tokens"], strict=True)))
-        if best is None or off < best[0] - 1e-9:
-            best = (off, chosen)
-    return pdf.assign(p=[float(c) for c in best[1]])
+    p, t = pdf["p"].to_numpy(), pdf["n_tokens"].to_numpy().astype(float)
+    due, n = float((p * t).sum()), len(pdf)
+    chosen = np.zeros(n, bool)
+    chosen[np.random.default_rng(n).permutation(n)[: round(float(p.sum()))]] = True
+    for _ in range(4 * n):
+        off = due - t[chosen].sum()
+        # What each single change adds, and what each swap of one in for one out adds.
+        single = np.where(chosen, -t, t)
+        swap = np.where(chosen[None, :] & ~chosen[:, None], t[:, None] - t[None, :], np.inf)
+        one, two = int(np.abs(off - single).argmin()), np.unravel_index(int(np.abs(off - swap).argmin()), swap.shape)
+        best = min((abs(off - swap[two]), 1), (abs(off - single[one]), 0))
+        if best[0] >= abs(off) - 1e-9:
+            break
+        changed = list(two) if best[1] else [one]
+        chosen[changed] = ~chosen[changed]
+    return pdf.assign(p=chosen.astype(float))
 
 
 def source_needs(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
@@ -133,8 +147,12 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
         F.floor("passes").alias("whole"),
         (F.col("passes") - F.floor("passes")).alias("p"),
         F.floor(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.ceil(F.col("n_docs") / block))).cast("long").alias("block"),
+        "n_docs",
     )
-    schema = drawn.schema
+    schema = drawn.drop("n_docs").schema
+    kept = F.pmod(F.xxhash64(F.lit(seed), F.lit("land"), "doc_id"), F.lit(1_000_000_007)) < LANDING * 1_000_000_007 / F.col("n_docs")
+    drawn = checkpoint(drawn.withColumn("kept", kept).select(*schema.names, "kept"))
+    held, drawn = drawn.where("kept").drop("kept"), drawn.where("not kept").drop("kept")
     flown = checkpoint(drawn.groupBy("source", "block").applyInPandas(_fly(seed), schema))
     done, still_open = [], flown
     is_open = (F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)
@@ -150,7 +168,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
             "block", F.pmod(F.xxhash64(F.lit(seed + len(done)), "doc_id"), F.ceil(F.col("count") / block)).cast("long")
         )
         still_open = checkpoint(again.select(*schema.names).groupBy("source", "block").applyInPandas(_fly(seed + len(done)), schema))
-    landed = still_open.groupBy("source").applyInPandas(_land, schema)
+    done.append(held.where(~is_open))
+    landed = still_open.unionByName(held.where(is_open)).groupBy("source").applyInPandas(_land, schema)
     for part in done:
         landed = landed.unionByName(part)
     return landed.select("doc_id", "source", "n_tokens", (F.col("whole") + F.round("p")).cast("int").alias("times")).where("times > 0")
