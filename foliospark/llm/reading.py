@@ -9,12 +9,13 @@ spelling. Tokens that reach none are brought to one form by table.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,7 +56,7 @@ SAME_READING = ("<wide>", "<narrow>", "<compat>", "<font>", "<noBreak>", "<isola
 #: Marks that are invisible though they are no format characters: variation selectors, fillers and joiners.
 INVISIBLE = {*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0), 0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x3164, 0xFFA0}
 
-#: Words whose spellings are canonical candidates; all other tokens are brought to the same reading by table.
+#: Words whose spellings go to all workers; those beyond get their canonical spelling by a join on their reading.
 VOCABULARY_WORDS = 50_000
 
 
@@ -152,10 +153,22 @@ class Trie:
 _TOKEN = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{Devanagari}\p{M}\p{Cf}]+|[^\p{Latin}\p{Cyrillic}\p{Greek}\p{Devanagari}\p{M}\p{Cf}]+")
 
 
+def _words_of(text: str) -> Column:
+    """The words of a column, as _TOKEN finds them."""
+    return F.regexp_extract_all(text, F.lit(r"([\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{IsDevanagari}\p{M}\p{Cf}]+)"), F.lit(1))
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) of the column ``text``: spellings as they are."""
-    words = F.regexp_extract_all("text", F.lit(r"([\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{IsDevanagari}\p{M}\p{Cf}]{2,})"), F.lit(1))
-    return texts.select(F.explode(words).alias("word")).groupBy("word").count().withColumnRenamed("count", "n")
+    return texts.select(F.explode(_words_of("text")).alias("word")).groupBy("word").count().withColumnRenamed("count", "n")
+
+
+def _as_read(token: str) -> str:
+    """What a token reads as, by table, decomposed: tokens that share it read the same."""
+    whole = unicodedata.normalize("NFD", token).translate(table())
+    for a, b in _THAI:
+        whole = whole.replace(a, b)
+    return whole
 
 
 class Canonical:
@@ -164,42 +177,75 @@ class Canonical:
     def __init__(self, words: list[tuple[str, int]]):
         self.trie, self.known = Trie(dict(words)), {}
 
-    def _token(self, t: str) -> str:
+    def _token(self, t: str, rest: dict[str, str]) -> str:
         to = self.known.get(t)
         if to is None:
             if len(self.known) >= 100_000:
                 self.known.clear()
-            whole = unicodedata.normalize("NFD", t).translate(table())
-            for a, b in _THAI:
-                whole = whole.replace(a, b)
+            whole = _as_read(t)
             to = self.trie.canonical(whole) if whole[:1].isalpha() else None
+            if to is None:
+                to = rest.get(t)
             self.known[t] = to = unicodedata.normalize("NFC", whole) if to is None else to
         return to
 
-    def __call__(self, text: str | None) -> str | None:
+    def __call__(self, text: str | None, rest: list | None = None) -> str | None:
+        """``rest``: word and spelling of the text's words beyond the vocabulary, as with_rest gives them."""
         if text is None:
             return None
-        return " ".join("".join([self._token(t) for t in _TOKEN.findall(text)]).split())
+        more = {x["word"]: x["spelling"] for x in rest} if rest is not None else {}
+        return " ".join("".join([self._token(t, more) for t in _TOKEN.findall(text)]).split())
 
 
 #: The last vocabulary's forms, kept by a Python worker from one task to the next.
 _made: dict[str, Canonical] = {}
 
 
-def canonical_vocabulary(texts: DataFrame, words: int = VOCABULARY_WORDS) -> list[tuple[str, int]]:
-    """The most frequent spellings of the column ``text``, at most ``words``: a bounded list for the driver."""
-    top = word_counts(texts).orderBy(F.desc("n"), "word").limit(words)
-    return [(r["word"], r["n"]) for r in top.collect()]
-
-
-def canonical_forms(df: DataFrame, vocabulary: list[tuple[str, int]]) -> DataFrame:
+def canonical_vocabulary(texts: DataFrame, words: int = VOCABULARY_WORDS, whole: bool = True) -> tuple[list[tuple[str, int]], DataFrame | None]:
+    """The most frequent spellings of the column ``text``, at most ``words``, a bounded list for the driver; and for the
+    words beyond, (word, as_read, spelling) where the most frequent spelling that reads so differs from the table's form
+    (None if no words are beyond, or not ``whole``)."""
+    counts = word_counts(texts)
+    top = counts.orderBy(F.desc("n"), "word").limit(words + 1).collect()
+    vocabulary = [(r["word"], r["n"]) for r in top[:words]]
+    if len(top) <= words or not whole:
+        return vocabulary, None
+    read = checkpoint(counts.withColumn("as_read", _read_udf("word")).where("as_read is not null"))
+    best = read.groupBy("as_read").agg(F.min(F.struct((-F.col("n")).alias("minus"), F.col("word").alias("spelling"))).alias("b"))
+    # A reading is beyond if even its most frequent spelling is: the list holds the spellings in this very order.
+    word, n = vocabulary[-1] if vocabulary else ("", 1 << 62)
+    beyond = (-F.col("b.minus") < n) | ((-F.col("b.minus") == n) & (F.col("b.spelling") > word))
+    best = best.where(beyond & (F.col("b.spelling") != F.col("as_read"))).select("as_read", "b.spelling")
+    return vocabulary, checkpoint(read.select("word", "as_read").join(best, "as_read").select("word", "as_read", "spelling"))
+
+
+@F.pandas_udf(T.StringType())
+def _read_udf(words: pd.Series) -> pd.Series:
+    """What words read as, composed, which is the table's form of them; null for those that no spelling is sought for."""
+    read = [_as_read(w) for w in words]
+    return pd.Series([unicodedata.normalize("NFC", x) if x[:1].isalpha() else None for x in read], dtype=object)
+
+
+def with_rest(df: DataFrame, rest: DataFrame | None) -> DataFrame:
+    """``df`` with rest, the (word, spelling) of the words of its column ``text`` that lie beyond the vocabulary."""
+    kind = "array<struct<word: string, spelling: string>>"
+    if rest is None:
+        return df.withColumn("rest", F.lit(None).cast(kind))
+    texts = df.select("text").where("text is not null").distinct()
+    words = texts.select("text", F.explode(F.array_distinct(_words_of("text"))).alias("word"))
+    found = words.join(rest.select("word", "spelling"), "word").groupBy("text").agg(F.collect_list(F.struct("word", "spelling")).alias("rest"))
+    return df.join(found, "text", "left").select(*df.columns, "rest")
+
+
+def canonical_forms(df: DataFrame, vocabulary: list[tuple[str, int]], rest: DataFrame | None = None) -> DataFrame:
     """``df`` with form, its column ``text`` in canonical spellings, and reading, the key by which forms are compared
-    and searched. Each row passes through Python once.
+    and searched. Each row passes through Python once. Both arguments are those of canonical_vocabulary.
 
     The key is the same for texts that read the same, whatever the vocabulary. Null stays null, an empty or invisible
     text gives empty ones.
     """
-    shared, key = df.sparkSession.sparkContext.broadcast(vocabulary), str(hash(tuple(vocabulary)))
+    shared, key = df.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
+    fields = T.StructType([*df.schema.fields, T.StructField("form", T.StringType()), T.StructField("reading", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if key not in _made:
@@ -207,11 +253,13 @@ def canonical_forms(df: DataFrame, vocabulary: list[tuple[str, int]]) -> DataFra
             _made[key] = Canonical(shared.value)
         form = _made[key]
         for b in batches:
-            forms = [form(x) for x in b["text"]]
-            yield b.assign(form=forms, reading=[reading(x) for x in forms])
+            more = b["rest"] if rest_given else [None] * len(b)
+            forms = [form(x, r) for x, r in zip(b["text"], more, strict=True)]
+            b = b.assign(form=forms, reading=[reading(x) for x in b["text"]])
+            yield b.drop(columns="rest") if rest_given else b
 
-    fields = T.StructType([*df.schema.fields, T.StructField("form", T.StringType()), T.StructField("reading", T.StringType())])
-    return df.mapInPandas(run, fields)
+    rest_given = rest is not None
+    return (with_rest(df, rest) if rest_given else df).mapInPandas(run, fields)
 
 
 def quotes(functions: DataFrame, links: DataFrame) -> DataFrame:
@@ -230,13 +278,15 @@ def quotes(functions: DataFrame, links: DataFrame) -> DataFrame:
 def lines_and_quotes(lines: DataFrame, functions: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines and quotes, each with its canonical form. Of lines with the same line_id and text one stays."""
     rows = lines.where("line_id is not null").select("line_id", "box_id", "text").distinct()
-    return _formed(lines, rows, quotes(functions, links))
+    return _formed(lines, rows, quotes(functions, links), whole=True)
 
 
-def _formed(lines: DataFrame, *parts: DataFrame) -> tuple[DataFrame, ...]:
-    """``parts`` with the canonical form of their text; the vocabulary is that of all lines and of the last part."""
-    vocabulary = canonical_vocabulary(lines.select("text").unionByName(parts[-1].select("text")))
-    return tuple(canonical_forms(df, vocabulary) for df in parts)
+def _formed(lines: DataFrame, *parts: DataFrame, whole: bool = False) -> tuple[DataFrame, ...]:
+    """``parts`` with the canonical form of their text; the vocabulary is that of all lines and of the last part. Words
+    beyond it cost a join; they are left out unless ``whole``, for callers that use only the
+    reading, which does not depend on them."""
+    vocabulary, rest = canonical_vocabulary(lines.select("text").unionByName(parts[-1].select("text")), VOCABULARY_WORDS, whole)
+    return tuple(canonical_forms(df, vocabulary, rest) for df in parts)
 
 
 def same_reading(lines: DataFrame, functions: DataFrame, links: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm.confusions import PAIR, confusion_distance, partners
-from foliospark.llm.reading import Canonical, canonical_vocabulary, reading
+from foliospark.llm.reading import VOCABULARY_WORDS, Canonical, canonical_vocabulary, reading, with_rest
 from foliospark.session import bounded_broadcast, by_key, checkpoint, written
 
 #: A running title stands on at least this share of its source's pages, and on TITLE_PAGES.
@@ -727,11 +727,11 @@ def assembled(lines: list[dict], known: dict[str, int], form: Canonical) -> str:
     full = max(widths, default=0)
     joined = ""
     for x, width in zip(lines, widths, strict=True):
-        text = form(x["text"]) or ""
+        text = form(x["text"], x.get("rest")) or ""
         for c in x["chars"] or []:
             if c["cut"] < len(text) and text[c["cut"]] == c["word"]:
                 text = text[: c["cut"]] + c["meant"] + text[c["cut"] + 1 :]
-        fixes.update((w["read"], w["meant"]) for w in x["words"] or [])
+        fixes.update((w["read"], (w["meant"], w["spelling"])) for w in x["words"] or [])
         if out and not joined and x["kind"] != "dense":
             out += "" if out.endswith(("\n", " ")) else " "
         if joined == "mark":
@@ -750,10 +750,10 @@ def assembled(lines: list[dict], known: dict[str, int], form: Canonical) -> str:
 
     def repair(m) -> str:
         word = m.group()
-        meant = fixes.get(reading(word).casefold())
+        meant, rest = fixes.get(reading(word).casefold(), (None, None))
         if meant is None:
             return word
-        spelled = form.trie.canonical(meant) or meant
+        spelled = form.trie.canonical(meant) or rest or meant
         return spelled[:1].upper() + spelled[1:] if word[:1].isupper() else spelled
 
     return _WORD.sub(repair, out.strip()) if fixes else out.strip()
@@ -770,7 +770,13 @@ def repaired_pages(lines: DataFrame) -> DataFrame:
     words = checkpoint(_word_table(counts))
     seen, found, with_breaks = suspects(body, counts, words)
     unmarked = (seen.where("word = ''") if with_breaks else unmarked_breaks(body, words)).select("line_id").distinct()
-    fixed = misread_words(seen, found, counts).groupBy("line_id").agg(F.collect_set(F.struct("read", "meant")).alias("words"))
+    vocabulary, rest = canonical_vocabulary(lines.select("text"), VOCABULARY_WORDS)
+    fixed = misread_words(seen, found, counts)
+    spelled = F.lit(None).cast("string").alias("spelling")
+    if rest is not None:
+        fixed = fixed.join(rest.select(F.col("as_read").alias("meant"), "spelling").distinct(), "meant", "left")
+        spelled = F.col("spelling")
+    fixed = fixed.groupBy("line_id").agg(F.collect_set(F.struct("read", "meant", spelled)).alias("words"))
     chars = seen.where("meant is not null").groupBy("line_id").agg(F.collect_set(F.struct("cut", "word", "meant")).alias("chars"))
     starts = F.col("next_first").rlike(r"^\p{Nd}?[\p{L}\p{M}]")
     parts = (
@@ -781,10 +787,10 @@ def repaired_pages(lines: DataFrame) -> DataFrame:
         .withColumn("broken", F.coalesce("at_mark", F.lit(False)) | F.coalesce("goes_on", F.lit(False)))
     )
     texts = lines.where("result_id is not null").select("line_id", "result_id", "reading_order", "text").dropDuplicates(["line_id"])
-    one = F.struct("reading_order", "line_id", "text", "marked", "final", "kind", "broken", "words", "chars")
+    texts = with_rest(texts, rest)
+    one = F.struct("reading_order", "line_id", "text", "rest", "marked", "final", "kind", "broken", "words", "chars")
     pages = texts.join(parts, "line_id").groupBy("result_id").agg(F.array_sort(F.collect_list(one)).alias("lines"))
     context = lines.sparkSession.sparkContext
     inside = words.where("inside > 0").select("word", "inside")
     lexicon = context.broadcast({r["word"]: r["inside"] for r in inside.toLocalIterator()}) if inside.limit(SENT_WORDS + 1).count() <= SENT_WORDS else None
-    vocabulary = context.broadcast(canonical_vocabulary(lines.select("text")))
-    return by_key(pages, "result_id").mapInPandas(_assemble((vocabulary, lexicon)), "result_id long, text string")
+    return by_key(pages, "result_id").mapInPandas(_assemble((context.broadcast(vocabulary), lexicon)), "result_id long, text string")

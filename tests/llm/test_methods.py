@@ -159,6 +159,31 @@ def test_trie_gives_the_frequent_spelling():
     assert c("кoлeco wh​eel") == "колесо wheel"
 
 
+def test_words_of_one_letter_keep_their_frequent_spelling(spark):
+    texts = spark.createDataFrame([("рама а",), ("рама а",), ("рама a",)], "text string")
+    vocabulary, rest = reading.canonical_vocabulary(texts)
+    assert rest is None and {r["form"] for r in reading.canonical_forms(texts, vocabulary).collect()} == {"рама а"}
+
+
+def test_words_beyond_the_vocabulary_get_their_frequent_spelling(spark):
+    rows = [("рама мост",)] * 3 + [("paмa мост",), ("soft мост",), ("so\u00adft",), ("soft",), (None,), ("",)]
+    texts = spark.createDataFrame(rows, "text string")
+    whole = [tuple(r) for r in reading.canonical_forms(texts, *reading.canonical_vocabulary(texts)).select("text", "form").collect()]
+    for words in (0, 1, 2, 3):
+        vocabulary, rest = reading.canonical_vocabulary(texts, words)
+        assert len(vocabulary) == words and rest is not None
+        some = reading.canonical_forms(texts, vocabulary, rest).select("text", "form")
+        assert sorted(map(str, whole)) == sorted(str(tuple(r)) for r in some.collect())
+    assert ("paмa мост", "рама мост") in whole
+
+
+def test_paragraphs_do_not_depend_on_the_size_of_the_vocabulary(spark, monkeypatch):
+    rows = [(k, k, "s", "p", "b", 0, "рама и мост") for k in range(3)] + [(9, 9, "s", "p", "b", 0, "paмa и мост")]
+    lines = spark.createDataFrame(rows, LINES)
+    monkeypatch.setattr(scans, "VOCABULARY_WORDS", 1)
+    assert {r["text"] for r in scans.repaired_pages(lines).collect()} == {"рама и мост"}
+
+
 def test_pairs_of_lines_and_quotes(spark):
     rows = [(1, 1, "s", "p", "b", 0, "The oiled wheel"), (2, 2, "s", "p", "b", 0, "The оiled wheel"), (3, 3, "s", "p", "b", 0, "The Oiled wheel"), (4, 4, "s", "p", "c", 0, "The оiled wheel")]
     lines = spark.createDataFrame(rows, LINES)
