@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.confusions import PAIR, confusion_distance, partners
+from foliospark.llm.confusions import GAP, OTHER, PAIR, confusion_distance, partners
 from foliospark.llm.reading import VOCABULARY_WORDS, Canonical, canonical_vocabulary, reading, with_rest
 from foliospark.session import bounded_broadcast, by_key, checkpoint, written
 
@@ -472,15 +472,19 @@ def _delete_index(words: DataFrame) -> DataFrame:
     return words.select(F.explode(keys).alias("key"), "word", "n").where("key <> ''")
 
 
+#: The dearest single edit: a substitution that no table has, a letter too many or too few.
+EDIT = max(2 * PAIR, OTHER, GAP)
+
+
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        cost = [confusion_distance(w, c, 2 * PAIR) for w, c in zip(b["word"], b["meant"], strict=True)]
+        cost = [confusion_distance(w, c, EDIT) for w, c in zip(b["word"], b["meant"], strict=True)]
         b = b.assign(cost=cost)
-        yield b[b["cost"] <= 2 * PAIR + 1e-9]
+        yield b[b["cost"] <= EDIT + 1e-9]
 
 
 def corrections(words: DataFrame, known: int = KNOWN, ratio: float = RATIO) -> DataFrame:
-    """(word, n, meant, n_meant, cost): up to three candidates of each word, from the symmetric-delete index.
+    """(word, n, meant, n_meant, cost): the candidates of each word, from the symmetric-delete index, also by an edit that no table has.
 
     ``words``: word, n, inside. Candidates are words seen inside lines ``known`` times or more, without digits, and
     ``ratio`` times as often as the word.
@@ -491,9 +495,49 @@ def corrections(words: DataFrame, known: int = KNOWN, ratio: float = RATIO) -> D
     index = _delete_index(lexicon).select("key", F.col("word").alias("meant"), F.col("n").alias("n_meant"))
     asked = _delete_index(read)
     pairs = asked.join(index, "key").where((F.col("n_meant") >= ratio * F.col("n")) & (F.col("word") != F.col("meant"))).drop("key").distinct()
-    measured = pairs.mapInPandas(_measure, "word string, n long, meant string, n_meant long, cost double")
-    best = Window.partitionBy("word").orderBy(F.col("cost") - F.log("n_meant") * 0.1, "meant")
-    return measured.withColumn("rank", F.row_number().over(best)).where("rank <= 3").drop("rank")
+    return pairs.mapInPandas(_measure, "word string, n long, meant string, n_meant long, cost double")
+
+
+class _Neighbours:
+    """How often characters follow each other, and which one the neighbours of a place speak for."""
+
+    def __init__(self, pairs: dict[str, int]):
+        self.behind: dict[str, dict[str, int]] = {}
+        self.before: dict[str, set[str]] = {}
+        for pair, n in pairs.items():
+            self.behind.setdefault(pair[0], {})[pair[1]] = n
+            self.before.setdefault(pair[1], set()).add(pair[0])
+        self.total = {c: sum(x.values()) for c, x in self.behind.items()}
+        self.top: dict[tuple[str, str], list[tuple[float, str]]] = {}
+
+    def n(self, a: str, b: str) -> int:
+        return self.behind.get(a, {}).get(b, 0)
+
+    def between(self, left: str, right: str) -> list[tuple[float, str]]:
+        """The dense characters seen behind ``left`` and before ``right``, by their bigrams and against how frequent they
+        are anyway, the best first."""
+        found = self.top.get((left, right))
+        if found is None:
+            if len(self.top) >= 100_000:
+                self.top.clear()
+            after, before = self.behind.get(left, {}), self.before.get(right, set())
+            both = [(log(after[y] + 0.5) + log(self.n(y, right) + 0.5) - log(self.total[y]), y) for y in before & after.keys() if _IS_DENSE.match(y)]
+            self.top[left, right] = found = sorted(both, key=lambda x: (-x[0], x[1]))
+        return found
+
+    def meant(self, left: str, x: str, right: str, listed: dict[str, list[str]], evidence: float) -> list[str]:
+        """The characters for which ``x`` may stand: its ``listed`` partners, else the best of all others, which costs
+        more, and the more of them its neighbours admit."""
+        if not _DENSE_CHAR.match(x):
+            return []
+        n, own = self.n, listed.get(x, ())
+        had = log(max(n(left, x) - 1, 0) + 0.5) + log(max(n(x, right) - 1, 0) + 0.5)
+        if out := [y for y in own if log(n(left, y) + 0.5) + log(n(y, right) + 0.5) - had >= evidence]:
+            return out
+        others = self.between(left, right)
+        score, y = next((o for o in others if o[1] != x and o[1] not in own), (0.0, ""))
+        cost = 2 * (OTHER - PAIR) + log(max(len(others), 1))
+        return [y] if y and score + log(max(self.total.get(x, 0), 1)) - had - cost >= evidence else []
 
 
 _held: dict[str, object] = {}
@@ -509,14 +553,13 @@ def _uses(words, lexicon, pairs, key: str, evidence: float):
     None: not here); of dense lines the characters that stand for others (``pairs``: how often characters follow each
     other)."""
     swap = {c: [x for x in others if _IS_DENSE.match(x)] for c, others in partners().items() if _IS_DENSE.match(c)}
-    may = re.compile("[" + "".join(swap) + "]")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _held:
             _held.clear()
-            _held[key] = tuple(None if x is None else x.value for x in (words, lexicon, pairs))
-        wanted, known, n = _held[key]
-        n = n.get
+            _held[key] = (*(None if x is None else x.value for x in (words, lexicon)), _Neighbours(pairs.value))
+        wanted, known, near = _held[key]
+        judged: dict[str, list[str]] = {}  # three characters to what the middle one stands for
         for b in batches:
             out = []
             for line, nxt_id, read, marked, kind, final, nxt, was, last in zip(
@@ -525,12 +568,15 @@ def _uses(words, lexicon, pairs, key: str, evidence: float):
             ):
                 if kind == "dense":
                     text = _with_edges(read, last, nxt)
-                    for m in may.finditer(text, 1, len(text) - 1):
-                        left, x, right = text[m.start() - 1 : m.start() + 2]
-                        had = log(max(n(left + x, 0) - 1, 0) + 0.5) + log(max(n(x + right, 0) - 1, 0) + 0.5)
-                        for y in swap[x]:
-                            if log(n(left + y, 0) + 0.5) + log(n(y + right, 0) + 0.5) - had >= evidence:
-                                out.append((line, -1, x, y, m.start() - 1, left, right))
+                    for k in range(len(text) - 2):
+                        three = text[k : k + 3]
+                        meant = judged.get(three)
+                        if meant is None:
+                            if len(judged) >= 300_000:
+                                judged.clear()
+                            judged[three] = meant = near.meant(*three, swap, evidence)
+                        if meant:
+                            out += [(line, -1, three[1], y, k, three[0], three[2]) for y in meant]
                     continue
                 text = countable_text(read, marked, nxt, was)
                 found = (_ASCII_WORD if text.isascii() else _WORD).findall(text)

@@ -240,6 +240,20 @@ def test_noise_of_a_book(spark):
     assert got == want
 
 
+def test_misread_without_a_listed_pair(spark):
+    from foliospark.llm.confusions import SINGLE_PAIRS
+
+    assert ("m", "q") not in SINGLE_PAIRS and ("鬼", "車") not in SINGLE_PAIRS
+    good = "the weaver turns the hammer and the wheel"
+    texts = [good + " of the mill"] * 60 + ["the weaver turns the haqmer and the wheel of the mill", "the weaver turns the hammr and the wheel of the mill"]
+    texts += ["此水車轉而上"] * 60 + ["此水鬼轉而上"]
+    rows = [(k, k, "s", f"p{k}", "b", 0, t) for k, t in enumerate(texts)]
+    lines = spark.createDataFrame(rows, LINES)
+    # All pages of a source alike would be titles: these stand on pages of sources of their own.
+    lines = lines.withColumn("source_id", F.concat(F.lit("s"), "line_id"))
+    assert sorted(tuple(r) for r in scans.page_noise(lines).collect()) == [(60, "misread"), (61, "misread"), (122, "misread")]
+
+
 # -- sentences
 
 
