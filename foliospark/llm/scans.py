@@ -549,8 +549,8 @@ _USE_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.s
 
 def _uses(words, lexicon, pairs, key: str, evidence: float):
     """Of spaced lines the words that have candidates, each between its neighbours (``words``: those words, None for all),
-    and lines whose last word goes on without a mark (word is empty; ``lexicon``: how often words stand inside lines,
-    None: not here); of dense lines the characters that stand for others (``pairs``: how often characters follow each
+    and lines whose last word goes on without a mark (word is empty; ``lexicon``: how often words stand inside lines;
+    None: all lines whose last word may go on, as unmarked_breaks needs them); of dense lines the characters that stand for others (``pairs``: how often characters follow each
     other)."""
     swap = {c: [x for x in others if _IS_DENSE.match(x)] for c, others in partners().items() if _IS_DENSE.match(c)}
 
@@ -587,23 +587,37 @@ def _uses(words, lexicon, pairs, key: str, evidence: float):
                             before, behind = found[k - 1] if k else "", found[k + 1] if k + 1 < len(found) else ""
                             cut = max(len(w) - len(nxt.casefold()), 0) if k == whole else 0
                             out.append((line, nxt_id if cut else -1, w, None, cut, before, behind))
-                if known is not None and nxt and found and not marked and not final and goes_on(read, found[-1], nxt, known):
-                    out.append((line, -1, "", None, 0, "", ""))
+                if nxt and found and not marked and not final:
+                    if known is None:
+                        if may_go_on(read, found[-1]):
+                            out.append((line, -1, "", None, int(is_name(read, found[-1], nxt)), found[-1], nxt.casefold()))
+                    elif goes_on(read, found[-1], nxt, known):
+                        out.append((line, -1, "", None, 0, "", ""))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _USE_TYPES, strict=True)], names=_USE_NAMES)
 
     return run
 
 
+def may_go_on(read: str, a: str) -> bool:
+    """Whether a line ends with its last word, a (case folded), and that has no digits."""
+    return not _DIGIT.search(a) and read.casefold().endswith(a)
+
+
+def is_name(read: str, a: str, nxt: str) -> bool:
+    """Whether a line's last word (a, case folded) and the next line's first may be the halves of a name."""
+    return nxt[0].islower() and len(a) > 1 and read[-len(a)].isupper()
+
+
 def goes_on(read: str, a: str, nxt: str, known: dict[str, int]) -> bool:
     """Whether a line's last word (a, case folded) and the next line's first are one word: together they are a known word
     and one of them is hardly a word by itself; or they are the halves of a rare name, a with a capital, neither of them
     ever seen inside a line."""
-    if _DIGIT.search(a) or not read.casefold().endswith(a):
+    if not may_go_on(read, a):
         return False
     b = nxt.casefold()
     both, alone = known.get(a + b, 0), (known.get(a, 0), known.get(b, 0))
-    return (both >= 2 and 4 * min(alone) <= both) or (alone == (0, 0) and nxt[0].islower() and len(a) > 1 and read[-len(a)].isupper())
+    return (both >= 2 and 4 * min(alone) <= both) or (alone == (0, 0) and is_name(read, a, nxt))
 
 
 def _word_table(counts: DataFrame) -> DataFrame:
@@ -623,7 +637,8 @@ def _word_table(counts: DataFrame) -> DataFrame:
 def suspects(body: DataFrame, counts: DataFrame, words: DataFrame, evidence: float = CHAR_EVIDENCE) -> tuple[DataFrame, DataFrame, bool]:
     """One pass over the body: uses of words with candidates, lines that go on without a mark (word is empty), and
     characters of dense scripts that stand for others (meant is set, cut is the character's place); the candidates; and
-    whether lines that go on were looked for, which needs a lexicon that all workers can hold."""
+    whether the lines that go on are decided, which needs a lexicon that all workers can hold; if not, those that may
+    are here for unmarked_breaks."""
     found = checkpoint(corrections(words))
     context = body.sparkSession.sparkContext
     # Words that have candidates are few; where they aren't, all words leave Python for the join.
@@ -700,28 +715,20 @@ def _place(word: pd.Series, meant: pd.Series, cut: pd.Series, line: pd.Series, n
     return pd.Series(out, dtype="int64")
 
 
-def unmarked_breaks(body: DataFrame, words: DataFrame) -> DataFrame:
-    """line_id of lines whose last word goes on in the next line without a mark: together the parts are a known word,
-    and one of them is hardly a word by itself."""
-    lexicon = words.select("word", F.col("inside").alias("n"))
-    last = F.lower(F.regexp_extract("read", r"([\p{L}\p{M}]+)$", 1))
-    first = F.lower(F.regexp_extract("next_first", r"^([\p{L}\p{M}]+)$", 1))
-    ends = (
-        body.where("kind = 'spaced' and not marked and not final and next_id is not null")
-        .select("line_id", last.alias("a"), first.alias("b"))
-        .where("a <> '' and b <> ''")
-    )
+def unmarked_breaks(seen: DataFrame, words: DataFrame) -> DataFrame:
+    """line_id of lines whose last word goes on in the next line without a mark: goes_on by joins. ``seen``: of suspects,
+    where before and behind are the two words, case folded, and cut tells whether they may be a name."""
+    lexicon = words.where("inside > 0").select("word", F.col("inside").alias("n"))
+    ends = seen.where("word = ''").select("line_id", F.col("before").alias("a"), F.col("behind").alias("b"), F.concat("before", "behind").alias("ab"), "cut")
 
     def known(name: str) -> DataFrame:
         return bounded_broadcast(lexicon.select(F.col("word").alias(name), F.col("n").alias(f"n_{name}")))
 
-    whole = ends.withColumn("ab", F.concat("a", "b")).join(known("ab").where("n_ab >= 2"), "ab")
-    return (
-        whole.join(known("a"), "a", "left")
-        .join(known("b"), "b", "left")
-        .where(4 * F.least(F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0))) <= F.col("n_ab"))
-        .select("line_id")
-    )
+    for name in ("ab", "a", "b"):
+        ends = ends.join(known(name), name, "left")
+    n = {name: F.coalesce(f"n_{name}", F.lit(0)) for name in ("ab", "a", "b")}
+    word = (n["ab"] >= 2) & (4 * F.least(n["a"], n["b"]) <= n["ab"])
+    return ends.where(word | ((n["a"] == 0) & (n["b"] == 0) & (F.col("cut") == 1))).select("line_id")
 
 
 def page_noise(lines: DataFrame) -> DataFrame:
@@ -741,7 +748,7 @@ def page_noise(lines: DataFrame) -> DataFrame:
     def of(df: DataFrame, noise: str) -> DataFrame:
         return df.select("line_id", F.lit(noise).alias("noise"))
 
-    unmarked = seen.where("word = ''") if with_breaks else unmarked_breaks(body, words)
+    unmarked = seen.where("word = ''") if with_breaks else unmarked_breaks(seen, words)
     return (
         rows.where("head or number or marked")
         .select("line_id", F.explode(F.array_compact(flags)).alias("noise"))
@@ -757,32 +764,66 @@ def _assemble(shared):
         vocabulary, known = (x if x is None else x.value for x in shared)
         form = Canonical(vocabulary)
         for b in batches:
-            yield pd.DataFrame({"result_id": b["result_id"], "text": [assembled(list(x), known or {}, form) for x in b["lines"]]})
+            if known is not None:
+                of = [known] * len(b)
+            else:
+                of = [{} if c is None else {x["word"]: x["inside"] for x in c} for c in b["counted"]]
+            yield pd.DataFrame({"result_id": b["result_id"], "text": [assembled(list(x), c, form) for x, c in zip(b["lines"], of, strict=True)]})
 
     return run
 
 
-def assembled(lines: list[dict], known: dict[str, int], form: Canonical) -> str:
+def _asked(shared):
+    """(result_id, word): the words whose counts a page can ask for while it is put together."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        form = Canonical(shared.value)
+        for b in batches:
+            out = []
+            for result, lines in zip(b["result_id"], b["lines"], strict=True):
+                asked: set[str] = set()
+                assembled(list(lines), {}, form, asked)
+                out += [(result, w) for w in asked]
+            yield pd.DataFrame(out, columns=["result_id", "word"])
+
+    return run
+
+
+def _items(array) -> list:
+    """A nested array as a list; pandas hands it over as an array, which has no truth value, or as None."""
+    return [] if array is None else list(array)
+
+
+def assembled(lines: list[dict], known: dict[str, int], form: Canonical, asked: set[str] | None = None) -> str:
     """Paragraphs of a page's body lines (text, broken, words and characters to repair), parted by line breaks.
 
     A word broken at a line's end is put together, without its mark if the whole is a known word or one of its parts is
     none; a compound keeps its hyphen. A paragraph ends where a short line ends with a final mark.
+
+    ``asked`` (with nothing known, so that no hyphen is kept) takes the words whose counts decide, whichever hyphens are.
     """
-    out, fixes = "", {}
+    out, fixes, joins = "", {}, []
     widths = [len(x["text"]) for x in lines]
     full = max(widths, default=0)
     joined = ""
     for x, width in zip(lines, widths, strict=True):
         text = form(x["text"], x.get("rest")) or ""
-        for c in x["chars"] or []:
+        for c in _items(x["chars"]):
             if c["cut"] < len(text) and text[c["cut"]] == c["word"]:
                 text = text[: c["cut"]] + c["meant"] + text[c["cut"] + 1 :]
-        fixes.update((w["read"], (w["meant"], w["spelling"])) for w in x["words"] or [])
+        fixes.update((w["read"], (w["meant"], w["spelling"])) for w in _items(x["words"]))
         if out and not joined and x["kind"] != "dense":
             out += "" if out.endswith(("\n", " ")) else " "
         if joined == "mark":
             a, b = _WORD.findall(out)[-1:], _WORD.match(text)
             ends = [reading(w).casefold() for w in (*a, b.group() if b else "")]
+            if asked is not None and a:
+                # Where a hyphen is kept before, the last word begins behind it.
+                *_, last = _WORD.finditer(out)
+                for at in (last.start(), *(p for p in joins if last.start() < p < last.end())):
+                    part = reading(out[at : last.end()]).casefold()
+                    asked.update((part, ends[-1], part + ends[-1]))
+            joins.append(len(out))
             if len(ends) == 2 and known.get("".join(ends), 0) < 2 and all(known.get(w, 0) >= 2 for w in ends):
                 out += "-"
         out += text
@@ -815,7 +856,7 @@ def repaired_pages(lines: DataFrame) -> DataFrame:
     body = rows.where("not head and not number")
     words = checkpoint(_word_table(counts))
     seen, found, with_breaks = suspects(body, counts, words)
-    unmarked = (seen.where("word = ''") if with_breaks else unmarked_breaks(body, words)).select("line_id").distinct()
+    unmarked = (seen.where("word = ''") if with_breaks else unmarked_breaks(seen, words)).select("line_id").distinct()
     vocabulary, rest = canonical_vocabulary(lines.select("text"), VOCABULARY_WORDS)
     fixed = misread_words(seen, found, counts)
     spelled = F.lit(None).cast("string").alias("spelling")
@@ -838,5 +879,12 @@ def repaired_pages(lines: DataFrame) -> DataFrame:
     pages = texts.join(parts, "line_id").groupBy("result_id").agg(F.array_sort(F.collect_list(one)).alias("lines"))
     context = lines.sparkSession.sparkContext
     inside = words.where("inside > 0").select("word", "inside")
-    lexicon = context.broadcast({r["word"]: r["inside"] for r in inside.toLocalIterator()}) if inside.limit(SENT_WORDS + 1).count() <= SENT_WORDS else None
-    return by_key(pages, "result_id").mapInPandas(_assemble((context.broadcast(vocabulary), lexicon)), "result_id long, text string")
+    shared, result = context.broadcast(vocabulary), "result_id long, text string"
+    if inside.limit(SENT_WORDS + 1).count() <= SENT_WORDS:
+        lexicon = context.broadcast({r["word"]: r["inside"] for r in inside.toLocalIterator()})
+        return by_key(pages, "result_id").mapInPandas(_assemble((shared, lexicon)), result)
+    # A lexicon too large for that: pages are read once more, for the words that they ask for, whose counts are joined.
+    pages = written(pages)
+    asked = by_key(pages, "result_id").mapInPandas(_asked(shared), "result_id long, word string")
+    counted = asked.join(inside, "word").groupBy("result_id").agg(F.collect_list(F.struct("word", "inside")).alias("counted"))
+    return by_key(pages.join(counted, "result_id", "left"), "result_id").mapInPandas(_assemble((shared, None)), result)

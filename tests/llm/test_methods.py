@@ -254,6 +254,34 @@ def test_misread_without_a_listed_pair(spark):
     assert sorted(tuple(r) for r in scans.page_noise(lines).collect()) == [(60, "misread"), (61, "misread"), (122, "misread")]
 
 
+def test_a_lexicon_that_is_not_sent_changes_nothing(spark, monkeypatch):
+    rows = noisy_pages()
+    own = [
+        (["cria le copiste de Kel", "gasted qui turns the wheel"], "a rare name"),
+        (["the well known hammer and the well-", "known wheel of the well and the known mill"], "a compound"),
+        (["and beside the wea", "ver of the mill with the mill-", "wheel-", "hammer wheel"], "a chain"),
+    ]
+    for page, (texts, _) in enumerate(own, 20):
+        rows += [(1000 + 10 * page + k, page, "other", f"q{page}", "b", k, t) for k, t in enumerate(texts)]
+    rows += [(2000 + k, 40 + k, f"o{k}", f"r{k}", "b", 0, f"it is the well known wheel {'abcdef'[k] * 5}") for k in range(6)]
+    lines = spark.createDataFrame(rows, LINES)
+
+    def both():
+        return [sorted(map(str, f(lines).collect())) for f in (scans.page_noise, scans.repaired_pages)]
+
+    sent = both()
+    monkeypatch.setattr(scans, "SENT_WORDS", 0)
+    assert both() == sent
+    assert any("Kelgasted" in x for x in sent[1]) and any("well-known" in x for x in sent[1]) and any("mill-wheel-hammer" in x for x in sent[1])
+
+
+def test_a_line_with_two_misread_words_is_repaired(spark):
+    good = "the weaver turns the hammer and the wheel of the mill"
+    texts = [good] * 40 + ["the weaver turns the harnmer and the vvheel of the mill"]
+    lines = spark.createDataFrame([(k, k, f"s{k}", f"p{k}", "b", 0, t) for k, t in enumerate(texts)], LINES)
+    assert {r["text"] for r in scans.repaired_pages(lines).collect()} == {good}
+
+
 # -- sentences
 
 
