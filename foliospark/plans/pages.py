@@ -13,6 +13,7 @@ from foliospark.operators import layout, metrics, review, spatial
 from foliospark.operators.integrity import first_of
 from foliospark.plans.lexical import EVERY, FIGURE_NO
 from foliospark.session import _shared_folder, table
+from foliospark.sources.storage import read_table
 from foliospark.streaming import state
 
 
@@ -236,7 +237,7 @@ def q_stream_latest(spark: SparkSession, d: str) -> DataFrame:
     log = state.file_stream(spark, f"{d}/ocr_results.parquet*", schema, files_a_trigger=2)
     q = log.writeStream.foreachBatch(state.upsert_batches(f"{path}/out", ["page_id"], ["arrived_at", "result_id"])).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{path}/out").select("page_id", "result_id", "status")
+    return read_table(spark, f"{path}/out").select("page_id", "result_id", "status")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.operators.integrity import latest
+from foliospark.session import checkpoint
 
-def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+
+def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those with the same keys. ``new`` should have each key once; null keys
-    match nothing and are added."""
+    match nothing and are added.
+
+    With ``order`` the last row of each key over both sides stays, so that a row that comes late changes nothing; a key
+    may then be repeated on either side, and null keys count as a value.
+    """
+    if order is not None:
+        return latest(old.unionByName(new), keys, order).select(*old.columns)
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
@@ -20,26 +30,79 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(context._jsc.hadoopConfiguration()), p
 
 
-def swap_write(df: DataFrame, path: str, layout: list[str] | None = None) -> None:
-    """Replaces a table by one move after it has been written in full, so that readers never see a part of it and a
-    query may read the table it replaces."""
-    spark = df.sparkSession
-    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*layout) if layout else df.write
-    writer.parquet(fresh)
-    fs, target = _fs(spark, path)
-    had = fs.exists(target)
-    if had:
-        fs.rename(target, _fs(spark, old)[1])
-    fs.rename(_fs(spark, fresh)[1], target)
-    if had:
-        fs.delete(_fs(spark, old)[1], True)
+#: Parts of an upserted table by the hash of its keys: an upsert rewrites only those that its rows fall into.
+BUCKETS = 32
+#: The file that lists a table's current folders. It is replaced by one rename, so that readers see all of a write or none.
+_POINTER = "_CURRENT"
+
+
+def _listed(spark: SparkSession, path: str) -> dict[str, str]:
+    """Bucket to folder of a table as last committed; empty if there is none."""
+    fs, target = _fs(spark, f"{path}/{_POINTER}")
+    if not fs.exists(target):
+        return {}
+    stream = fs.open(target)
+    try:
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return json.loads(text)
+
+
+def _commit(spark: SparkSession, path: str, folders: dict[str, str]) -> None:
+    jvm = spark.sparkContext._jvm
+    fresh = f"{path}/{_POINTER}.{uuid.uuid4().hex}"
+    fs, target = _fs(spark, fresh)
+    stream = fs.create(target, True)
+    stream.write(bytearray(json.dumps(folders, sort_keys=True).encode()))
+    stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(target, _fs(spark, f"{path}/{_POINTER}")[1], overwrite)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table written by swap_write or upsert, as of its last commit; None if there is none."""
+    folders = sorted(set(_listed(spark, path).values()))
+    return spark.read.parquet(*[f"{path}/{f}" for f in folders]) if folders else None
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str]) -> None:
-    """Upsert into a Parquet table, which is made if it doesn't exist. Running it twice changes nothing."""
+def vacuum(spark: SparkSession, path: str) -> None:
+    """Deletes folders that no commit lists any more. Readers of an older state fail, so run it when there are none."""
     fs, target = _fs(spark, path)
-    swap_write(upserted(spark.read.parquet(path), new, keys) if fs.exists(target) else new, path)
+    kept = {*(f.split("/")[0] for f in _listed(spark, path).values()), _POINTER}
+    for status in fs.listStatus(target):
+        if status.getPath().getName() not in kept:
+            fs.delete(status.getPath(), True)
+
+
+def swap_write(df: DataFrame, path: str) -> None:
+    """Replaces a table by one rename after it has been written in full: readers (read_table) see the old rows or the
+    new ones, and a query may read the table it replaces."""
+    folder = f"all-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    _commit(df.sparkSession, path, {"": folder})
+
+
+def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: list[str] | None = None, buckets: int = BUCKETS) -> None:
+    """Upsert into a table, which is made if it doesn't exist. Running it twice changes nothing; with ``order`` a late
+    row changes nothing either.
+
+    The table lies in ``buckets`` folders by the hash of its keys. Those that ``new`` has no rows for are neither read nor
+    written; an empty ``new`` writes nothing. ``keys`` and ``buckets`` must stay the same for a table.
+    """
+    at = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    new = checkpoint(latest(new, keys, order).select(*new.columns) if order else new)
+    touched = [r["b"] for r in new.select(at.alias("b")).distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return
+    folders = _listed(spark, path)
+    old = sorted({folders[str(b)] for b in touched if str(b) in folders})
+    rows = upserted(spark.read.schema(new.schema).parquet(*[f"{path}/{f}" for f in old]), new, keys, order) if old else new
+    fresh = uuid.uuid4().hex
+    rows.withColumn("bucket", at).repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{path}/{fresh}")
+    _commit(spark, path, folders | {str(b): f"{fresh}/bucket={b}" for b in touched})
 
 
 def content_digest(df: DataFrame) -> str:

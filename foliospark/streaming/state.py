@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.operators.integrity import latest
 from foliospark.sources.storage import upsert
 
 
@@ -30,9 +29,10 @@ def windowed_counts(log: DataFrame, time: str, key: str, size: str = "1 day", la
 
 
 def upsert_batches(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that upserts the latest row of each key; a batch that is sent again changes nothing."""
+    """A foreachBatch function that keeps the latest row of each key by ``order`` over all batches: a batch that is sent
+    again and a row that comes in a later batch than a newer one change nothing. Read the table with read_table."""
 
     def write(batch: DataFrame, _: int) -> None:
-        upsert(batch.sparkSession, path, latest(batch, keys, order), keys)
+        upsert(batch.sparkSession, path, batch, keys, order)
 
     return write

@@ -229,7 +229,7 @@ def test_upserts_are_idempotent(spark, tmp_path):
     b = spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string")
     for _ in range(2):
         storage.upsert(spark, path, b, ["k"])
-    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    assert {tuple(r) for r in storage.read_table(spark, path).collect()} == {(1, "a"), (2, "c"), (3, "d")}
     assert storage.write_once(a, str(tmp_path / "o")) and not storage.write_once(a.orderBy(F.desc("k")), str(tmp_path / "o"))
     with pytest.raises(FileExistsError):
         storage.write_once(b, str(tmp_path / "o"))

@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 from foliospark import plans
+from foliospark.sources import storage
 from foliospark.streaming import state
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -52,12 +53,18 @@ def test_late_rows_and_repeated_batches(spark, tmp_path):
     source = str(tmp_path / "in")
     first = spark.sql("select 'a' k, 1 v, timestamp '2025-01-02' t union all select 'b', 5, timestamp '2025-01-01'")
     second = spark.sql("select 'a' k, 9 v, timestamp '2025-01-01' t union all select 'a', 2, timestamp '2025-01-03'")
+    third = spark.sql("select 'a' k, 7 v, timestamp '2025-01-02' t union all select 'c', 8, timestamp '2024-01-01'")
     first.coalesce(1).write.parquet(source)
     write = state.upsert_batches(str(tmp_path / "out"), ["k"], ["t"])
     write(first, 0)
     write(second, 1)
     write(second, 1)
-    assert {tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 2), ("b", 5)}
+    assert {tuple(r)[:2] for r in storage.read_table(spark, str(tmp_path / "out")).collect()} == {("a", 2), ("b", 5)}
+    write(third, 2)  # a row of an earlier day in a later batch
+    write(third.limit(0), 3)
+    assert {tuple(r)[:2] for r in storage.read_table(spark, str(tmp_path / "out")).collect()} == {("a", 2), ("b", 5), ("c", 8)}
+    storage.vacuum(spark, str(tmp_path / "out"))
+    assert storage.read_table(spark, str(tmp_path / "out")).count() == 3
     log = state.file_stream(spark, source, "k string, v int, t timestamp")
     q = state.latest_in_stream(log, "k", "v", "t").writeStream.format("memory").queryName("latest_rows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
