@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.operators.skew import join_by_size
 from foliospark.session import bounded_broadcast, checkpoint
 
 #: Rows of one key, references and targets together, from which the key goes the way for heavy keys.
@@ -116,28 +117,35 @@ def orphan_references(references: DataFrame, targets: DataFrame, heavy_rows: int
     )
     uses = checkpoint(uses)
     rows = targets.where("target_id is not null").select(*KEY, "arrived_at", "deleted_at").distinct()
-    # Only keys that are asked for matter; a semi join on the requests' keys keeps the rest of the targets out early.
-    requests = uses.select(*KEY, "at").distinct()
-    rows = checkpoint(rows.join(requests.select(*KEY).distinct(), KEY, "left_semi"))
+    # Every key's rows are counted, which combines before the shuffle; no row moves by its key before heavy keys are apart.
+    asked = checkpoint(uses.groupBy(*KEY, "at").agg(F.count("*").alias("n")))
+    requests = asked.drop("n")
     sizes = (
-        requests.groupBy(*KEY).count().unionByName(rows.groupBy(*KEY).count()).groupBy(*KEY).agg(F.sum("count").alias("n"))
+        requests.groupBy(*KEY).agg(F.count("*").alias("n"), F.lit(True).alias("asked"))
+        .unionByName(rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.lit(False).alias("asked")))
+        .groupBy(*KEY)
+        .agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+        .where("asked")
     )
-    heavy = checkpoint(sizes.where(F.col("n") >= heavy_rows).select(*KEY))
+    heavy = checkpoint(sizes.where(F.col("n") >= heavy_rows).select(*KEY, "n"))
     if heavy.isEmpty():
+        rows = checkpoint(rows.join(requests.select(*KEY).distinct(), KEY, "left_semi"))
         judged = _light(requests, rows)
     else:
-        some = bounded_broadcast(heavy)
-        judged = _light(requests.join(some, KEY, "left_anti"), rows.join(some, KEY, "left_anti")).unionByName(
-            _heavy(requests.join(some, KEY, "left_semi"), rows.join(some, KEY, "left_semi"))
-        )
+        some = bounded_broadcast(heavy.select(*KEY))
+        light = requests.join(some, KEY, "left_anti")
+        few = checkpoint(rows.join(some, KEY, "left_anti").join(light.select(*KEY).distinct(), KEY, "left_semi"))
+        many = checkpoint(join_by_size(rows, heavy, KEY, how="left_semi", hot=heavy_rows))
+        judged = _light(light, few).unionByName(_heavy(requests.join(some, KEY, "left_semi"), many))
+    # References to a key in one load may be a third of all: the way back to them is split by how many there are.
     lost = judged.where(~F.col("there")).select(
-        F.col("space").alias("s"),
-        F.col("target_id").alias("t"),
-        F.col("at").alias("a"),
+        *KEY,
+        F.struct("at").alias("when"),
         F.when(~F.col("known"), "missing").when(F.col("came"), "deleted").otherwise("late").alias("state"),
     )
-    same = (F.col("space") == F.col("s")) & (F.col("target_id") == F.col("t")) & F.col("at").eqNullSafe(F.col("a"))
-    return uses.join(lost, same).select(*fields[:3], "target_id", "state", "period").distinct()
+    lost = checkpoint(lost.join(asked.select(*KEY, F.struct("at").alias("when"), "n"), [*KEY, "when"]))
+    orphans = join_by_size(uses.withColumn("when", F.struct("at")), lost, [*KEY, "when"], hot=max(heavy_rows, 2))
+    return orphans.select(*fields[:3], "target_id", "state", "period").distinct()
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:
@@ -192,7 +200,7 @@ def catalogue_references(tables) -> tuple[DataFrame, DataFrame]:
         )
         .unionByName(
             of(
-                links.select("figure_id", *when, F.explode(F.flatten("contexts.item_ids")).alias("x")),
+                links.select("figure_id", *when, F.explode("contexts.item_ids").alias("y")).select("figure_id", *when, F.explode("y").alias("x")),
                 "competition_evidence_links", "contexts.item_ids", "figure_id", F.lit("ocr_lines"), F.col("x"),
             )
         )
