@@ -41,13 +41,14 @@ BLOCK = 2048
 
 
 def _block_top(shared, k: int):
-    """Best k rows of each Arrow batch for every query of its space: products of matrices, nothing kept between."""
+    """Best k rows of each Arrow batch, or of each group in it, for every query of its space: products of matrices,
+    nothing kept between."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spaces = shared.value
         for b in batches:
             out = []
-            for space, part in b.groupby("space"):
+            for (space, group), part in b.groupby(["space", "group"]):
                 if space not in spaces:
                     continue
                 qid, q = spaces[space]
@@ -59,7 +60,7 @@ def _block_top(shared, k: int):
                     s = np.round(q[at : at + BLOCK] @ x.T, 9)
                     best = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
                     r = np.repeat(np.arange(len(best)), best.shape[1])
-                    out.append(pd.DataFrame({"query_id": qid[at + r], "vec_id": ids[best.ravel()], "cosine": s[r, best.ravel()]}))
+                    out.append(pd.DataFrame({"query_id": qid[at + r], "group": group, "vec_id": ids[best.ravel()], "cosine": s[r, best.ravel()]}))
             if out:
                 yield pd.concat(out)
 
@@ -70,21 +71,23 @@ def _block_top(shared, k: int):
 QUERY_VALUES = 20_000_000
 
 
-def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, cosine, rank) of the k most similar vectors of each query within its space, itself left out.
+def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, group: str | None = None) -> DataFrame:
+    """(query_id, vec_id, cosine, rank) of the k most similar vectors of each query within its space, itself left out;
+    with ``group`` (a column of vectors that is a number) the k of each group, and the group.
 
     Both sides: vec_id, space, vector. Vectors that are null, non-finite or zero take no part. Queries go out in blocks of a bounded
     size, each compared with all rows; a partition hands on k rows a query, so that no pairs are shuffled.
     """
     ok = vector_valid(F.col("vector"))
-    rows = vectors.where(ok).select("vec_id", "space", l2_normalize(F.col("vector")).alias("v"))
+    of = F.lit(0).cast("long") if group is None else F.col(group).cast("long")
+    rows = vectors.where(ok & of.isNotNull()).select("vec_id", "space", of.alias("group"), l2_normalize(F.col("vector")).alias("v"))
     asked = queries.where(ok).select("vec_id", "space", l2_normalize(F.col("vector")).alias("v"))
     found, block, size = None, {}, 0
     context = vectors.sparkSession.sparkContext
 
     def search(block: dict[object, list]) -> DataFrame:
         ready = {s: (np.array([i for i, _ in rows_]), np.array([v for _, v in rows_])) for s, rows_ in block.items()}
-        part = rows.mapInPandas(_block_top(context.broadcast(ready), k), "query_id long, vec_id long, cosine double")
+        part = rows.mapInPandas(_block_top(context.broadcast(ready), k), "query_id long, group long, vec_id long, cosine double")
         return part
 
     for r in asked.orderBy("vec_id").toLocalIterator():
@@ -95,10 +98,9 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             block, size = {}, 0
     if block or found is None:
         found = search(block) if found is None else found.unionByName(search(block))
-    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return (
-        found.where("query_id <> vec_id").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    )
+    order = Window.partitionBy("query_id", "group").orderBy(F.desc("cosine"), "vec_id")
+    top = found.where("query_id <> vec_id").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return top.drop("group") if group is None else top
 
 
 def best_regions(scores: DataFrame, most: int = 3) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import score as S
 from foliospark.operators import bm25, metrics, search, similarity, vectors
 from foliospark.operators.integrity import first_of
-from foliospark.plans.lexical import EVERY, FIGURE_NO, query_figures
-from foliospark.session import table
+from foliospark.plans.lexical import _BM25, EVERY, FIGURE_NO, query_figures
+from foliospark.session import checkpoint, table
 
 
 def _r(x, n: int = 6):
@@ -51,9 +53,9 @@ def q_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
 def q_best_regions(spark: SparkSession, d: str) -> DataFrame:
     """Labels as figures, vectors as their regions: the best three of each figure for every query."""
     v = _unit(spark, d)
-    near = vectors.exact_top_k(v.where(F.col("vec_id") % EVERY == 0), v, 1_000_000)
-    scored = near.join(v.select("vec_id", F.col("label").alias("figure_id")), "vec_id").select("query_id", "figure_id", F.col("vec_id").alias("region_id"), _r("cosine").alias("score"))
-    return vectors.best_regions(scored).select("query_id", "figure_id", "sr", F.array_join(F.transform("regions", lambda x: x.cast("string")), ",").alias("regions"))
+    q = v.where(F.col("vec_id") % EVERY == 0)
+    near = vectors.exact_top_k(q, v, 3, group="label").select("query_id", F.col("group").alias("figure_id"), F.col("vec_id").alias("region_id"), _r("cosine").alias("score"))
+    return vectors.best_regions(near).select("query_id", "figure_id", "sr", F.array_join(F.transform("regions", lambda x: x.cast("string")), ",").alias("regions"))
 
 
 def q_rank_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -152,23 +154,89 @@ def q_fusion(spark: SparkSession, d: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", _r("f.score").alias("score"), F.array_join("f.missing", ",").alias("missing"))
 
 
-_METHODS = {"lexical": {"st": 1.0}, "hybrid": {"st": 0.25, "sr": 0.2, "sv": 0.25}, "full": {"st": 0.25, "sr": 0.2, "sv": 0.25, "sf": 0.2, "se": 0.1, "u": -0.05}}
+def _latest(spark: SparkSession, d: str, entity: str, modality: str) -> DataFrame:
+    """(entity_id, v) of the neural space: the last usable vector of each entity."""
+    v = table(spark, d, "vector_results").where((F.col("entity_type") == entity) & (F.col("modality") == modality) & (F.col("provider") == "neural"))
+    v = v.where(vectors.vector_state(F.col("vector"), F.col("dimension")) == "usable")
+    return vectors.latest_vectors(v).select("entity_id", F.col("vector").alias("v"))
+
+
+def _relations(spark: SparkSession, d: str) -> DataFrame:
+    """(figure_key, subject, predicate, object, c): edges of a figure, less sure without a rationale."""
+    r = table(spark, d, "domestic_functions").select("figure_key", F.explode("relations").alias("r"))
+    return r.select("figure_key", *[F.lower(F.trim(f"r.{x}")).alias(x) for x in ("subject", "predicate", "object")], F.when(F.col("r.rationale").isNotNull(), 1.0).otherwise(0.7).alias("c"))
+
+
+def _search(spark: SparkSession, d: str, kinds: bool, methods=None, reliability=None) -> DataFrame:
+    """Titles and pictures of the query figures against all figures, by every component; a figure doesn't find itself.
+    ``kinds``: every second query is of a picture alone."""
+    figures = table(spark, d, "domestic_ai_selection").groupBy(F.col("figure_id").alias("doc_id")).agg(F.min(F.concat_ws(" ", "title", "description")).alias("text"))
+    is_text = (F.regexp_extract("query_id", FIGURE_NO, 1).try_cast("bigint") / EVERY) % 2 == 0 if kinds else F.lit(True)
+    q = checkpoint(query_figures(spark, d).withColumn("kind", F.when(is_text, "text").otherwise("image")))
+    said, asked = q.where("kind = 'text'").select("query_id", "text"), F.broadcast(q.select("query_id"))
+
+    def both(rows: DataFrame, key: str = "figure_key") -> tuple[DataFrame, DataFrame]:
+        return rows.withColumnRenamed(key, "query_id").join(asked, "query_id", "left_semi"), rows.withColumnRenamed(key, "doc_id")
+
+    functions = checkpoint(similarity.key_weights(function_rows(spark, d), "figure_key", ["slot", "concept"], "weight"))
+    edges = checkpoint(similarity.key_weights(_relations(spark, d), "figure_key", ["subject", "predicate", "object"], "c", at_least=0.7))
+    links = first_of(table(spark, d, "competition_evidence_links").select("figure_id", "functional_drafts", "arrived_at"), ["figure_id"], ["arrived_at"])
+    drafts = links.select("figure_id", F.explode("functional_drafts").alias("f")).where("f.concept <> 'unknown'")
+    drafts = checkpoint(drafts.groupBy("figure_id", "f.slot", "f.concept").agg(F.max(F.size("f.supports") > 0).alias("supported")))
+    regions = table(spark, d, "regions").select(F.col("figure_id").alias("doc_id"), F.col("label").alias("value"), F.col("evidence_state").alias("state"))
+    parts = {
+        "lexical": search.lexical_component(figures, said, 10, normalise=False, own=False).select("query_id", "doc_id", F.col("normalised").alias("value")),
+        "sf": similarity.weighted_jaccard(*both(functions), ["slot", "concept"]).select("query_id", "doc_id", F.col("score").alias("value")),
+        "sg": similarity.weighted_jaccard(*both(edges), ["subject", "predicate", "object"]).select("query_id", "doc_id", F.col("score").alias("value")),
+        "se": similarity.evidence_coverage(said.withColumnRenamed("text", "claim"), regions).withColumnRenamed("coverage", "value"),
+    }
+    overlap = checkpoint(similarity.draft_overlap(*both(drafts, "figure_id")))
+    parts |= {"draft_sf": overlap.select("query_id", "doc_id", F.col("jaccard").alias("value")), "draft_se": overlap.select("query_id", "doc_id", F.col("covered").alias("value"))}
+    pairs = reduce(DataFrame.unionByName, [v.select("query_id", "doc_id", F.lit(k).alias("part"), "value") for k, v in parts.items()])
+
+    def has(df: DataFrame, key: str, name: str) -> DataFrame:
+        return df.select(F.col(key).alias("doc_id")).distinct().withColumn(name, F.lit(True))
+
+    known = figures.select("doc_id")
+    for df, key, name in ((functions, "figure_key", "f"), (edges, "figure_key", "g"), (drafts, "figure_id", "d")):
+        known = known.join(has(df, key, name), "doc_id", "left")
+    texts, images = (_latest(spark, d, "figure", m).select(F.col("entity_id").alias("doc_id"), F.col("v").alias(f"{m}_vector")) for m in ("text", "image"))
+    parts_of = table(spark, d, "regions").select("region_id", F.col("figure_id").alias("doc_id")).distinct()
+    parts_of = parts_of.join(_latest(spark, d, "region", "image").withColumnRenamed("entity_id", "region_id"), "region_id", "left")
+    parts_of = parts_of.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("region_id", F.col("v").alias("vector")))).alias("regions"))
+    unsure = function_rows(spark, d).groupBy(F.col("figure_key").alias("doc_id")).agg(S.model_uncertainty(F.array_sort(F.collect_list("weight"))).alias("u"))
+    yes = {n: F.coalesce(n, F.lit(False)) for n in "fgd"}
+    mine = F.create_map(F.lit("sf"), yes["f"], F.lit("sg"), yes["g"], F.lit("draft_sf"), yes["d"], F.lit("draft_se"), yes["d"])
+    all_ = known.select("doc_id", mine.alias("has")).join(texts, "doc_id", "left").join(images, "doc_id", "left")
+    all_ = checkpoint(all_.join(parts_of, "doc_id", "left").join(unsure, "doc_id", "left"))
+    spoken = F.col("kind") == "text"
+    words = F.create_map(F.lit("lexical"), spoken, F.lit("se"), spoken & (F.trim("text") != ""))
+    queries = q.join(all_.select(F.col("doc_id").alias("query_id"), "has", "text_vector", "image_vector"), "query_id", "left").select(
+        "query_id", "kind", F.col("query_id").alias("source_id"), F.when(spoken, F.col("text_vector")).alias("text_vector"), "image_vector",
+        F.map_concat(words, F.coalesce("has", F.create_map().cast("map<string, boolean>"))).alias("has"),
+    )
+    return search.ranked_candidates(queries, all_, pairs, 10, methods, reliability)
 
 
-def _grid(spark: SparkSession, d: str) -> DataFrame:
-    c = _components()
-    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("doc_id"), *[v.alias(k) for k, v in c.items()])
-    features = rows.groupBy("query_id", "doc_id").agg(*[F.max(k).alias(k) for k in c])
-    return search.method_grid(features, list(c), _METHODS)
+def q_search_e2e(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best figures for every query figure: words and text vectors, pictures, regions, functions, relations,
+    evidence and uncertainty, fused; what is missing; and the regions that match best."""
+    top = _search(spark, d, False)
+    return top.select(
+        "query_id", "doc_id", "rank", _r("score").alias("score"), *[_r(c).alias(c) for c in ("sv", "st", "sr", "sf", "sg", "se", "u")],
+        F.array_join(search.missing_parts(), ",").alias("missing"), F.array_join("regions", ",").alias("regions"),
+    )
 
 
 def q_methods_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Ten best of each query by every method, over the same features."""
-    return _grid(spark, d).where("rank <= 10").select("query_id", "method", "doc_id", "rank", _r("score").alias("score"), "has_signal")
+    """The ten best of each query by every method that is applicable to its kind, over the same features."""
+    top = _search(spark, d, True, search.METHODS, search.RELIABILITY)
+    return top.select("query_id", "method", "doc_id", "rank", _r("score").alias("score"), "has_signal")
 
 
 def q_rank_changes(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.rank_changes(_grid(spark, d).where("rank <= 10"), "hybrid", "full")
+    some = {m: search.METHODS[m] for m in ("hybrid", "eafr_drafts")}
+    return metrics.rank_changes(_search(spark, d, True, some, search.RELIABILITY), "hybrid", "eafr_drafts")
 
 
 def q_method_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -179,27 +247,6 @@ def q_method_summary(spark: SparkSession, d: str) -> DataFrame:
     return m.select("method", "completed", "failed", "not_applicable", "stable", *[_r(c).alias(c) for c in ("median_ms", "min_ms", "max_ms")])
 
 
-def q_search_e2e(spark: SparkSession, d: str) -> DataFrame:
-    """Titles of the query figures against all figures: words, functions, evidence and uncertainty, fused and ranked; a
-    figure doesn't find itself."""
-    figures = table(spark, d, "domestic_ai_selection").groupBy(F.col("figure_id").alias("doc_id")).agg(F.min(F.concat_ws(" ", "title", "description")).alias("text"))
-    q = query_figures(spark, d)
-    asked = q.select("query_id")
-    words = search.lexical_component(figures, q, 10).select("query_id", "doc_id", F.col("normalised").alias("value"))
-    keys = ["slot", "concept"]
-    rows = similarity.key_weights(function_rows(spark, d), "figure_key", keys, "weight")
-    mine = rows.withColumnRenamed("figure_key", "query_id").join(F.broadcast(asked), "query_id", "left_semi")
-    functions = similarity.weighted_jaccard(mine, rows.withColumnRenamed("figure_key", "doc_id"), keys).select("query_id", "doc_id", F.col("score").alias("value"))
-    claims = q.select("query_id", F.col("text").alias("claim"))
-    regions = table(spark, d, "regions").select(F.col("figure_id").alias("doc_id"), F.col("label").alias("value"), F.col("evidence_state").alias("state"))
-    evidence = similarity.evidence_coverage(claims, regions).select("query_id", "doc_id", F.col("coverage").alias("value"))
-    confidences = function_rows(spark, d).groupBy(F.col("figure_key").alias("doc_id")).agg(F.collect_list("weight").alias("w"))
-    unsure = confidences.select("doc_id", S.model_uncertainty(F.col("w")).alias("value"))
-    parts = {k: v.where("query_id <> doc_id") for k, v in {"st": words, "sf": functions, "se": evidence}.items()}
-    top = search.fused_ranking(parts, 10, unsure)
-    return top.select("query_id", "doc_id", "rank", _r("score").alias("score"), *[_r(c).alias(c) for c in ("st", "sf", "se", "u")], F.array_join("missing", ",").alias("missing"))
-
-
 QUERIES = {f.__name__: f for f in (
     q_vector_states, q_space_filter, q_cosine_topk, q_cosine_pairs, q_best_regions, q_rank_metrics, q_hashed_vectors, q_function_jaccard, q_graph_jaccard,
     q_set_jaccard, q_evidence_coverage, q_uncertainty, q_missingness, q_fusion, q_methods_grid, q_rank_changes, q_method_summary, q_search_e2e,
@@ -224,13 +271,68 @@ def _jaccard(keys: str, query: str, pick: str) -> str:
 _PARTS = """c as (select *, case when l_returnflag <> 'R' then l_discount * 12 end sv, l_tax * 10 st, case when l_linestatus = 'F' then l_quantity / 50 end sr,
   case when l_tax > 0 then l_discount * 8 end sf, case when l_linenumber > 1 then l_tax * 8 end se, case when l_discount > 0 then l_discount * 10 end u from lineitem)"""
 _CLIP = "case when {0} is not null then greatest(0.0, least(1.0, {0})) end"
-_GRID = (
-    "with " + _PARTS + ", f as (select l_suppkey query_id, l_partkey doc_id, max(sv) sv, max(st) st, max(sr) sr, max(sf) sf, max(se) se, max(u) u from c group by 1, 2), g as ("
-    + " union all ".join(
-        f"select query_id, '{m}' \"method\", doc_id, " + " + ".join(f"{w}::double * coalesce({_CLIP.format(k)}, 0.0)" for k, w in ws.items()) + " score from f" for m, ws in _METHODS.items()
+_SPOKEN = "cast(nullif(regexp_extract(query_id, '" + FIGURE_NO + f"', 1), '') as bigint) // {EVERY} % 2 = 0"
+_VECTORS = """lv as (select * from (select *, row_number() over (partition by entity_type, entity_id, modality, preprocessing_hash order by arrived_at desc, vec_id desc) r from vector_results
+  where provider = 'neural' and len(vector) = dimension and len(list_filter(vector, lambda x: not isfinite(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0) where r = 1),
+tv as (select entity_id, list_transform(vector, lambda x: x::double) v from lv where entity_type = 'figure' and modality = 'text'),
+iv as (select entity_id, list_transform(vector, lambda x: x::double) v from lv where entity_type = 'figure' and modality = 'image'),
+rv as (select distinct region_id, figure_id from regions),
+rr as (select region_id, figure_id, list_transform(vector, lambda x: x::double) v from rv left join lv on entity_type = 'region' and modality = 'image' and entity_id = region_id)"""
+
+
+def _features(spoken: str) -> str:
+    """The components of every query and candidate."""
+    unit = "case when {0} is not null and {1} is not null then (greatest(-1.0, least(1.0, list_cosine_similarity({0}, {1}))) + 1) / 2 end"
+    return (
+        _BM25.replace("{docs}", "select figure_id doc_id, min(concat_ws(' ', title, description)) \"text\" from domestic_ai_selection group by 1").rstrip()
+        + f""", lx as (select query_id, doc_id, raw / max(raw) over (partition by query_id) v from (select *, row_number() over (partition by query_id order by score desc, doc_id) k from top where query_id <> doc_id) where k <= 50 and {spoken}),
+  {_FUNCTIONS}, fs as (select figure_key, sum(w) s from w group by 1),
+  fm as (select a.figure_key query_id, b.figure_key doc_id, sum(least(a.w, b.w)) low from w a join w b using (slot, concept) where a.figure_key in (select query_id from q) group by 1, 2),
+  sf as (select query_id, doc_id, low / (a.s + b.s - low) v from fm join fs a on a.figure_key = query_id join fs b on b.figure_key = doc_id),
+  rl as (select figure_key, unnest(relations) r from domestic_functions),
+  gw as (select figure_key, lower(trim(r.subject)) s1, lower(trim(r.predicate)) p1, lower(trim(r.object)) o1, max(case when r.rationale is null then 0.7 else 1.0 end)::double w from rl group by 1, 2, 3, 4),
+  gs as (select figure_key, sum(w) s from gw group by 1),
+  gm as (select a.figure_key query_id, b.figure_key doc_id, sum(least(a.w, b.w)) low from gw a join gw b using (s1, p1, o1) where a.figure_key in (select query_id from q) group by 1, 2),
+  sg as (select query_id, doc_id, low / (a.s + b.s - low) v from gm join gs a on a.figure_key = query_id join gs b on b.figure_key = doc_id),
+  ev as (select figure_id doc_id, lower(trim("label")) "value", max(case lower(evidence_state) when 'verified' then 1.0 when 'documented' then 0.9 when 'observed' then 0.8 else 0.5 end)::double w from regions where trim("label") <> '' group by 1, 2),
+  cl as (select query_id, lower(trim("text")) claim from q where trim("text") <> '' and {spoken}),
+  se as (select query_id, doc_id, max(w) v from cl join ev on contains("value", claim) or contains(claim, "value") group by 1, 2),
+  dl as (select figure_id, arg_min(functional_drafts, arrived_at) g from competition_evidence_links group by 1), du as (select figure_id, unnest(g) t from dl),
+  dk as (select figure_id, t.slot slot, t.concept concept, max(len(t.supports) > 0) supported from du where t.concept <> 'unknown' group by 1, 2, 3), dn as (select figure_id, count(*) n from dk group by 1),
+  dm as (select a.figure_id query_id, b.figure_id doc_id, count(*) both_, count_if(b.supported) held from dk a join dk b using (slot, concept) where a.figure_id in (select query_id from q) group by 1, 2),
+  {_VECTORS},
+  ul as (select figure_key, 0.5 + 0.1 * len(f.supports) w from f where f.concept <> 'unknown'), um as (select figure_key, max(w) m, count(*) n from ul group by 1),
+  uz as (select figure_key, any_value(n) n, any_value(m) m, sum(exp(greatest(-60, least(60, w - m)))) z from ul join um using (figure_key) group by 1),
+  uu as (select figure_key, case when any_value(n) <= 1 then 0.0 else greatest(0, least(1, -sum(exp(w - m) / z * ln(exp(w - m) / z)) / ln(any_value(n)))) end u from ul join uz using (figure_key) group by 1),
+  fig as (select distinct figure_id doc_id from domestic_ai_selection),
+  base as (select q.query_id, fig.doc_id, {spoken} spoken from q cross join fig where q.query_id <> fig.doc_id),
+  reg as (select b.query_id, b.doc_id, region_id, {unit.format('qi.v', 'rr.v')} s from base b join rr on rr.figure_id = b.doc_id left join iv qi on qi.entity_id = b.query_id),
+  rk as (select *, row_number() over (partition by query_id, doc_id order by s desc nulls last, region_id) k from reg),
+  rg as (select query_id, doc_id, max(s) sr, string_agg(region_id, ',' order by k) regions from rk where k <= 3 and (s is not null or (query_id, doc_id) not in (select (query_id, doc_id) from rk where s is not null)) group by 1, 2),
+  ft as (select b.*, case when spoken then coalesce(lx.v, 0.0) end lexical, case when spoken then {unit.format('qt.v', 'ct.v')} end semantic, {unit.format('qi.v', 'ci.v')} sv, rg.sr, coalesce(rg.regions, '') regions,
+    case when fa.s is not null and fb.s is not null then coalesce(sf.v, 0.0) end sf, case when ga.s is not null and gb.s is not null then coalesce(sg.v, 0.0) end sg, case when cl.claim is not null then coalesce(se.v, 0.0) end se,
+    case when da.n is not null and db.n is not null then coalesce(both_ / (da.n + db.n - both_), 0.0) end draft_sf, case when da.n is not null then coalesce(0.5::double * held / da.n, 0.0) end draft_se, uu.u
+    from base b left join lx using (query_id, doc_id) left join tv qt on qt.entity_id = b.query_id left join tv ct on ct.entity_id = b.doc_id left join iv qi on qi.entity_id = b.query_id left join iv ci on ci.entity_id = b.doc_id
+    left join rg using (query_id, doc_id) left join sf using (query_id, doc_id) left join sg using (query_id, doc_id) left join se using (query_id, doc_id) left join cl on cl.query_id = b.query_id
+    left join fs fa on fa.figure_key = b.query_id left join fs fb on fb.figure_key = b.doc_id left join gs ga on ga.figure_key = b.query_id left join gs gb on gb.figure_key = b.doc_id
+    left join dm using (query_id, doc_id) left join dn da on da.figure_id = b.query_id left join dn db on db.figure_id = b.doc_id left join uu on uu.figure_key = b.doc_id),
+  fx as (select *, 0.7::double * semantic + 0.3::double * coalesce(lexical, 0.0) st from ft)"""
+    )
+
+
+def _sum(weights: dict[str, float], reliability: dict[str, float]) -> str:
+    return " + ".join(f"{w}::double * greatest(0.0, least(1.0, coalesce({c}, 0.0))) * {reliability.get(c, 1.0)}::double" for c, w in weights.items())
+
+
+def _ranked(methods: dict[str, dict[str, float]]) -> str:
+    rows = " union all ".join(
+        f"select query_id, '{m}' \"method\", doc_id, {_sum(w, search.RELIABILITY)} score, {' or '.join(f'coalesce({c} > 0, false)' for c in w)} has_signal from fx" + (" where spoken" if m in search.TEXT_METHODS else "")
+        for m, w in methods.items()
     )
-    + "), r as (select *, score <> 0 has_signal, row_number() over (partition by query_id, \"method\" order by round(score, 6) desc, doc_id::varchar) \"rank\" from g)"
-)
+    return _features(_SPOKEN) + f', g as ({rows}), r as (select *, row_number() over (partition by query_id, "method" order by round(score, 6) desc, doc_id) "rank" from g)'
+
+
+_MISSING = ", ".join(f"case when {c} is null then '{n}' end" for c, n in S.NAMES.items())
 
 SQL = {
     "q_vector_states": """select entity_type, modality, case when vector is null then 'missing' when len(vector) = 0 then 'empty' when len(vector) <> dimension then 'cut'
@@ -276,9 +378,11 @@ SQL = {
       select l_orderkey, l_linenumber, round(coalesce(0.25::double * {_CLIP.format('sv')}, 0) + coalesce(0.25::double * {_CLIP.format('st2')}, 0) + coalesce(0.2::double * {_CLIP.format('sr')}, 0) + coalesce(0.2::double * {_CLIP.format('sf')} * 0.5::double, 0)
       + coalesce(0.1::double * {_CLIP.format('se')}, 0) - coalesce(0.05::double * {_CLIP.format('u')}, 0), 6) score,
       concat_ws(',', case when sv is null then 'visual' end, case when st2 is null then 'text' end, case when sr is null then 'region' end, case when sf is null then 'function' end, 'graph', case when se is null then 'evidence' end, case when u is null then 'model_uncertainty' end) "missing" from d""",
-    "q_methods_grid": _GRID + 'select query_id, "method", doc_id, "rank", round(score, 6) score, has_signal from r where "rank" <= 10',
-    "q_rank_changes": _GRID + """, l as (select query_id, "method", list(doc_id order by "rank") docs from r where "rank" <= 10 and "method" <> 'lexical' group by 1, 2)
-      select a.query_id, a.docs[1] <> b.docs[1] top1_changed, a.docs <> b.docs order_changed from l a join l b on a.query_id = b.query_id where a."method" = 'hybrid' and b."method" = 'full'""",
+    "q_methods_grid": _ranked(search.METHODS) + 'select query_id, "method", doc_id, "rank", round(score, 6) score, has_signal from r where "rank" <= 10',
+    "q_rank_changes": _ranked({m: search.METHODS[m] for m in ("hybrid", "eafr_drafts")}) + """, l as (select query_id, "method", list(doc_id order by "rank") docs from r where "rank" <= 10 group by 1, 2)
+      select a.query_id, a.docs[1] <> b.docs[1] top1_changed, a.docs <> b.docs order_changed from l a join l b on a.query_id = b.query_id where a."method" = 'hybrid' and b."method" = 'eafr_drafts'""",
+    "q_search_e2e": _features("true") + f""", g as (select *, {_sum(search.METHODS['eafr_current'], {})} score from fx), r as (select *, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) "rank" from g)
+      select query_id, doc_id, "rank", round(score, 6) score, round(sv, 6) sv, round(st, 6) st, round(sr, 6) sr, round(sf, 6) sf, round(sg, 6) sg, round(se, 6) se, round(u, 6) u, concat_ws(',', {_MISSING}) "missing", regions from r where "rank" <= 10""",
     "q_method_summary": """select model || '/' || version "method", count_if(status <> 'failed' and (raw_text is null or raw_text <> '')) completed, count_if(status = 'failed') failed, count_if(status <> 'failed' and raw_text = '') not_applicable,
       count_if(review_state = 'reviewed') stable, round(median(latency_ms), 6) median_ms, round(min(latency_ms), 6) min_ms, round(max(latency_ms), 6) max_ms from ocr_results group by 1""",
 }

@@ -316,11 +316,52 @@ def test_rank_metrics(spark):
     assert metrics.ranking_signature(s).first()["signature"] == metrics.ranking_signature(s.orderBy("rank")).first()["signature"]
 
 
-def test_fused_ranking_and_text(spark):
-    s = "query_id string, doc_id string, value double"
-    parts = {"st": spark.createDataFrame([("q", "a", 0.5), ("q", "b", 0.4)], s), "sf": spark.createDataFrame([("q", "b", 1.0)], s)}
-    rows = search.fused_ranking(parts, 5, spark.createDataFrame([("b", 1.0)], "doc_id string, value double")).orderBy("rank").collect()
-    assert [r["doc_id"] for r in rows] == ["b", "a"] and rows[0]["score"] == pytest.approx(0.1 + 0.2 - 0.05)
+def ranked(spark, queries, candidates, pairs, k=5, **more):
+    v = "array<float>"
+    q = spark.createDataFrame(queries, f"query_id string, kind string, source_id string, text_vector {v}, image_vector {v}, has map<string, boolean>")
+    c = spark.createDataFrame(candidates, f"doc_id string, text_vector {v}, image_vector {v}, regions array<struct<region_id: string, vector: {v}>>, has map<string, boolean>, u double")
+    p = spark.createDataFrame(pairs, "query_id string, doc_id string, part string, value double")
+    return search.ranked_candidates(q, c, p, k, **more).orderBy("query_id", "method", "rank").collect()
+
+
+def test_every_candidate_is_ranked(spark):
+    has = {"lexical": True, "sf": True}
+    x, y = [1.0, 0.0], [0.0, 1.0]
+    some = [("a", x, None, None, {"sf": True}, None), ("b", y, None, None, {"sf": True}, 1.0), ("c", None, None, None, {}, None), ("d", [1.0], None, [], None, math.nan), ("q", x, None, None, None, None)]
+    got = ranked(spark, [("q", "text", "q", x, None, has)], some, [("q", "b", "sf", 1.0), ("q", "a", "lexical", 0.5), ("other", "a", "sf", 1.0)])
+    # a: words and vectors, b: half similar, functions, uncertain; c and d have no signal and are there all the same.
+    assert [r["doc_id"] for r in got] == ["b", "a", "c", "d"]
+    assert got[1]["score"] == pytest.approx(0.25 * (0.7 + 0.15)) and got[0]["score"] == pytest.approx(0.25 * 0.7 * 0.5 + 0.2 - 0.05)
+    assert got[1]["sf"] == 0.0 and got[2]["sf"] is None and got[2]["st"] is None and got[3]["u"] is None
+    # Without signal, an uncertain candidate comes behind one of which nothing is known.
+    quiet = ranked(spark, [("q", "text", None, None, None, {})], [("a", None, None, None, {}, 1.0), ("b", None, None, None, {}, None)], [])
+    assert [(r["doc_id"], r["score"]) for r in quiet] == [("b", 0.0), ("a", -0.05)]
+    assert ranked(spark, [], some, []) == [] and ranked(spark, [("q", "text", None, x, None, has)], [], []) == []
+
+
+def test_regions_and_methods(spark):
+    x, y, z = [1.0, 0.0], [0.0, 1.0], [1.0, 1.0]
+    some = [("a", None, y, [("r2", z), ("r1", x), ("r3", None), ("r0", z)], {}, None), ("b", None, x, [("s2", None), ("s1", None)], {}, None)]
+    got = ranked(spark, [("p", "image", None, None, x, {})], some, [], methods=search.METHODS, reliability=search.RELIABILITY)
+    assert {r["method"] for r in got} == set(search.METHODS) - set(search.TEXT_METHODS)
+    first = {(r["method"], r["doc_id"]): r for r in got}
+    assert first["hybrid", "a"]["sr"] == 1.0 and first["hybrid", "a"]["regions"] == ["r1", "r0", "r2"] and first["hybrid", "b"]["sr"] is None and first["hybrid", "b"]["regions"] == ["s1", "s2"]
+    assert first["hybrid_no_region", "a"]["score"] == pytest.approx(0.25 * 0.5) and first["chinese_clip", "b"]["score"] == 1.0
+
+
+def test_requests(spark):
+    rows = [("a", "text", "mill", 10, None, None, None, None), ("b", "text", " ", 0, None, None, None, [["x"] * 51]), ("c", "region", None, 5, "p", "f", (0.1, 0.1, 0.2, 0.2), None), ("d", "image", "t", None, None, None, (0.1, 0.1, 0.2, 0.2), None), ("e", None, None, 1, None, None, None, None)]
+    df = spark.createDataFrame(rows, "query_id string, kind string, text string, top_k int, page_id string, figure_id string, bbox struct<x: double, y: double, width: double, height: double>, filters array<array<string>>")
+    assert {tuple(r) for r in search.request_problems(df).collect()} == {("b", "text"), ("b", "top_k"), ("b", "filters"), ("c", "place"), ("d", "text_with_picture"), ("d", "top_k"), ("d", "bbox_without_region"), ("e", "kind")}
+
+
+def test_lists_filter_in_two_ways(spark):
+    df = spark.createDataFrame([("a", None), ("b", "x")], "id string, kind string")
+    assert search.search_filters(df, id=[]).count() == 2 and search.search_filters(df, {"kind": "none"}, kind=["none"]).count() == 1
+    assert search.among(df, "id", df.limit(0)).count() == 0 and search.among(df, "id", df.where("id = 'b'")).count() == 1
+
+
+def test_figure_text(spark):
     figures = spark.createDataFrame([("f", " T "), ("g", None)], "figure_id string, title string")
     chunks = spark.createDataFrame([("f", 2, "two", None), ("f", 1, "x", "one"), ("f", 3, "", " ")], "figure_id string, ordinal int, text string, corrected_text string")
     assert {tuple(r) for r in search.figure_text(figures, chunks).collect()} == {("f", "T one two"), ("g", "")}
