@@ -29,6 +29,11 @@ def fingerprint(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
+def blob_sha1(content: Column) -> Column:
+    """SHA-1 of a binary as version control stores it: behind a header with its length."""
+    return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.length(content).cast("string")), "UTF-8"), F.lit(b"\x00"), content))
+
+
 def canonical_hash(value: object) -> str:
     """SHA-256 of JSON with sorted keys, on the driver, for reports; NaN is an error."""
     text = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)

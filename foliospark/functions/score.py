@@ -41,6 +41,11 @@ def vector_valid(v: Column) -> Column:
     return F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: finite(x)) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def norm_within(v: Column, low: float = 0.98, high: float = 1.02) -> Column:
+    """Whether a vector can be compared and its squared length lies in [low, high]."""
+    return vector_valid(v) & F.coalesce(dot(v, v).between(low, high), F.lit(False))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in [-1, 1]. Empty, unequally long, non-finite, zero and null vectors give 0. Scaled by the largest value
     first, so that no square overflows."""

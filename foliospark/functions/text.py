@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import html
+import re
 import unicodedata
 
 import pandas as pd
@@ -93,13 +95,14 @@ def word_tokens(x: Column) -> Column:
 
 def as_code_points(tokens: Column, vocabulary: Column) -> Column:
     """A string of one character a token, so that ``levenshtein`` counts tokens. ``vocabulary``: the distinct tokens of
-    both sides, at most 35 000."""
-    return F.array_join(
-        F.transform(
-            tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, t).cast("int") + 0x4E00), 8, "0")), "UTF-32")
-        ),
-        "",
-    )
+    both sides; Unicode has room for a million of them beside the surrogates, which are passed over."""
+
+    def character(t: Column) -> Column:
+        code = F.array_position(vocabulary, t).cast("int") + 0x4E00
+        code = F.when(code >= 0xD800, code + 0x800).otherwise(code)
+        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+    return F.array_join(F.transform(tokens, character), "")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -114,35 +117,72 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
-# Terms that mark a line as the noise of a scanning service.
-NOISE_TERMS = ("copyright", "scanned by", "digitized", "watermark", "www.", "http", "isbn", "library")
+# Terms that mark a line as the noise of a scanned collection.
+NOISE_TERMS = ("kodak", "gray scale", "national archives", "国立公文書館", "内閣文庫", "番號", "冊數", "函號")
 
 
 def has_known_noise(x: Column, terms: tuple[str, ...] = NOISE_TERMS) -> Column:
-    """Whether a text holds one of the terms, or the replacement character."""
+    """Whether a text holds one of the terms in any case, or the replacement character."""
     low = F.lower(x)
-    test = F.contains(x, F.lit("�"))
+    test = F.contains(x, F.lit("\ufffd"))
     for t in terms:
         test = test | F.contains(low, F.lit(t.lower()))
     return test
 
 
-def clean_markup(x: Column, depth: int = 4) -> Column:
-    """Text of wiki markup: comments, references and templates gone, links unwrapped, tags and quotes stripped.
+_TEMPLATE = re.compile(r"\{\{[^{}]*\}\}")
+
+
+@F.pandas_udf(T.StringType())
+def _without_templates(s: pd.Series) -> pd.Series:
+    def of(x: str) -> str:
+        before = None
+        while before != x:
+            before, x = x, _TEMPLATE.sub("", x)
+        return x
+
+    return s.map(of, na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def _unescape(s: pd.Series) -> pd.Series:
+    return s.map(html.unescape, na_action="ignore")
+
+
+def clean_markup(x: Column) -> Column:
+    """Text of wiki markup: the part in onlyinclude if there is one; comments, references and templates gone, links
+    unwrapped, tags and quotes stripped, entities unescaped, lines trimmed, empty ones dropped. Null stays null.
 
-    Templates are taken from the innermost out, up to ``depth`` levels. Null stays null.
+    Templates go from the innermost out, to any depth. Only texts that still have one after the first level, or an
+    entity, have work to do in Python.
     """
-    out = F.regexp_replace(x, r"(?s)<!--.*?-->", "")
-    out = F.regexp_replace(out, r"(?s)<ref[^>/]*/>|<ref[^>]*>.*?</ref>", "")
-    for _ in range(depth):
-        out = F.regexp_replace(out, r"(?s)\{\{[^{}]*\}\}", "")
-    out = F.regexp_replace(out, r"\[\[(?:[^\]|]*\|)?([^\]|]*)\]\]", "$1")
-    out = F.regexp_replace(out, r"<[^>]+>", "")
-    out = F.regexp_replace(out, "'{2,}", "")
-    for entity, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(c))
-    lines = F.transform(F.split(out, "\n"), lambda s: F.trim(s))
-    return F.array_join(F.filter(lines, lambda s: s != ""), "\n")
+    body = F.regexp_extract(x, r"(?is)<onlyinclude>(.*?)</onlyinclude>", 1)
+    out = F.when(x.rlike(r"(?is)<onlyinclude>.*?</onlyinclude>"), body).otherwise(x)
+    out = F.regexp_replace(out, r"(?s)<!--.*?-->", "")
+    out = F.regexp_replace(out, r"(?is)<ref\b.*?</ref>", "")
+    out = F.regexp_replace(out, r"(?i)<ref\b[^>]*/>", "")
+    out = F.regexp_replace(out, r"\[\[(?:[^\]|]+\|)?([^\]]+)\]\]", "$1")
+    out = F.regexp_replace(out, _TEMPLATE.pattern, "")
+    out = F.coalesce(_without_templates(F.when(out.rlike(_TEMPLATE.pattern), out)), out)
+    out = F.regexp_replace(F.regexp_replace(out, r"<[^>]+>", ""), "'{2,}", "")
+    out = F.coalesce(_unescape(F.when(F.contains(out, F.lit("&")), out)), out)
+    lines = F.transform(F.split(out, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
+    return F.array_join(F.filter(lines, lambda s: (s != "") & ~F.startswith(s, F.lit("{{"))), "\n")
+
+
+def truncated(x: Column, most: int) -> Column:
+    """The first ``most`` characters of a text. Null stays null."""
+    return F.left(x, F.lit(most))
+
+
+def table_cell(x: Column) -> Column:
+    """A text as a cell of a Markdown table: bars escaped, line breaks as spaces; null is an empty cell."""
+    return F.replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s*\R\s*", " "), F.lit("|"), F.lit("\\|"))
+
+
+def label_with_role(label: Column, role: Column) -> Column:
+    """``label（role）``, or the label alone where there is no role."""
+    return F.concat(label, F.when(F.trim(role) != "", F.concat(F.lit("（"), role, F.lit("）"))).otherwise(""))
 
 
 def clean_path(x: Column) -> Column:

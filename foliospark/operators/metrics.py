@@ -44,21 +44,45 @@ def corpus_error_rate(lines: DataFrame, group: str, order: str) -> DataFrame:
     return joined.select(group, F.levenshtein(t, p).alias("edits"), F.length(t).alias("total")).withColumn("cer", F.try_divide("edits", "total"))
 
 
-def _maximum_matching(pdf: pd.DataFrame) -> pd.DataFrame:
-    edges = {t: sorted(g["found_id"]) for t, g in pdf.groupby("truth_id")}
-    match: dict = {}
+def matched_pairs(edges: dict[object, list]) -> int:
+    """Size of a maximum matching. In every round a breadth-first search goes out from all unmatched left nodes at once,
+    over edges forth and matched pairs back, layer by layer; each tree that reaches an unmatched right node changes its
+    path. A round that changes nothing is the last."""
+    left_of: dict[object, object] = {}
+    right_of: dict[object, object] = {}
+    while True:
+        came_from: dict[object, object] = {}
+        tree = {t: t for t in edges if t not in right_of}
+        layer, ends = list(tree), {}
+        while layer:
+            following = []
+            for t in layer:
+                if tree[t] in ends:
+                    continue
+                for f in edges[t]:
+                    if f in came_from:
+                        continue
+                    came_from[f] = t
+                    owner = left_of.get(f)
+                    if owner is None:
+                        ends[tree[t]] = f
+                        break
+                    tree[owner] = tree[t]
+                    following.append(owner)
+            layer = following
+        if not ends:
+            return len(left_of)
+        for f in ends.values():
+            while f is not None:
+                t = came_from[f]
+                before = right_of.get(t)
+                left_of[f], right_of[t] = t, f
+                f = before
 
-    def place(t, seen: set) -> bool:
-        for f in edges[t]:
-            if f not in seen:
-                seen.add(f)
-                if f not in match or place(match[f], seen):
-                    match[f] = t
-                    return True
-        return False
 
-    n = sum(place(t, set()) for t in sorted(edges))
-    return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "matched": [n]})
+def _maximum_matching(pdf: pd.DataFrame) -> pd.DataFrame:
+    edges = {t: sorted(g["found_id"]) for t, g in pdf.groupby("truth_id")}
+    return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "matched": [matched_pairs(edges)]})
 
 
 def box_recall(truth: DataFrame, found: DataFrame, at_least: float = 0.5) -> DataFrame:
@@ -123,8 +147,10 @@ def rank_changes(results: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def ranking_signature(ranking: DataFrame, places: int = 6) -> DataFrame:
-    """(query_id, signature): digest of a whole ranking, the same for equal rankings."""
-    row = F.concat_ws(":", F.col("rank"), F.col("doc_id"), F.format_number("score", places))
+    """(query_id, signature): digest of a whole ranking with all its numbers, the same for equal rankings. ``ranking``:
+    query_id, doc_id, rank, score; other columns of type double are components and belong to it."""
+    parts = sorted(c for c, t in ranking.dtypes if t == "double" and c != "score")
+    row = F.concat_ws(":", F.col("rank"), F.col("doc_id"), *[F.coalesce(F.format_number(c, places), F.lit("none")) for c in ("score", *parts)])
     return ranking.groupBy("query_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("rank", row.alias("t"))))["t"], "|"), 256).alias("signature"))
 
 

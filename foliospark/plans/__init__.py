@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliospark.plans import catalogue, lexical, pages, references, scoring
+from foliospark.plans import catalogue, drafts, lexical, pages, references, scoring
 
-MODULES = [references, catalogue, lexical, scoring, pages]
+MODULES = [references, catalogue, lexical, scoring, pages, drafts]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}

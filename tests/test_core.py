@@ -1,6 +1,9 @@
 """Core operators against small cases with known results."""
 
+import hashlib
+import json
 import math
+import random
 import struct
 import zlib
 from datetime import datetime
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
 from foliospark.functions import ids, score, text
-from foliospark.operators import bm25, cfr, integrity, layout, metrics, orphans, review, search, similarity, skew, spatial, vectors
+from foliospark.operators import bm25, cfr, evidence, integrity, layout, metrics, orphans, review, search, similarity, skew, spatial, vectors
 from foliospark.sources import files, recognition, storage
 
 
@@ -188,11 +191,163 @@ def test_reading_order_goes_from_right_to_left(spark):
     assert [r["box_id"] for r in layout.reading_order(df).orderBy("position").collect()] == ["2", "3", "1", "0", "4"]
 
 
+def brute_alignment(lines, reference):
+    """Every start and length in order, the first of the greatest score."""
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    at, begun, out = 0, False, []
+    for line in lines:
+        n, best = len(line), None
+        for s in (range(max(0, at - 4), min(len(reference), at + 80) + 1) if begun else range(len(reference) + 1)) if n else ():
+            for length in range(max(1, n - 8), n + 11):
+                part = reference[s : s + length]
+                if part:
+                    alike = 1 - edits(line, part) / max(n, len(part))
+                    score = alike - (0.003 * abs(s - at) if begun else 0)
+                    if best is None or score > best[0] + 1e-12:
+                        best = (score, s, s + len(part), alike)
+        if best is None:
+            out.append((at, at, 0.0))
+        else:
+            at, begun = best[2], True
+            out.append((best[1], best[2], max(0.0, min(1.0, best[3]))))
+    return out
+
+
+def test_alignment_is_that_of_brute_force(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for section in range(6):
+        reference = "".join(rng.choice("水車木軸磨輪竹絲") for _ in range(rng.choice([0, 5, 160])))
+        at, lines = rng.randint(0, 30), []
+        while at < len(reference) and len(lines) < 9:
+            n = rng.randint(3, 14)
+            lines.append("".join(c if rng.random() < 0.85 else rng.choice("水鐵") for c in reference[at : at + n]))
+            at += n + rng.choice([0, 0, 0, 4])
+        lines.insert(1, "")
+        lines.append("鐵鐵鐵")
+        rows += [(section, 100 * section + k, k, f"a {x}!", f"x{reference}\n") for k, x in enumerate(lines)]
+        want |= {100 * section + k: r for k, r in enumerate(brute_alignment(lines, reference))}
+    df = spark.createDataFrame(rows, "section long, line_id long, position int, text string, reference string")
+    got = {r["line_id"]: (r["start"], r["stop"], r["similarity"]) for r in layout.greedy_alignment(df).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_alignment_may_start_anywhere_and_goes_on(spark):
     ref = "the oiled wheel turns the crude hammer before the harvest begins"
-    df = spark.createDataFrame([(1, 10, 0, "turns tho crude", ref), (1, 11, 1, "hammer bef0re the", ref), (1, 12, 2, "", ref), (2, 13, 0, "x", "")], "section long, line_id long, position int, text string, reference string")
-    got = {r["line_id"]: (r["start"], r["stop"]) for r in layout.greedy_alignment(df).collect()}
-    assert ref[slice(*got[10])] == "turns the crude" and ref[slice(*got[11])].strip() == "hammer before the" and got[12] == (None, None) == got[13]
+    df = spark.createDataFrame([(1, 10, 0, "turns tho crude", ref), (1, 11, 1, "hammer bef0re the", ref), (1, 12, 2, "", ref), (2, 13, 0, "x", ""), (3, 14, 0, None, None)], "section long, line_id long, position int, text string, reference string")
+    got = {r["line_id"]: (r["start"], r["stop"]) for r in layout.greedy_alignment(df, None).collect()}
+    assert ref[slice(*got[10])] == "turns the crude" and ref[slice(*got[11])].strip() == "hammer before the" and got[12] == (got[11][1],) * 2 and got[13] == got[14] == (0, 0)
+
+
+def test_sections_go_on_over_pages(spark):
+    rows = [("s", 1, 1, "a"), ("s", 1, 2, None), ("s", 2, 1, None), ("s", 3, 1, None), ("s", 3, 2, "b"), ("s", 3, 3, None), ("t", 1, 1, None)]
+    df = layout.filled_sections(spark.createDataFrame(rows, "source string, page int, n int, anchor string"), "source", ["page"], "n", "anchor")
+    got = {(r["source"], r["page"], r["n"]): r["section"] for r in df.collect()}
+    assert got == {("s", 1, 1): "a", ("s", 1, 2): "a", ("s", 2, 1): "a", ("s", 3, 1): "a", ("s", 3, 2): "b", ("s", 3, 3): "b", ("t", 1, 1): None}
+    assert [r["source"] for r in layout.unanchored(df, F.lit(True)).collect()] == ["t"]
+
+
+def test_matchings_are_maximal():
+    def brute(edges):
+        best = 0
+        order = list(edges)
+
+        def go(i, used):
+            nonlocal best
+            best = max(best, len(used))
+            for k in range(i, len(order)):
+                for f in edges[order[k]]:
+                    if f not in used:
+                        go(k + 1, used | {f})
+
+        go(0, frozenset())
+        return best
+
+    rng = random.Random(2)
+    for _ in range(200):
+        edges = {t: sorted({rng.randint(0, 5) for _ in range(rng.randint(1, 3))}) for t in range(rng.randint(0, 6))}
+        assert metrics.matched_pairs(edges) == brute(edges)
+    n = 5000  # a path that a recursion could not follow
+    assert metrics.matched_pairs({t: [f for f in (t, t + 1) if f < n] for t in range(n, -1, -1) if t < n}) == n
+
+
+def test_roles_of_boxes(spark):
+    rows = [
+        (1, 0, 500, 10, 600, 500, "x", "book_title"), (2, 0, 500, 10, 600, 500, "十三号", "repository_mark"), (2, 1, 10, 10, 60, 200, "天工開物", "running_title"), (2, 2, 10, 10, 60, 200, "三", "folio_mark"),
+        (2, 3, 500, 10, 560, 200, "水 7", "interlinear_annotation"), (2, 4, 500, 10, 520, 60, "水", "recognition_fragment"), (7, 0, 500, 10, 560, 200, "水輪", "component_label"), (9, 1, 500, 10, 560, 200, "圖", "figure_title"),
+        (2, 5, 500, 10, 560, 200, "蠶浴", "section_heading"), (2, 6, 500, 10, 560, 500, "水", "body"), (2, 7, 500, 10, 560, 200, None, "interlinear_annotation"), (3, 1, 10, 10, 60, 200, "x", "section_heading"),
+    ]
+    df = spark.createDataFrame([(*r[:6], 1000, 1000, *r[6:]) for r in rows], "page_no int, box_index int, x_min int, y_min int, x_max int, y_max int, page_width int, page_height int, text string, want string")
+    known = spark.createDataFrame([(3, 1, "蠶種")], "page_no int, box_index int, candidate string")
+    titles = spark.createDataFrame([(9, 1, "水車圖")], "page_no int, box_index int, candidate string")
+    out = layout.roles(df, [7], known, titles).collect()
+    assert [r["role"] for r in out] == [r["want"] for r in out]
+    assert {(r["box_index"], r["candidate"]) for r in out if r["candidate"]} == {(1, "蠶種"), (1, "水車圖"), (5, "蠶浴")}
+
+
+def test_review_of_boxes(spark):
+    schema = "raw_text string, server_text string, server_confidence double, reference_text string, category string, role string, role_confidence double, candidate string"
+    rows = [("水車", "水車", 0.95, None, "text", "body", 0.96, None), ("水車", "木車", 0.95, "石磨", "text", "body", 0.96, None), ("x", None, None, None, "text", "body", 0.96, None), ("蠶洛", None, None, None, "text", "section_heading", 0.9, "蠶浴")]
+    got = review.review_candidates(spark.createDataFrame(rows, schema)).collect()
+    assert [r["candidate_texts"] for r in got] == [["水車"], ["水車", "木車", "石磨"], ["x"], ["蠶洛", "蠶浴"]]
+    assert [r["agreement"] for r in got] == pytest.approx([1.0, 0.5, 1.0, 0.5]) and [r["needs_review"] for r in got] == [False, True, False, True]
+    assert got[3]["consensus"]["basis"] == "controlled_title_candidate" and got[3]["consensus"]["text"] == "蠶浴"
+
+    def reasons(*values):
+        names = ("category", "role", "role_confidence", "server_confidence", "place_confidence", "n", "best")
+        df = spark.createDataFrame([values], "category string, role string, role_confidence double, server_confidence double, place_confidence double, n int, best double")
+        return df.select(review.review_reasons(*[F.col(c) for c in names]).alias("r")).first()["r"]
+
+    assert reasons("caption", "figure_title", 0.93, 0.5, 0.4, 3, 0.85) == ["figure_title_or_component_label", "low_server_confidence", "low_reference_alignment", "three_way_text_conflict"]
+    assert reasons("annotation", "recognition_fragment", None, 0.5, None, 1, 0.0) == ["recognition_fragment", "low_category_confidence"]
+    assert reasons("text", "body", 0.92, None, None, 2, 0.8) == ["no_high_agreement_pair"] and reasons("text", "body", 0.92, None, None, 3, 0.9) == []
+    assert reasons("text", "section_heading", 0.9, None, None, 1, 0.0) == ["section_heading", "missing_secondary_candidate"]
+
+
+def test_supports_and_attachments(spark):
+    s = spark.createDataFrame([(1, "f", "raw_ocr", "b", "oiled"), (2, "f", "raw_ocr", "b", "Oiled"), (3, "g", "raw_ocr", "b", "oiled"), (4, "f", "raw_ocr", "c", "x"), (5, "f", "scan_region", "r", None), (6, "f", "raw_ocr", None, "x")], "support_id long, owner string, kind string, reference_id string, quote string")
+    t = spark.createDataFrame([("raw_ocr", "b", "f", "the oiled wheel"), ("raw_ocr", "b", "f", "the oi1ed wheel"), ("scan_region", "r", "f", None)], "kind string, reference_id string, owner string, content string")
+    got = {r["support_id"]: (r["binding"], r["n_targets"]) for r in evidence.bound_supports(s, t).collect() if r["reference_id"]}
+    assert got == {1: ("bound", 2), 2: ("absent", 2), 3: ("foreign", 2), 4: ("missing", 0), 5: ("bound", 1)}
+    p = spark.createDataFrame([("f", "p", "t", ["l", "l"], ["x"], [("t", "mill"), ("z", "q")])], "figure_id string, page_id string, title_id string, label_ids array<string>, context_ids array<string>, supports array<struct<item_id: string, quote: string>>")
+    i = spark.createDataFrame([("t", "p", "The mi11"), ("l", "o", "x"), ("z", "p", "q")], "item_id string, page_id string, text string")
+    got = {tuple(r) for r in evidence.attachment_problems(p, i, spark.createDataFrame([("f",), ("g",)], "figure_id string")).collect()}
+    assert got == {("f", "x", "unknown"), ("f", "l", "other_page"), ("f", "l", "attached_twice"), ("f", "z", "not_attached"), ("f", "t", "quote_absent"), ("g", None, "not_linked")}
+
+
+def test_traces_and_marks(spark):
+    box = {"x": 0.1, "y": 0.1, "width": 0.2, "height": 0.2}
+    traces = f"array(named_struct('text_id', 't', 'page_id', 'p', 'bbox', named_struct('x', 0.1d, 'y', 0.1d, 'width', 0.2d, 'height', 0.2d)), named_struct('text_id', 't', 'page_id', 'q', 'bbox', named_struct('x', 0.8d, 'y', 0.1d, 'width', 0.2d, 'height', 0.2d)))"
+    crop = F.struct(*[F.lit(v).alias(k) for k, v in {"x": 0.0, "y": 0.0, "width": 0.5, "height": 0.5}.items()])
+    for pointer, want in [("t", True), ("u", False), (json.dumps({"page_id": "p", "bbox": box}), True), (json.dumps({"page_id": "q", "bbox": box}), False), (None, False), ("{broken", False)]:
+        assert value(spark, evidence.located_by_trace(F.lit(pointer).cast("string"), crop, F.lit("p"), F.expr(traces))) is want, pointer
+    marks = [("p", 1, evidence.WATERMARKS[0], 900, 950, 990, 990), ("p", 2, evidence.WATERMARKS[1], 900, 950, 990, 990), ("q", 3, evidence.WATERMARKS[0], 900, 950, 990, 990), ("r", 4, evidence.WATERMARKS[0], 10, 10, 20, 20), ("p", 5, "x", 900, 950, 990, 990)]
+    df = spark.createDataFrame([(*m, 1000, 1000) for m in marks], "page_id string, box_id int, text string, x_min int, y_min int, x_max int, y_max int, page_width int, page_height int")
+    kept, problems = evidence.without_watermarks(df)
+    assert {r["box_id"] for r in kept.collect()} == {4, 5} and {tuple(r) for r in problems.collect()} == {("q", "partial"), ("r", "left_over")}
+
+
+def test_tokens_beyond_the_plane(spark):
+    rows = [(" ".join(f"w{i}" for i in range(n)), " ".join(f"w{i}" for i in range(n) if i != 7)) for n in (40, 60_000)]
+    one = spark.createDataFrame(rows[:1], "truth string, prediction string")
+    assert metrics.error_rates(one).first()["token_edits"] == 1
+    wide = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: i.cast("string")).alias("v"))
+    code = wide.select(text.as_code_points(F.array(F.lit("35600"), F.lit("60000")), F.col("v")).alias("c")).first()["c"]
+    assert len(code) == 2 and not any(0xD800 <= ord(c) < 0xE000 for c in code)
+
+
+def test_markup_of_any_depth(spark):
+    deep = "{{a|" * 9 + "x" + "}}" * 9
+    assert value(spark, text.clean_markup(F.lit(f"a{deep}b &eacute;&#x6c34;"))) == "ab é水"
+    assert value(spark, text.clean_markup(F.lit("no<onlyinclude>yes [[p|q]]<REF name=x/></onlyinclude>no"))) == "yes q"
 
 
 def test_similar_sections():
@@ -222,6 +377,11 @@ def test_stable_ids_are_uuid5(spark):
     assert value(spark, ids.stable_id("figure", F.lit(None).cast("string"))) is None
 
 
+def test_blob_digests(spark):
+    df = spark.createDataFrame([(bytearray(b"wheel"),), (bytearray(),)], "b binary")
+    assert [r["h"] for r in df.select(ids.blob_sha1(F.col("b")).alias("h")).collect()] == [hashlib.sha1(f"blob {len(b)}\0".encode() + b).hexdigest() for b in (b"wheel", b"")]
+
+
 def test_upserts_are_idempotent(spark, tmp_path):
     path = str(tmp_path / "t")
     a = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")

@@ -14,6 +14,10 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
 
 
+#: Queries that have no rows on the smallest tables.
+EMPTY = {"q_section_headings"}
+
+
 def plain(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 5) + 0.0
@@ -44,9 +48,8 @@ def test_query_equals_its_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", [n for n in plans.QUERIES if n not in plans.SQL])
 def test_other_queries_run(spark, name):
-    if name == "q_alignment":
-        pytest.skip("takes long; its operator has its own test")
-    assert plans.QUERIES[name](spark, DATA).count() >= 0
+    df = plans.QUERIES[name](spark, DATA)
+    assert df.columns and (df.count() > 0 or name in EMPTY)
 
 
 def test_late_rows_and_repeated_batches(spark, tmp_path):
