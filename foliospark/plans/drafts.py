@@ -207,7 +207,7 @@ SQL = {
       select query_id, coalesce(tx.n, 0) n_texts, md5(coalesce(t, '')) texts, coalesce(k.n, 0) n_functions, coalesce(rl.n, 0) n_relations from cr left join tx using (query_id) left join k using (query_id) left join rl using (query_id)""",
     "q_scope_statistics": """with p as (select distinct source_id, page_id from page_inventory), b as (select distinct source_id, line_id, reading_order > 20 s from ocr_lines where deleted_at is null),
       f as (select source_id, figure_id, title from (select *, row_number() over (partition by figure_id order by arrived_at, page_id nulls first, title nulls first) r from domestic_ai_selection) t join p using (page_id) where r = 1)
-      select p.source_id, count(*) n_pages, (select count_if(not s) from b where b.source_id = p.source_id) retained_boxes, (select count_if(s) from b where b.source_id = p.source_id) supplements, (select count(*) from f where f.source_id = p.source_id) figures, (select count_if(title is null) from f where f.source_id = p.source_id) missing_captions from p group by 1""",
+      select p.source_id, count(*) n_pages, (select coalesce(count_if(not s), 0) from b where b.source_id = p.source_id) retained_boxes, (select coalesce(count_if(s), 0) from b where b.source_id = p.source_id) supplements, (select count(*) from f where f.source_id = p.source_id) figures, (select coalesce(count_if(title is null), 0) from f where f.source_id = p.source_id) missing_captions from p group by 1""",
     "q_catalogue_order": """select c_custkey, row_number() over (order by n_name, c_custkey) place, row_number() over (partition by c_mktsegment order by c_name) "position" from customer join nation on c_nationkey = n_nationkey""",
     "q_asset_refs": f"""with p as (select page_id, image_path, provenance from (select *, row_number() over (partition by page_id order by arrived_at, image_path nulls first, provenance nulls first) r from page_inventory) where r = 1),
       h as (select *, sha1(unhex('{NAMESPACE.hex}') || encode('asset:' || page_id)) h from p),
