@@ -91,11 +91,33 @@ def table() -> dict[int, str | None]:
 _THAI = [("เเ", "แ"), *[("ํ" + tone, tone + "ํ") for tone in "่้๊๋"]]
 
 
+#: Characters that read as themselves wherever they stand in a composed text, and the others, as met.
+_CLEAN: set[str] = set(map(chr, range(128)))
+_OTHER: set[str] = set("\u0e40\u0e4d")  # these two change with their neighbours
+
+
+def _reads_as_it_is(text: str) -> bool:
+    """Whether a text is composed and made of characters that read as themselves, so that nothing has to be mapped."""
+    if not _CLEAN.issuperset(text):
+        for c in set(text) - _CLEAN:
+            if c in _OTHER:
+                return False
+            apart = unicodedata.normalize("NFD", c)
+            # A character that begins no composition with those before it, stays whole and is not in the table.
+            same = unicodedata.combining(c) == 0 and not unicodedata.category(c).startswith("M") and not "\u1160" <= c <= "\u11ff"
+            if same and unicodedata.normalize("NFC", apart) == c and apart.translate(table()) == apart:
+                _CLEAN.add(c)
+            else:
+                _OTHER.add(c)
+                return False
+    return True
+
+
 def reading(text: str | None) -> str | None:
     """The form that texts share that read the same. Null stays null."""
     if text is None:
         return None
-    if text.isascii():
+    if text.isascii() or _reads_as_it_is(text):
         out = text
     else:
         out = unicodedata.normalize("NFD", text).translate(table())

@@ -12,11 +12,13 @@ import re
 import unicodedata
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from math import log
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,8 +40,10 @@ WORD_EVIDENCE, CHAR_EVIDENCE = 1.2, 3.0
 SENT_SOURCES = 100_000
 #: Words with candidates that are sent to all workers, at most.
 SENT_WORDS = 500_000
-#: Pairs of neighbouring characters of dense scripts that are sent to all workers: those seen twice, the most frequent.
+#: Pairs of neighbouring characters of dense scripts that are sent to all workers, at most; beyond, joins judge them.
 CHAR_PAIRS = 2_000_000
+#: Frequent rough keys of titles that are broadcast, after they have been counted; beyond, a shuffle joins them.
+ROUGH_KEYS = 1_000_000
 
 # Signs of a word that goes on in the next line.
 BREAK_MARKS = "-‐‑‒=¬­"
@@ -67,10 +71,9 @@ _NUMBER = regex.compile(
 _ROMAN = regex.compile(r"^(?=.)m{0,4}(?:cm|cd|d?c{0,5})(?:xc|xl|l?x{0,5})(?:ix|iv|v?i{0,5})$")
 _ROMAN_VALUES = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 _FINAL = frozenset(".!?…。,;:、”»」“)।॥○")
-#: Longest line, in characters, that is tried as a page number, and as a running title.
-NUMBER_CHARS, TITLE_CHARS = 24, 80
-#: Longest line, with its invisible characters, that counts when titles are looked for.
-ROUGH_CHARS = 64
+# A number without the signs around it has 22 characters at most (mmmm dccccc lxxxxx viiiii); longer ones are none.
+_NUMBER_CHARS = 22
+_AROUND_SIGNS = " |·•*~=_.。[]〔〕()（）［］【】" + "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) == "Pd")
 _NUMBER_WORD = re.compile(rf"[\dlIiOoSsBbZzGgqTtvxcdm|{_CJK_DIGITS}人入土士于第弟丁葉頁页]+$")
 #: Signs that part the words of a title.
 _SIGNS = {ord(c): " " for c in map(chr, range(0x10000)) if c == "|" or unicodedata.category(c).startswith("P")}
@@ -87,6 +90,8 @@ def roman(word: str) -> int:
 
 def is_number(read: str) -> bool:
     """Whether a line holds only a page or leaf number, in any script and with the signs around it."""
+    if len(read) > _NUMBER_CHARS and len(read.strip(_AROUND_SIGNS)) > _NUMBER_CHARS:
+        return False
     m = _AROUND.match(read)
     core = next((x for x in m.groups() if x is not None), "").strip() if m else ""
     if not core:
@@ -137,12 +142,17 @@ def running_titles(rows: DataFrame, all_pages: DataFrame, share: float = TITLE_S
     )
 
 
+@lru_cache(maxsize=10_000)
+def _letters(title: str) -> frozenset[str]:
+    return frozenset(title)
+
+
 def _near(a: str, b: str, most: int) -> bool:
     """Whether so few single edits part two strings."""
     if abs(len(a) - len(b)) > most:
         return False
-    # An edit changes how often letters occur by two at most.
-    if sum(abs(a.count(c) - b.count(c)) for c in set(b)) > 2 * most:
+    # An edit changes which letters there are, and how often they occur, by two at most.
+    if len(set(a) ^ _letters(b)) > 2 * most or sum(abs(a.count(c) - b.count(c)) for c in set(b)) > 2 * most:
         return False
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -172,9 +182,14 @@ def is_title(key: str, titles: list[str], edge: bool, final: bool) -> bool:
     return False
 
 
+#: What a rough key leaves out: everything but letters, and the letters and ideographs with which numbers are written.
+_NOT_ROUGH = r"[[^\p{L}]ivxlcdm" + _CJK_DIGITS + "]+"
+
+
 def _rough_key(text: Column) -> Column:
-    """What a title's clean spellings have in common, by built-in functions alone: letters, without numerals."""
-    return F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{M}}]+|[{_CJK_DIGITS}]+|\b[ivxlcdm]+\b", "")
+    """What a title's clean spellings have in common, by built-in functions alone: letters, without those of numerals.
+    Other lines may share it."""
+    return F.regexp_replace(F.lower(text), _NOT_ROUGH, "")
 
 
 def _title_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,20 +203,22 @@ def _title_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def titles_of_lines(lines: DataFrame) -> DataFrame:
-    """running_titles of raw lines. Lines are first counted by a rough key, by its hash; only those whose key stands on
-    several pages of a source pass through Python for their exact key."""
+    """running_titles of raw lines. Lines are first grouped by the hash of a rough key; only those whose key stands on two
+    pages of a source or more pass through Python for their exact key. No line is shuffled for that unless the frequent
+    keys are more than ROUGH_KEYS."""
     # Lines that end with a mark are no titles.
-    short = lines.where((F.length("text") <= ROUGH_CHARS) & ~F.right(F.rtrim("text"), F.lit(1)).isin(*_FINAL))
-    keyed = short.select("source_id", "page_id", "text", F.xxhash64("source_id", _rough_key(F.col("text"))).alias("rough"))
+    open_ = lines.where(~F.right(F.rtrim("text"), F.lit(1)).isin(*_FINAL))
+    rough = F.xxhash64("source_id", _rough_key(F.col("text")))
+    page = F.xxhash64("page_id")
     often = (
-        keyed.select("rough", F.xxhash64("page_id").alias("page"))
-        .distinct()
+        open_.select(rough.alias("rough"), page.alias("page"))
         .groupBy("rough")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= TITLE_PAGES)
+        .agg(F.min("page").alias("x"), F.max("page").alias("y"))
+        .where("x <> y")
         .select("rough")
     )
-    some = keyed.join(often, "rough", "left_semi").select("source_id", "page_id", "text")
+    often = bounded_broadcast(checkpoint(often), ROUGH_KEYS)
+    some = open_.select("source_id", "page_id", "text", rough.alias("rough")).join(often, "rough", "left_semi").select("source_id", "page_id", "text")
     rows = some.mapInPandas(_title_rows, "source_id string, page_id string, title string, final boolean")
     return running_titles(rows, lines.select("source_id", "page_id"))
 
@@ -217,7 +234,7 @@ _LINE = [x.split()[0] for x in _PASS.split(", ")][:11]
 
 
 def _is_short_number(text: str) -> bool:
-    return len(text) <= NUMBER_CHARS and is_number(reading(text))
+    return is_number(reading(text))
 
 
 class _Counts:
@@ -293,10 +310,10 @@ class _Pages:
         self.plain, self.other, self.dense = ([], []), ([], []), []  # texts to be counted, and whether they are marked
 
     def of(self, source) -> tuple[list[str], int]:
-        """A source's titles, and how long a line can be to be one, with a number and signs around it."""
+        """A source's titles, and how long the key of a line can be that is one of them."""
         if source not in self.known:
             titles = self.titles.get(source) or []
-            self.known[source] = (titles, min(TITLE_CHARS, max((len(t) * 5 // 4 for t in titles), default=0) + 20))
+            self.known[source] = (titles, max((len(t) + max(1, len(t) // 5) for t in titles), default=0))
         return self.known[source]
 
     def add(self, page, line_id, source, text) -> None:
@@ -327,13 +344,13 @@ class _Pages:
         if not read and not marked:
             return
         final = read[-1:] in _FINAL
-        if len(read) <= NUMBER_CHARS and not marked and is_number(read):
+        if not marked and is_number(read):
             self.out.append([line_id, False, True, "none", read, marked, final, None, None, False, None])
             self.first = True
             return
         edge, self.first = self.first or is_last, False
         titles, longest = self.of(source)
-        if titles and not marked and not final and len(read) <= longest and self.is_head(read, titles, edge, behind):
+        if titles and not marked and not final and self.is_head(read, titles, longest, edge, behind):
             self.out.append([line_id, True, False, "none", read, marked, final, None, None, False, None])
             return
         kind = _kind(read)
@@ -348,9 +365,12 @@ class _Pages:
         last_char = before[4][-1:] if before is not None and kind == "dense" else None
         self.body = [line_id, False, False, kind, read, marked, final, None, None, before is not None and before[5], last_char]
 
-    def is_head(self, read: str, titles: list[str], edge: bool, behind: str) -> bool:
+    def is_head(self, read: str, titles: list[str], longest: int, edge: bool, behind: str) -> bool:
+        # Most body lines are much longer than a title with a number: letters alone tell.
+        if len(read) > longest + _NUMBER_CHARS and sum(map(str.isalpha, read)) > longest + _NUMBER_CHARS:
+            return False
         key = title_key(read)
-        if not is_title(key, titles, True, False):
+        if len(key) > longest or not is_title(key, titles, True, False):
             return False
         return is_title(key, titles, (edge or _is_short_number(behind)) and not read[:1].islower(), False)
 
@@ -423,9 +443,9 @@ def read_pages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     titles = checkpoint(titles_of_lines(lines))
     few = titles.limit(SENT_SOURCES + 1).count() <= SENT_SOURCES
     shared = lines.sparkSession.sparkContext.broadcast({r["source_id"]: list(r["titles"]) for r in titles.toLocalIterator()}) if few else None
-    rows = lines.where("line_id is not null and text is not null").select(
-        F.coalesce("result_id", F.lit(-(1 << 62))).alias("page"), "reading_order", "line_id", "source_id", "text"
-    )
+    # Lines without a result are those of their page; without a page, too, each is a page of its own.
+    page = F.coalesce("result_id", F.when(F.col("page_id").isNotNull(), F.xxhash64("source_id", "page_id")), F.xxhash64("line_id"))
+    rows = lines.where("line_id is not null and text is not null").select(page.alias("page"), "reading_order", "line_id", "source_id", "text")
     if not few:
         rows = rows.join(titles, "source_id", "left")
     ordered = by_key(rows, "page").sortWithinPartitions("page", "reading_order", "line_id").drop("reading_order")
@@ -547,37 +567,87 @@ _USE_NAMES = [x.split()[0] for x in _USE.split(", ")]
 _USE_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
 
 
+def _threes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All three neighbouring characters of texts whose middle one is dense, as one number each (21 bits a character); of
+    each the text and the place of the middle one."""
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    breaks = np.flatnonzero(codes == 10)
+    middle = _is_dense_code(codes[1:-1]) & (codes[:-2] != 10) & (codes[2:] != 10)
+    at = np.flatnonzero(middle) + 1
+    text = np.searchsorted(breaks, at)
+    starts = np.concatenate([[0], breaks + 1])
+    return codes[at - 1] << 42 | codes[at] << 21 | codes[at + 1], text, at - starts[text] - 1
+
+
+_DENSE_CODES = [(0x0E01, 0x0E4F), (0x3041, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F)]
+
+
+def _is_dense_code(codes: np.ndarray) -> np.ndarray:
+    """The codes that _DENSE_CHAR matches."""
+    out = np.zeros(len(codes), bool)
+    for low, high in _DENSE_CODES:
+        out |= (codes >= low) & (codes <= high)
+    return out
+
+
+def _characters(three: int) -> str:
+    return chr(three >> 42) + chr(three >> 21 & 0x1FFFFF) + chr(three & 0x1FFFFF)
+
+
+def _listed() -> dict[str, list[str]]:
+    """Dense characters and the dense ones for which they may stand, by the tables."""
+    return {c: [x for x in others if _IS_DENSE.match(x)] for c, others in partners().items() if _IS_DENSE.match(c)}
+
+
+def _dense_columns(b: pa.RecordBatch) -> tuple[list[int], list[str]]:
+    """Ids and texts between their edges of a batch's dense lines."""
+    dense = b.filter(pc.equal(b.column("kind"), "dense"))
+    ids, *parts = (dense.column(x).to_pylist() for x in ("line_id", "read", "last_char", "next_first"))
+    # A line break within a line would part its characters; texts have none, readings being one line.
+    return ids, [_with_edges(*x) for x in zip(*parts, strict=True)]
+
+
 def _uses(words, lexicon, pairs, key: str, evidence: float):
     """Of spaced lines the words that have candidates, each between its neighbours (``words``: those words, None for all),
     and lines whose last word goes on without a mark (word is empty; ``lexicon``: how often words stand inside lines;
-    None: all lines whose last word may go on, as unmarked_breaks needs them); of dense lines the characters that stand for others (``pairs``: how often characters follow each
-    other)."""
-    swap = {c: [x for x in others if _IS_DENSE.match(x)] for c, others in partners().items() if _IS_DENSE.match(c)}
+    None: all lines whose last word may go on, as unmarked_breaks needs them); of dense lines the characters that stand for
+    others (``pairs``: how often characters follow each other; None: all characters, as judged_threes needs them)."""
+    swap = _listed()
+
+    def dense(b: pa.RecordBatch, near, judged: dict[int, list[str]]) -> list[tuple]:
+        ids, texts = _dense_columns(b)
+        if not texts:
+            return []
+        threes, text, at = _threes(texts)
+        if near is None:
+            return [(ids[i], -1, c[1], "", k, c[0], c[2]) for i, k, c in zip(text.tolist(), at.tolist(), map(_characters, threes.tolist()), strict=True)]
+        different, which = np.unique(threes, return_inverse=True)
+        bad = np.zeros(len(different), bool)
+        for n, three in enumerate(different.tolist()):
+            meant = judged.get(three)
+            if meant is None:
+                judged[three] = meant = near.meant(*_characters(three), swap, evidence)
+            bad[n] = bool(meant)
+        out = []
+        for i in np.flatnonzero(bad[which]).tolist():
+            c = _characters(int(threes[i]))
+            out += [(ids[text[i]], -1, c[1], y, int(at[i]), c[0], c[2]) for y in judged[int(threes[i])]]
+        if len(judged) >= 300_000:
+            judged.clear()
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _held:
             _held.clear()
-            _held[key] = (*(None if x is None else x.value for x in (words, lexicon)), _Neighbours(pairs.value))
+            _held[key] = (*(None if x is None else x.value for x in (words, lexicon)), None if pairs is None else _Neighbours(pairs.value))
         wanted, known, near = _held[key]
-        judged: dict[str, list[str]] = {}  # three characters to what the middle one stands for
+        judged: dict[int, list[str]] = {}  # three characters to what the middle one stands for
         for b in batches:
-            out = []
-            for line, nxt_id, read, marked, kind, final, nxt, was, last in zip(
-                *(b.column(x).to_pylist() for x in ("line_id", "next_id", "read", "marked", "kind", "final", "next_first", "was_marked", "last_char")),
-                strict=True,
+            out = dense(b, near, judged)
+            b = b.filter(pc.not_equal(b.column("kind"), "dense"))
+            for line, nxt_id, read, marked, final, nxt, was in zip(
+                *(b.column(x).to_pylist() for x in ("line_id", "next_id", "read", "marked", "final", "next_first", "was_marked")), strict=True
             ):
-                if kind == "dense":
-                    text = _with_edges(read, last, nxt)
-                    for k in range(len(text) - 2):
-                        three = text[k : k + 3]
-                        meant = judged.get(three)
-                        if meant is None:
-                            if len(judged) >= 300_000:
-                                judged.clear()
-                            judged[three] = meant = near.meant(*three, swap, evidence)
-                        if meant:
-                            out += [(line, -1, three[1], y, k, three[0], three[2]) for y in meant]
-                    continue
                 text = countable_text(read, marked, nxt, was)
                 found = (_ASCII_WORD if text.isascii() else _WORD).findall(text)
                 if wanted is None or not wanted.isdisjoint(found):
@@ -599,6 +669,50 @@ def _uses(words, lexicon, pairs, key: str, evidence: float):
     return run
 
 
+def judged_threes(threes: DataFrame, pairs: DataFrame, evidence: float = CHAR_EVIDENCE) -> DataFrame:
+    """(before, word, behind, meant): _Neighbours.meant by joins, for pairs that are too many for one worker. ``threes``:
+    before, word, behind, each once; ``pairs``: a, b, n.
+
+    The key of the index is what is left of three characters without the middle one; characters between the same two
+    are its candidates. Before they are joined, places at which not even the best candidate could do are left out.
+    """
+    listed = threes.sparkSession.createDataFrame([(x, y) for x, ys in _listed().items() for y in ys], "word string, y string")
+    keys = ["before", "word", "behind"]
+
+    def n_of(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+        return df.join(pairs.select(F.col("a").alias(a), F.col("b").alias(b), F.col("n").alias(name)), [a, b], "left").fillna(0, [name])
+
+    def log_of(c: str) -> Column:
+        return F.log(F.col(c) + 0.5)
+
+    totals = checkpoint(pairs.groupBy("a").agg(F.sum("n").alias("total"), F.max("n").alias("most")))
+    base = n_of(n_of(threes, "before", "word", "n1"), "word", "behind", "n2")
+    had = F.log(F.greatest(F.col("n1") - 1, F.lit(0)) + 0.5) + F.log(F.greatest(F.col("n2") - 1, F.lit(0)) + 0.5)
+    base = checkpoint(base.select(*keys, had.alias("had")))
+    own = n_of(n_of(base.join(F.broadcast(listed), "word"), "before", "y", "m1"), "y", "behind", "m2")
+    by_table = checkpoint(own.where(log_of("m1") + log_of("m2") - F.col("had") >= evidence).select(*keys, F.col("y").alias("meant")))
+    # n(y, behind) is at most what y has in all, so that a candidate's score is at most that of its pair before, and log 1.25.
+    few = 2 * (OTHER - PAIR)
+    rest = (
+        base.join(by_table.select(*keys).distinct(), keys, "left_anti")
+        .join(totals.select(F.col("a").alias("word"), F.col("total").alias("own_total")), "word", "left")
+        .join(totals.select(F.col("a").alias("before"), F.col("most").alias("best_before")), "before")
+        .withColumn("own_total", F.greatest(F.coalesce("own_total", F.lit(0)), F.lit(1)))
+        .where(log_of("best_before") + F.log(F.lit(1.25)) + F.log("own_total") - F.col("had") - few >= evidence - 1e-9)
+    )
+    candidates = (
+        rest.join(pairs.select(F.col("a").alias("before"), F.col("b").alias("y"), F.col("n").alias("m1")).where(F.col("y").rlike(r"^[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}ー]")), "before")
+        .join(pairs.select(F.col("a").alias("y"), F.col("b").alias("behind"), F.col("n").alias("m2")), ["y", "behind"])
+        .join(totals.select(F.col("a").alias("y"), "total"), "y")
+        .join(F.broadcast(listed.groupBy("word").agg(F.collect_list("y").alias("own"))), "word", "left")
+        .withColumn("score", log_of("m1") + log_of("m2") - F.log("total"))
+    )
+    fits = (F.col("y") != F.col("word")) & ~F.coalesce(F.array_contains("own", F.col("y")), F.lit(False))
+    best = candidates.groupBy(*keys, "had", "own_total").agg(F.count("*").alias("n"), F.min(F.when(fits, F.struct((-F.col("score")).alias("minus"), "y"))).alias("b"))
+    enough = -F.col("b.minus") + F.log("own_total") - F.col("had") - few - F.log("n") >= evidence
+    return by_table.unionByName(best.where(enough).select(*keys, F.col("b.y").alias("meant")))
+
+
 def may_go_on(read: str, a: str) -> bool:
     """Whether a line ends with its last word, a (case folded), and that has no digits."""
     return not _DIGIT.search(a) and read.casefold().endswith(a)
@@ -648,10 +762,18 @@ def suspects(body: DataFrame, counts: DataFrame, words: DataFrame, evidence: flo
     inside = words.where("inside > 0").select("word", "inside")
     small = inside.limit(SENT_WORDS + 1).count() <= SENT_WORDS
     lexicon = context.broadcast({r["word"]: r["inside"] for r in inside.toLocalIterator()}) if small else None
-    top = counts.where("what = 'c' and n >= 2").orderBy(F.desc("n"), "key").limit(CHAR_PAIRS).select("key", "n")
-    pairs = context.broadcast({r["key"]: r["n"] for r in top.toLocalIterator()})
+    pairs = counts.where("what = 'c' and n >= 2").select("key", "n")
+    sent = context.broadcast({r["key"]: r["n"] for r in pairs.toLocalIterator()}) if pairs.limit(CHAR_PAIRS + 1).count() <= CHAR_PAIRS else None
     rows = body.where("kind <> 'none'").select("line_id", "next_id", "read", "marked", "kind", "final", "next_first", "was_marked", "last_char")
-    return written(rows.mapInArrow(_uses(shared, lexicon, pairs, uuid.uuid4().hex, evidence), _USE)), found, small
+    seen = written(rows.mapInArrow(_uses(shared, lexicon, sent, uuid.uuid4().hex, evidence), _USE))
+    if sent is None:
+        # Every dense character is here, meant being empty: those that the joins find stay.
+        places = seen.where("meant = ''").drop("meant")
+        two = pairs.select(F.substring("key", 1, 1).alias("a"), F.substring("key", 2, 1).alias("b"), "n")
+        judged = judged_threes(places.select("before", "word", "behind").distinct(), checkpoint(two), evidence)
+        found_there = places.join(bounded_broadcast(checkpoint(judged)), ["before", "word", "behind"])
+        seen = checkpoint(seen.where("meant is null").unionByName(found_there.select(*seen.columns)))
+    return seen, found, small
 
 
 def misread_characters(seen: DataFrame) -> DataFrame:
@@ -735,7 +857,8 @@ def page_noise(lines: DataFrame) -> DataFrame:
     """(line_id, noise): head, number, break and misread, one row per line and kind.
 
     A line sent twice counts once. Null, empty and invisible texts have no noise. Deleted lines are judged like others.
-    A page's body is its result's lines in reading order, ties by line_id; lines without a result are one page.
+    A page's body is its result's lines in reading order, ties by line_id; lines without a result are one run of their
+    page, and without a page each stands alone.
     """
     rows, counts = read_pages(lines)
     body = rows.where("not head and not number")

@@ -275,6 +275,69 @@ def test_a_lexicon_that_is_not_sent_changes_nothing(spark, monkeypatch):
     assert any("Kelgasted" in x for x in sent[1]) and any("well-known" in x for x in sent[1]) and any("mill-wheel-hammer" in x for x in sent[1])
 
 
+def dense_pages():
+    rng = random.Random(5)
+    words = ["此水車轉而上", "其輪甚大可以引水", "鐵軸入於石臼", "人以足踏之則行", "磨上之石重百斤"]
+    rows, n = [], 0
+    for page in range(60):
+        for k in range(4):
+            n += 1
+            text = "".join(rng.choice(words) for _ in range(3))
+            if n % 11 == 0:
+                at = rng.randrange(len(text))
+                text = text[:at] + rng.choice("木本入人末未鬼") + text[at + 1 :]
+            rows.append((n, page, f"s{page}", f"p{page}", f"b{n}", k, text))
+    return rows
+
+
+def test_characters_are_judged_alike_by_tables_and_by_joins(spark, monkeypatch):
+    lines = spark.createDataFrame(dense_pages(), LINES)
+
+    def both():
+        return [sorted(map(str, f(lines).collect())) for f in (scans.page_noise, scans.repaired_pages)]
+
+    sent = both()
+    monkeypatch.setattr(scans, "CHAR_PAIRS", 5)
+    assert both() == sent and sum("misread" in x for x in sent[0]) >= 10
+
+
+def test_limits_change_no_row(spark, monkeypatch):
+    rows = noisy_pages() + [(10_000 + n, 1000 + page, f"s{page}", p, b, k, t) for n, page, _, p, b, k, t in dense_pages()]
+    lines = spark.createDataFrame(rows, LINES)
+    want = sorted(map(str, scans.page_noise(lines).collect()))
+    for name in ("SENT_SOURCES", "SENT_WORDS", "CHAR_PAIRS", "ROUGH_KEYS"):
+        monkeypatch.setattr(scans, name, 5)
+    assert sorted(map(str, scans.page_noise(lines).collect())) == want
+
+
+def test_long_titles_and_numbers_between_long_rules(spark):
+    title = "A VERY FULL ACCOUNT OF ALL THE MILLS AND ENGINES OF THE VILLAGES UPON THE RIVER ABOVE THE GREAT WEIR"
+    rows = []
+    for page in range(6):
+        body = " ".join(f"{'abcdefgh'[(page * 7 + k) % 8] * 3} wheel" for k in range(6))
+        for k, t in enumerate([title + "\u200b" * 80, body + " turns", f"{'—' * 40} {page + 3} {'—' * 40}"]):
+            rows.append((3 * page + k, page, "book", f"p{page}", f"b{page}{k}", k, t))
+    got = {tuple(r) for r in scans.page_noise(spark.createDataFrame(rows, LINES)).collect()}
+    assert got == {(3 * p, "head") for p in range(6)} | {(3 * p + 2, "number") for p in range(6)}
+
+
+def test_lines_without_a_result_are_read_by_page(spark):
+    rows = [(k, None, f"s{k // 2}", f"p{k // 2}", "b", k % 2, t) for k, t in enumerate(["it turns the ham-", "mer of the mill"] * 3)]
+    rows += [(90, None, "s", None, "b", 0, "the wea-"), (91, None, "s", None, "b", 1, "ver turns")]
+    assert {tuple(r) for r in scans.page_noise(spark.createDataFrame(rows, LINES)).collect()} == {(0, "break"), (2, "break"), (4, "break")}
+
+
+def test_what_reads_as_it_is():
+    rng = random.Random(1)
+    some = "aé水車ไเแ่ํक़क़ ﾋﾟｗ\u3099かが\u200b²ａЫßö\u0308a\u0301가\u1100\u1161゙①ﬁ〇 ⼯"
+    for _ in range(3000):
+        t = "".join(rng.choice(some) for _ in range(rng.randint(0, 6)))
+        out = __import__("unicodedata").normalize("NFD", t).translate(reading.table())
+        for a, b in reading._THAI:
+            out = out.replace(a, b)
+        assert reading.reading(t) == " ".join(__import__("unicodedata").normalize("NFC", out).split()), ascii(t)
+
+
 def test_a_line_with_two_misread_words_is_repaired(spark):
     good = "the weaver turns the hammer and the wheel of the mill"
     texts = [good] * 40 + ["the weaver turns the harnmer and the vvheel of the mill"]
