@@ -74,6 +74,9 @@ _FINAL = frozenset(".!?…。,;:、”»」“)।॥○")
 # A number without the signs around it has 22 characters at most (mmmm dccccc lxxxxx viiiii); longer ones are none.
 _NUMBER_CHARS = 22
 _AROUND_SIGNS = " |·•*~=_.。[]〔〕()（）［］【】" + "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) == "Pd")
+#: What words may hold that is_number takes for numbers: what is left of a title without them stays in its key.
+_NUMERALS = frozenset("0123456789lioszbgqtvxcdmfolrya" + _CJK_DIGITS + "人入土士于第弟丁葉頁页")
+_NUMBER_ENDS = "".join(_NUMERALS | set("LIOSBZGQTVXCDMFRYA")) + _AROUND_SIGNS + ",;:!?'\"’‘"
 _NUMBER_WORD = re.compile(rf"[\dlIiOoSsBbZzGgqTtvxcdm|{_CJK_DIGITS}人入土士于第弟丁葉頁页]+$")
 #: Signs that part the words of a title.
 _SIGNS = {ord(c): " " for c in map(chr, range(0x10000)) if c == "|" or unicodedata.category(c).startswith("P")}
@@ -115,10 +118,11 @@ def _kind(read: str) -> str:
     """Whether most letters are of scripts with spaces between words, or of dense ones."""
     if read.isascii():
         return "spaced" if _LETTER.search(read) else "none"
-    dense = len(_DENSE_CHAR.findall(read))
-    if not dense:
+    if not _DENSE_CHAR.search(read):
         return "spaced" if _IS_SPACED.search(read) else "none"
-    return "spaced" if len(_IS_SPACED.findall(read)) >= dense else "dense"
+    if not _IS_SPACED.search(read):
+        return "dense"
+    return "spaced" if len(_IS_SPACED.findall(read)) >= len(_DENSE_CHAR.findall(read)) else "dense"
 
 
 def running_titles(rows: DataFrame, all_pages: DataFrame, share: float = TITLE_SHARE, pages: int = TITLE_PAGES) -> DataFrame:
@@ -309,11 +313,13 @@ class _Pages:
         self.counts = _Counts()
         self.plain, self.other, self.dense = ([], []), ([], []), []  # texts to be counted, and whether they are marked
 
-    def of(self, source) -> tuple[list[str], int]:
-        """A source's titles, and how long the key of a line can be that is one of them."""
+    def of(self, source) -> tuple[list[str], int, frozenset[str], int]:
+        """A source's titles; how long the key of a line can be that is one of them; the letters that such a line may have,
+        with those of numbers and signs; and how many others, misread ones."""
         if source not in self.known:
             titles = self.titles.get(source) or []
-            self.known[source] = (titles, max((len(t) + max(1, len(t) // 5) for t in titles), default=0))
+            edits = max((max(1, len(t) // 5) for t in titles), default=0)
+            self.known[source] = (titles, max((len(t) for t in titles), default=0) + edits, _NUMERALS.union(*titles), edits)
         return self.known[source]
 
     def add(self, page, line_id, source, text) -> None:
@@ -349,8 +355,8 @@ class _Pages:
             self.first = True
             return
         edge, self.first = self.first or is_last, False
-        titles, longest = self.of(source)
-        if titles and not marked and not final and self.is_head(read, titles, longest, edge, behind):
+        titles, longest, letters, edits = self.of(source)
+        if titles and not marked and not final and self.is_head(read, titles, longest, letters, edits, edge, behind):
             self.out.append([line_id, True, False, "none", read, marked, final, None, None, False, None])
             return
         kind = _kind(read)
@@ -365,9 +371,11 @@ class _Pages:
         last_char = before[4][-1:] if before is not None and kind == "dense" else None
         self.body = [line_id, False, False, kind, read, marked, final, None, None, before is not None and before[5], last_char]
 
-    def is_head(self, read: str, titles: list[str], longest: int, edge: bool, behind: str) -> bool:
-        # Most body lines are much longer than a title with a number: letters alone tell.
-        if len(read) > longest + _NUMBER_CHARS and sum(map(str.isalpha, read)) > longest + _NUMBER_CHARS:
+    def is_head(self, read: str, titles: list[str], longest: int, letters: frozenset[str], edits: int, edge: bool, behind: str) -> bool:
+        # Most body lines have too many letters for a title with a number, or letters that no title has.
+        if len(read) > longest and sum(map(str.isalnum, read.strip(_NUMBER_ENDS))) > longest:
+            return False
+        if not read.isascii() and len({c for c in set(read.casefold()) - letters if c.isalpha()}) > edits:
             return False
         key = title_key(read)
         if len(key) > longest or not is_title(key, titles, True, False):
