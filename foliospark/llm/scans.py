@@ -190,6 +190,11 @@ def is_title(key: str, titles: list[str], edge: bool, final: bool) -> bool:
 _NOT_ROUGH = r"[[^\p{L}]ivxlcdm" + _CJK_DIGITS + "]+"
 
 
+def may_be_title(read: str, longest: int) -> bool:
+    """Whether a line's key may have so few characters: what is no number or sign at its ends stays in it."""
+    return len(read) <= longest or sum(map(str.isalnum, read.strip(_NUMBER_ENDS))) <= longest
+
+
 def _rough_key(text: Column) -> Column:
     """What a title's clean spellings have in common, by built-in functions alone: letters, without those of numerals.
     Other lines may share it."""
@@ -373,7 +378,7 @@ class _Pages:
 
     def is_head(self, read: str, titles: list[str], longest: int, letters: frozenset[str], edits: int, edge: bool, behind: str) -> bool:
         # Most body lines have too many letters for a title with a number, or letters that no title has.
-        if len(read) > longest and sum(map(str.isalnum, read.strip(_NUMBER_ENDS))) > longest:
+        if not may_be_title(read, longest):
             return False
         if not read.isascii() and len({c for c in set(read.casefold()) - letters if c.isalpha()}) > edits:
             return False

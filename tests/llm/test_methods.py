@@ -360,6 +360,14 @@ def test_a_line_with_two_misread_words_is_repaired(spark):
         ("職人は「縄を引く。放す。」と記した。「回すな！」と言う。", ["職人は「縄を引く。放す。」と記した。", "「回すな！」と言う。"]),
         ("चित्र 6 में दंड है। क्या है?", ["चित्र 6 में दंड है।", "क्या है?"]),
         ("Названы рама и т. д. Здесь ось, т. е. втулка (см. с. 6), стоит.", ["Названы рама и т. д.", "Здесь ось, т. е. втулка (см. с. 6), стоит."]),
+        ("Sgt. Hale and Lt. Moss left. They came.", ["Sgt. Hale and Lt. Moss left.", "They came."]),
+        ("To do:\n1. First item\n2. Second item\nwith more\n(a) inner one\n(b) inner two\n3. Third. It ends.", ["To do:", "1. First item", "2. Second item\nwith more", "(a) inner one", "(b) inner two", "3. Third.", "It ends."]),
+        ("• oil the hub\n• grease the reed. Wait.\nAnd rest", ["• oil the hub", "• grease the reed.", "Wait.", "And rest"]),
+        ("It was built in\n1. May and\nlasted. Then", ["It was built in\n1. May and\nlasted.", "Then"]),
+        ("He said (this is it. Then he left. Next day came. All went home.", ["He said (this is it.", "Then he left.", "Next day came.", "All went home."]),
+        ("He said “look (at it. Now go.” They went. “Come, he said.", ["He said “look (at it. Now go.”", "They went.", "“Come, he said."]),
+        ("She left. “Come here. And the", ["She left.", "“Come here. And the"]),
+        ("ชาวนาใช้เฟือง เมื่อช่างทอปล่อย\nกระสวย 12 ครั้ง", ["ชาวนาใช้เฟือง", "เมื่อช่างทอปล่อย\nกระสวย 12 ครั้ง"]),
         ("", []),
         (" \n ", []),
     ],
