@@ -62,25 +62,55 @@ def brute_spans(texts: dict[int, str], span: int):
     return out
 
 
-def test_spans_are_those_of_brute_force(spark):
-    rng = random.Random(3)
-    letters = "abcdefgh 水車ไ"
-    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
-    passages = [word(n) for n in (149, 150, 151, 200, 400)]
+def shared_texts(seed: int, n: int = 60, alphabet: str = "abcdefgh 水車ไ", newlines: float = 0.5) -> dict[int, str]:
+    """Texts that share passages, lines, paragraphs and whole texts, at odd places and next to one another."""
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    passages = [word(n) for n in (149, 150, 151, 165, 200, 400)]
+    passages += [passages[4][:170] + word(60), "\n".join([passages[3], word(40), passages[5]])]
     texts = {}
-    for k in range(60):
+    for k in range(n):
         parts = [word(rng.randint(0, 80))]
-        for _ in range(rng.randint(0, 3)):
+        for _ in range(rng.randint(0, 4)):
             p = rng.choice(passages)
-            parts += [p[rng.randint(0, 30) :] if rng.random() < 0.5 else p, word(rng.randint(0, 60))]
+            gap = rng.choice(["\n", "\n\n", ""]) if rng.random() < newlines else ""
+            parts += [gap + (p[rng.randint(0, 30) :] if rng.random() < 0.4 else p) + gap, word(rng.choice([0, 0, 5, 60]))]
         texts[k] = "".join(parts)
-    texts[60] = texts[3]
-    texts[61] = "ab" * 400
+    texts[n] = texts[3]
+    texts[n + 1] = "ab" * 400
+    return texts
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_spans_are_those_of_brute_force(spark, seed):
+    texts = shared_texts(seed)
     df = spark.createDataFrame([(k, t, "s") for k, t in texts.items()], "doc_id long, text string, source string")
-    got = {tuple(r) for r in spans.shared_spans(df).collect()}
-    assert got == brute_spans(texts, 150)
-    share = {r["doc_id"]: r["shared_chars"] for r in spans.shared_share(df, spans.shared_spans(df)).collect()}
-    assert share[60] == len(texts[60]) and share[61] == 0
+    found = spans.shared_spans(df)
+    want = brute_spans(texts, 150)
+    assert {tuple(r) for r in found.collect()} == want
+    share = {r["doc_id"]: r["shared_chars"] for r in spans.shared_share(df, found).collect()}
+    assert share == {k: sum(b - a for d, a, b in want if d == k) for k in texts}
+
+
+def test_lists_too_long_to_be_sent_change_nothing(spark, monkeypatch):
+    texts = shared_texts(11)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(spans, "LISTED", 3)
+    assert {tuple(r) for r in spans.shared_spans(df).collect()} == brute_spans(texts, 150)
+
+
+def test_equal_units_are_settled_by_their_digests(spark):
+    """Lines and paragraphs: the earliest is kept, the rest removed; what is removed is not looked at again."""
+    rng = random.Random(9)
+    line, other = ("".join(rng.choice("abc 水") for _ in range(300)) for _ in range(2))
+    texts = {1: f"x\n{line}\ny", 2: f"{line}\n{other}", 3: f"zz\n\n{line}\n{other}\n\n{line}", 4: other + "\n" + other}
+    rows = spark.createDataFrame(list(texts.items()), "rep long, text string")
+    got = {tuple(r) for r in spans.equal_units(rows).collect()}
+    assert {(1, 2, 302, True), (2, 0, 300, False), (3, 4, 304, False), (3, 607, 907, False), (2, 301, 601, True), (4, 0, 300, False)} <= got
+    assert all(texts[r][a:b] in (line, other, line + "\n" + other) for r, a, b, _ in got)
+    settled = [{"start": 0, "end": 300, "kept": False}]
+    units = lambda s: next(spans._units(150, 50)(iter([spans.pa.RecordBatch.from_pydict({"rep": [2], "text": [texts[2]], "settled": [s]})]))).to_pydict()["pos"]
+    assert 0 < len([x for x in units(settled) if x < 300]) < len([x for x in units([]) if x < 300])
 
 
 # -- vectors
