@@ -75,11 +75,19 @@ def window_hashes(prefix: np.ndarray, width: int | np.ndarray, starts: np.ndarra
 
 
 def anchors(hashes: np.ndarray, among: int) -> np.ndarray:
-    """Of every ``among`` neighbouring windows the first of the least hash: the unit of the passage that they make up."""
+    """Of every ``among`` neighbouring windows the first of the least hash: the unit of the passage that they make up.
+
+    Least ones of 1, 2, 4, … neighbours come from those of half as many, the last step from two that overlap."""
     if len(hashes) < among:
         return np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(hashes, among).argmin(axis=1)
-    return least + np.arange(len(least))
+    value, at, size = hashes, np.arange(len(hashes)), 1
+    while size < among:
+        step = min(size, among - size)
+        left, right = value[: len(value) - step], value[step:]
+        later = right < left
+        value, at = np.where(later, right, left), np.where(later, at[step:], at[: len(at) - step])
+        size += step
+    return at
 
 
 def unit_starts(hashes: np.ndarray, among: int) -> np.ndarray:
@@ -147,13 +155,19 @@ def cells_of(prefix: np.ndarray, removed: list[tuple[int, int]], units: list[int
     equal cells of any text: a window's unit depends on the window alone."""
     all_, reach = window_hashes(prefix, unit), span - unit
     starts, own = [], []
-    for a, end in _runs(open_starts(len(prefix) - 1, span, removed)):
+    # Only what begins up to ``reach`` before a common unit can have it as its own.
+    asks = open_starts(len(prefix) - 1, span, removed)
+    near = np.zeros(len(asks) + 1, np.int32)
+    at = np.array(units, np.int64)
+    np.add.at(near, np.minimum(np.maximum(at - reach, 0), len(asks)), 1)
+    np.add.at(near, np.minimum(at + 1, len(asks)), -1)
+    for a, end in _runs(asks & (np.cumsum(near)[:-1] > 0)):
         starts.append(np.arange(a, end)), own.append(anchors(all_[a : end + reach], reach + 1) + a)
     if not starts:
         none = np.zeros(0, np.int64)
         return none, none, none, none, none
     start, u = np.concatenate(starts), np.concatenate(own)
-    some = np.isin(u, np.array(units, np.int64))
+    some = np.isin(u, at)
     start, u = start[some], u[some]
     many = reach // size + 1
     id_, cell = np.unique(u * many + (u - start) // size, return_inverse=True)
