@@ -1,9 +1,11 @@
 """One form for texts that look the same and differ in their characters.
 
-Method: words of the corpus go into a trie by their spelling. A token is walked through it by a weighted edit automaton in
-which look-alikes, width, composition and ignorable characters cost nothing and everything else costs one; with a
-budget of nothing, what it reaches are the spellings that read the same, and the most frequent one is the canonical
-spelling. Tokens that reach none are brought to one form by table.
+Method: words of the corpus go into a trie by their spelling. A token is walked through it by a weighted edit automaton:
+look-alikes, width, composition and ignorable characters cost nothing; a letter of another alphabet that no table lists,
+within a word, costs FOREIGN whatever it stands for; anything else costs one. Within the budget, what costs least is
+reached, and of that the most frequent spelling is the canonical one, so that a look-alike that nobody has listed is
+brought to the word that it disguises. Tokens that reach no spelling are brought to one form by table. Texts are
+compared by what their canonical forms read as.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.session import checkpoint
+from foliospark.operators.skew import HOT_ROWS, PARTS
+from foliospark.session import bounded_broadcast, checkpoint, spread
 
 # Letters of other alphabets and the Latin letters that they look like.
 LOOK_ALIKES = {
@@ -59,6 +62,11 @@ INVISIBLE = {*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0), 0x034F, 0x115F, 0
 #: Words whose spellings go to all workers; those beyond get their canonical spelling by a join on their reading.
 VOCABULARY_WORDS = 50_000
 
+#: What an unlisted letter of another alphabet costs, and what a token may cost: one such letter, no other edit.
+FOREIGN, BUDGET = 0.4, 0.5
+#: Stands for such a letter in the patterns that words beyond the vocabulary are sought by.
+WILD = "\x01"
+
 
 @lru_cache(maxsize=1)
 def table() -> dict[int, str | None]:
@@ -152,32 +160,76 @@ class Trie:
             if weight > node[3]:
                 node[2:] = [word, weight]
 
-    def canonical(self, read: str) -> str | None:
-        """The heaviest spelling that the zero-cost automaton reaches for a token that reads so; ties: the least one.
+    def canonical(self, read: str, foreign: frozenset[int] = frozenset()) -> str | None:
+        """The heaviest of the cheapest spellings that the automaton reaches for a token that reads so; ties: the least one.
+        ``foreign``: the places of unlisted letters of other alphabets in it.
 
-        A state is a node and the place in the reading. The automaton follows edges that read as what comes next, and
-        passes those that can't be seen. What costs (any other letter) is never followed, the budget being zero.
+        A state is a node, the place in the reading and what it has cost. The automaton follows edges that read as what
+        comes next, passes those that can't be seen, and at a foreign letter follows every edge of one letter, its own too,
+        at FOREIGN's cost. Any other edit would cost one, which the budget does not have.
         """
-        read = unicodedata.normalize("NFD", read)
-        states, best = [(self.root, 0)], None
+        states, best = [(self.root, 0, 0.0)], None
         while states:
-            node, at = states.pop()
+            node, at, cost = states.pop()
             if at == len(read):
-                if node[2] is not None and (best is None or (node[3], best[1]) > (best[0], node[2])):
-                    best = (node[3], node[2])
+                if node[2] is not None and (best is None or (cost, -node[3], node[2]) < best):
+                    best = (cost, -node[3], node[2])
+            elif at in foreign:
+                if cost + FOREIGN <= BUDGET:
+                    states += [(child, at + 1, cost + FOREIGN) for edges in node[0].values() for as_read, child in edges if len(as_read) == 1]
             else:
-                states += [(child, at + len(as_read)) for as_read, child in node[0].get(read[at], ()) if read.startswith(as_read, at)]
-            states += [(child, at) for child in node[1]]
-        return best[1] if best else None
+                states += [(child, at + len(as_read), cost) for as_read, child in node[0].get(read[at], ()) if read.startswith(as_read, at)]
+            states += [(child, at, cost) for child in node[1]]
+        return best[2] if best else None
+
+
+#: Letters that look-alikes are known for.
+_LISTED = frozenset(LOOK_ALIKES) | frozenset(LOOK_ALIKES.values())
+
+
+@lru_cache(maxsize=10_000)
+def _alphabet(c: str) -> str:
+    """The alphabet of a letter by its name; empty for what is none."""
+    return unicodedata.name(c, "").split(" ")[0] if unicodedata.category(c).startswith("L") else ""
+
+
+@lru_cache(maxsize=10_000)
+def _alphabets(c: str) -> frozenset[str]:
+    """The alphabets in which a letter may stand: its own, and those of its known look-alikes."""
+    if not (own := _alphabet(c)):
+        return frozenset()
+    same = {x for a, b in LOOK_ALIKES.items() if c in (a, b) for x in (a, b)}
+    return frozenset({own} | {_alphabet(x) for x in same})
+
+
+def foreign_letters(token: str) -> frozenset[int]:
+    """The place, in what a token reads as, of its one letter that no table lists and that is of another alphabet than the
+    rest, which has two letters or more of a common alphabet; empty for any other token."""
+    apart = unicodedata.normalize("NFD", token)
+    of = [x for c in apart if (x := _alphabets(c))]
+    if len(of) < 3 or frozenset.intersection(*of):
+        return frozenset()
+    map_, at, out = table(), 0, []
+    for c in apart:
+        to = map_.get(ord(c), c)
+        if to == c and c not in _LISTED and (own := _alphabets(c)):
+            rest = list(of)
+            rest.remove(own)
+            if (common := frozenset.intersection(*rest)) and not common & own:
+                out.append(at)
+        at += len(to or "")
+    return frozenset(out) if len(out) == 1 else frozenset()
 
 
 #: Words of scripts that look like one another, with the marks and invisible characters in them, and all that is between.
-_TOKEN = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{Devanagari}\p{M}\p{Cf}]+|[^\p{Latin}\p{Cyrillic}\p{Greek}\p{Devanagari}\p{M}\p{Cf}]+")
+_SCRIPTS = ("Latin", "Cyrillic", "Greek", "Devanagari", "Armenian", "Cherokee", "Coptic", "Lisu", "Georgian")
+_IN = "".join(rf"\p{{{x}}}" for x in (*_SCRIPTS, "M", "Cf"))
+_TOKEN = regex.compile(rf"[{_IN}]+|[^{_IN}]+")
 
 
 def _words_of(text: str) -> Column:
     """The words of a column, as _TOKEN finds them."""
-    return F.regexp_extract_all(text, F.lit(r"([\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{IsDevanagari}\p{M}\p{Cf}]+)"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit("([" + "".join(rf"\p{{Is{x}}}" for x in _SCRIPTS) + r"\p{M}\p{Cf}]+)"), F.lit(1))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -205,9 +257,10 @@ class Canonical:
             if len(self.known) >= 100_000:
                 self.known.clear()
             whole = _as_read(t)
-            to = self.trie.canonical(whole) if whole[:1].isalpha() else None
-            if to is None:
-                to = rest.get(t)
+            foreign = frozenset() if t.isascii() else foreign_letters(t)
+            to = self.trie.canonical(whole, foreign) if whole[:1].isalpha() else None
+            if to is None or (foreign and to == t):
+                to = rest.get(t, to)
             self.known[t] = to = unicodedata.normalize("NFC", whole) if to is None else to
         return to
 
@@ -225,20 +278,52 @@ _made: dict[str, Canonical] = {}
 
 def canonical_vocabulary(texts: DataFrame, words: int = VOCABULARY_WORDS, whole: bool = True) -> tuple[list[tuple[str, int]], DataFrame | None]:
     """The most frequent spellings of the column ``text``, at most ``words``, a bounded list for the driver; and for the
-    words beyond, (word, as_read, spelling) where the most frequent spelling that reads so differs from the table's form
-    (None if no words are beyond, or not ``whole``)."""
-    counts = word_counts(texts)
+    words beyond, (word, as_read, spelling) where the most frequent spelling that reads so differs from the table's form,
+    or, for a word with a foreign letter, of the words beyond that it may stand for (None if there are none). Not
+    ``whole``: those with a foreign letter alone, for callers that use only the reading, which other spellings don't
+    change."""
+    counts = checkpoint(word_counts(texts))
     top = counts.orderBy(F.desc("n"), "word").limit(words + 1).collect()
     vocabulary = [(r["word"], r["n"]) for r in top[:words]]
-    if len(top) <= words or not whole:
+    if len(top) <= words:
         return vocabulary, None
-    read = checkpoint(counts.withColumn("as_read", _read_udf("word")).where("as_read is not null"))
-    best = read.groupBy("as_read").agg(F.min(F.struct((-F.col("n")).alias("minus"), F.col("word").alias("spelling"))).alias("b"))
-    # A reading is beyond if even its most frequent spelling is: the list holds the spellings in this very order.
+    # The list holds the spellings in this very order: whatever comes behind its last one is beyond.
     word, n = vocabulary[-1] if vocabulary else ("", 1 << 62)
-    beyond = (-F.col("b.minus") < n) | ((-F.col("b.minus") == n) & (F.col("b.spelling") > word))
-    best = best.where(beyond & (F.col("b.spelling") != F.col("as_read"))).select("as_read", "b.spelling")
-    return vocabulary, checkpoint(read.select("word", "as_read").join(best, "as_read").select("word", "as_read", "spelling"))
+
+    def beyond(count: str, name: str) -> Column:
+        return (F.col(count) < n) | ((F.col(count) == n) & (F.col(name) > word))
+
+    read = counts.withColumns({"as_read": _read_udf("word"), "pattern": _pattern_udf("word")}).where("as_read is not null")
+    read = checkpoint(read if whole else read.where(F.col("pattern").isNotNull() | beyond("n", "word")))
+    # Words with a foreign letter go by the words beyond that differ from them in that letter alone.
+    odd = checkpoint(read.where("pattern is not null").select("word", "as_read", "pattern"))
+    rest = None
+    if not odd.isEmpty():
+        size = F.length("as_read")
+        patterns = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substring("as_read", F.lit(1), i - 1), F.lit(WILD), F.substring("as_read", i + 1, size)))
+        spelled = read.where(beyond("n", "word") & F.col("pattern").isNull()).select("word", "n", F.explode(patterns).alias("pattern"))
+        wanted = bounded_broadcast(odd.select("pattern").distinct())
+        best = spelled.join(wanted, "pattern", "left_semi").groupBy("pattern").agg(F.min(F.struct((-F.col("n")).alias("minus"), F.col("word").alias("spelling"))).alias("b"))
+        rest = odd.join(best, "pattern").select("word", "as_read", "b.spelling")
+    if whole:
+        best = read.groupBy("as_read").agg(F.min(F.struct((-F.col("n")).alias("minus"), F.col("word").alias("spelling"))).alias("b"))
+        # A reading is beyond if even its most frequent spelling is.
+        best = best.select("as_read", (-F.col("b.minus")).alias("n"), "b.spelling").where(beyond("n", "spelling") & (F.col("spelling") != F.col("as_read")))
+        plain = read.select("word", "as_read") if rest is None else read.select("word", "as_read").join(rest.select("word"), "word", "left_anti")
+        plain = plain.join(best.select("as_read", "spelling"), "as_read").select("word", "as_read", "spelling")
+        rest = plain if rest is None else rest.unionByName(plain)
+    return vocabulary, None if rest is None else checkpoint(rest)
+
+
+@F.pandas_udf(T.StringType())
+def _pattern_udf(words: pd.Series) -> pd.Series:
+    """What words read as with WILD for their one foreign letter, composed as _read_udf's; null for words without one."""
+    out = []
+    for w in words:
+        places = foreign_letters(w)
+        read = _as_read(w) if places else ""
+        out.append("".join(WILD if k in places else c for k, c in enumerate(read)) or None)
+    return pd.Series([None if x is None else unicodedata.normalize("NFC", x) for x in out], dtype=object)
 
 
 @F.pandas_udf(T.StringType())
@@ -263,8 +348,8 @@ def canonical_forms(df: DataFrame, vocabulary: list[tuple[str, int]], rest: Data
     """``df`` with form, its column ``text`` in canonical spellings, and reading, the key by which forms are compared
     and searched. Each row passes through Python once. Both arguments are those of canonical_vocabulary.
 
-    The key is the same for texts that read the same, whatever the vocabulary. Null stays null, an empty or invisible
-    text gives empty ones.
+    The key is what the form reads as: the same for texts that read the same, whatever the vocabulary's size. Null stays
+    null, an empty or invisible text gives empty ones.
     """
     shared, key = df.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
     fields = T.StructType([*df.schema.fields, T.StructField("form", T.StringType()), T.StructField("reading", T.StringType())])
@@ -277,7 +362,7 @@ def canonical_forms(df: DataFrame, vocabulary: list[tuple[str, int]], rest: Data
         for b in batches:
             more = b["rest"] if rest_given else [None] * len(b)
             forms = [form(x, r) for x, r in zip(b["text"], more, strict=True)]
-            b = b.assign(form=forms, reading=[reading(x) for x in b["text"]])
+            b = b.assign(form=forms, reading=[reading(x) for x in forms])
             yield b.drop(columns="rest") if rest_given else b
 
     rest_given = rest is not None
@@ -286,12 +371,13 @@ def canonical_forms(df: DataFrame, vocabulary: list[tuple[str, int]], rest: Data
 
 def quotes(functions: DataFrame, links: DataFrame) -> DataFrame:
     """(place, text_id, box_id, text) of each quote with the box that it cites; a row sent twice counts once."""
+    # Arrays are exploded one by one: flattened, a null one would take all of its row with it.
     of_functions = (
-        functions.select(F.explode(F.flatten("functions.supports")).alias("s"))
+        functions.select(F.explode("functions.supports").alias("x")).select(F.explode("x").alias("s"))
         .where("s.kind = 'raw_ocr'")
         .select(F.lit("function").alias("place"), F.col("s.support_id").alias("text_id"), F.col("s.reference_id").alias("box_id"), F.col("s.quote").alias("text"))
-    )
-    of_drafts = links.select(F.explode(F.flatten("functional_drafts.supports")).alias("s")).select(
+    )
+    of_drafts = links.select(F.explode("functional_drafts.supports").alias("x")).select(F.explode("x").alias("s")).select(
         F.lit("draft").alias("place"), F.col("s.support_id").alias("text_id"), F.col("s.item_id").alias("box_id"), F.col("s.quote").alias("text")
     )
     return of_functions.unionByName(of_drafts).where("text_id is not null and box_id <> '' and text <> ''").distinct()
@@ -305,8 +391,7 @@ def lines_and_quotes(lines: DataFrame, functions: DataFrame, links: DataFrame) -
 
 def _formed(lines: DataFrame, *parts: DataFrame, whole: bool = False) -> tuple[DataFrame, ...]:
     """``parts`` with the canonical form of their text; the vocabulary is that of all lines and of the last part. Words
-    beyond it cost a join; they are left out unless ``whole``, for callers that use only the
-    reading, which does not depend on them."""
+    beyond it cost a join; those that do not change the reading are left out unless ``whole``."""
     vocabulary, rest = canonical_vocabulary(lines.select("text").unionByName(parts[-1].select("text")), VOCABULARY_WORDS, whole)
     return tuple(canonical_forms(df, vocabulary, rest) for df in parts)
 
@@ -328,15 +413,20 @@ def same_reading(lines: DataFrame, functions: DataFrame, links: DataFrame) -> Da
         rows.select(box, F.xxhash64("text").alias("t")).groupBy("box").agg(F.min("t").alias("x"), F.max("t").alias("y")).where("x <> y").select("box")
     )
     asked = checkpoint(several.unionByName(cited.select(box)).distinct())
-    rows, cited = _formed(lines, rows.withColumn("box", box).join(asked, "box", "left_semi").drop("box"), cited)
+    rows, cited = _formed(lines, rows.withColumn("box", box).join(asked, "box", "left_semi").drop("box"), spread(cited))
     rows = checkpoint(rows.where("reading <> ''").drop("form"))
+    quoted = cited.where("reading <> ''").select("place", "text_id", "box_id", F.col("text").alias("quote"), F.col("reading").alias("part"))
+    # A box may have a third of all lines, or of all quotes: lines of such a box are parted, its quotes go to each part.
+    lines_of = rows.groupBy("box_id").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS).select("box_id")
+    hot = bounded_broadcast(checkpoint(lines_of.withColumn("hot", F.lit(True))))
+    part_of = F.when(F.col("hot"), F.pmod(F.xxhash64("line_id", "text"), F.lit(PARTS))).otherwise(0).cast("int")
+    parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
     in_line = (
-        cited.where("reading <> ''")
-        .select("place", "text_id", "box_id", F.col("text").alias("quote"), F.col("reading").alias("part"))
-        .join(rows, "box_id")
+        quoted.join(hot, "box_id", "left").withColumn("salt", F.explode(parts)).drop("hot")
+        .join(rows.join(hot, "box_id", "left").withColumn("salt", part_of).drop("hot"), ["box_id", "salt"])
         .where(F.contains("reading", "part") & ~F.contains("text", "quote"))
         .select("place", "text_id", "line_id")
-    )
+    )
     # Lines of a box meet by what they read: a box of many lines is no hot key. Only groups of several spellings go on.
     key = ["box_id", "reading"]
     pairs_of = rows.groupBy(*key).agg(F.min("text").alias("x"), F.max("text").alias("y")).where("x <> y").select(*key)

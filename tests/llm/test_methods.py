@@ -189,6 +189,31 @@ def test_trie_gives_the_frequent_spelling():
     assert c("кoлeco wh​eel") == "колесо wheel"
 
 
+def test_the_automaton_pays_for_foreign_letters():
+    c = reading.Canonical([("wheel", 90), ("Ꮃheel", 1), ("steel", 80), ("wbeel", 70), ("колесо", 50)])
+    # A look-alike that no table lists, within a word: the word that it disguises, for FOREIGN's cost.
+    assert c("Ꮃheel whеel wheǝl ꓪheel") == "wheel wheel wheǝl wheel"
+    # Two of them are beyond the budget, and a word of another alphabet is no disguise.
+    assert c("ᏔᎻeel ᎳᎻᎬ колесо") == "ᏔᎻeel ᎳᎻᎬ колесо"
+    trie = reading.Trie({"wheel": 90, "steel": 80})
+    assert trie.canonical("xheel") is None and trie.canonical("xheel", frozenset([0])) == "wheel" and trie.canonical("xyeel", frozenset([0, 1])) is None
+
+
+def test_unlisted_look_alikes_are_found_through_the_vocabulary(spark, monkeypatch):
+    rows = [(k, k, "s", "p", f"c{k}", 0, "The oiled wheel turns") for k in range(5)]
+    rows += [(10, 10, "s", "p", "b", 0, "The oiled wheel"), (11, 11, "s", "p", "b", 0, "The oiled Ꮃheel"), (12, 12, "s", "p", "b", 0, "The oiled wheᎬl"), (13, 13, "s", "p", "b", 0, "The oiled ϣheel")]
+    lines = spark.createDataFrame(rows, LINES)
+    none = spark.createDataFrame([], "functions array<struct<supports: array<struct<support_id: long, kind: string, reference_id: string, quote: string>>>>")
+    drafts = spark.createDataFrame([([None, ([(9, "b", "oiled ꓪheel")],)],)], "functional_drafts array<struct<supports: array<struct<support_id: long, item_id: string, quote: string>>>>")
+    got = {tuple(r) for r in reading.same_reading(lines, none, drafts).collect()}
+    assert {("line", a, b) for a in range(10, 14) for b in range(a + 1, 14)} | {("draft", 9, x) for x in range(10, 14)} == got
+    for words in (0, 1, 3):
+        monkeypatch.setattr(reading, "VOCABULARY_WORDS", words)
+        assert {tuple(r) for r in reading.same_reading(lines, none, drafts).collect()} == got
+    monkeypatch.setattr(reading, "HOT_ROWS", 2)
+    assert {tuple(r) for r in reading.same_reading(lines, none, drafts).collect()} == got
+
+
 def test_words_of_one_letter_keep_their_frequent_spelling(spark):
     texts = spark.createDataFrame([("рама а",), ("рама а",), ("рама a",)], "text string")
     vocabulary, rest = reading.canonical_vocabulary(texts)
