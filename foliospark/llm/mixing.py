@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.tokens import VOCABULARY, token_count
-from foliospark.session import by_key, checkpoint
+from foliospark.session import checkpoint, spread
 
 #: Documents that fly together. A block is one task's group; of a hot source there are as many blocks as it needs.
 BLOCK = 20_000
@@ -127,16 +127,17 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
     """(doc_id, source, n_tokens, times) of every document that is used, ``times`` at most max_passes.
 
     Documents of sources that are not in ``targets``, or of none, take no part; nor do texts without tokens (null and
-    empty). Rows with the same doc_id count once. The draw depends on ``seed`` and the ids alone.
+    empty), or rows without doc_id. Of rows with the same doc_id one counts, that of the least source and size. The draw depends on ``seed`` and the ids alone.
     """
     wanted = targets.groupBy("source").agg(F.max("max_passes").alias("most"))
+    # Texts are counted where they are; only ids and sizes move.
     sizes = (
-        by_key(documents.select("doc_id", "source", "text"), "doc_id")
-        .dropDuplicates(["doc_id"])
-        .join(F.broadcast(wanted), "source", "left_semi")
-        .where("length(text) > 0")
+        spread(documents.select("doc_id", "source", "text").where("doc_id is not null and length(text) > 0").join(F.broadcast(wanted), "source", "left_semi"))
         .select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("n_tokens"))
         .where("n_tokens > 0")
+        .groupBy("doc_id")
+        .agg(F.min(F.struct("source", "n_tokens")).alias("r"))
+        .select("doc_id", "r.*")
     )
     sizes = checkpoint(sizes)
     needs = source_needs(sizes, targets, total_tokens).select("source", "n_docs", "passes")
