@@ -1,7 +1,8 @@
 """The most similar vectors of every vector.
 
 Method: adaptive scan of dimensions in an inverted file. Vectors of a model space are made unit length, turned by a
-random rotation and put into lists around centroids. Within a probed list, distances grow over blocks of columns; after
+random rotation and put into lists around centroids, of two levels in a large space, so that a list stays as long as it
+is in a small one. Within a probed list, distances grow over blocks of columns; after
 each block a hypothesis test compares the partial distance, scaled to all dimensions, with the query's tenth-best
 distance so far and abandons candidates that are too far off with high probability. Survivors are compared in full.
 """
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.operators.skew import join_by_size
@@ -21,8 +22,14 @@ from foliospark.session import by_key, checkpoint, spread
 SPACE = ["entity_type", "modality", "provider", "model", "version", "dimension", "preprocessing_hash"]
 
 K = 10
-#: Vectors of a space on which its centroids are fitted, at most. Every vector is indexed.
+#: Vectors of a space, and of each of its first lists, on which centroids are fitted, at most. Every vector is indexed.
 SAMPLE = 20_000
+#: Vectors that a centroid is fitted on, at least.
+FIT_ROWS = 8
+#: First lists whose parts a vector is compared with, where a space has lists of two levels.
+FIRST_PROBES = 16
+#: Values of all centroids together that are sent to all workers, at most: beyond, lists grow longer than LIST_ROWS.
+CENTROID_VALUES = 64_000_000
 #: Rows that a list should have.
 LIST_ROWS = 200
 #: Lists that a query looks into.
@@ -83,44 +90,123 @@ def _matrix(values) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.float32).reshape(len(values), -1)
 
 
-def _fit(list_rows: int):
+def _k_means(x: np.ndarray, k: int) -> np.ndarray:
+    """Spherical k-means; a centroid that loses all its rows stays as it was."""
+    c = x[np.random.default_rng(k).permutation(len(x))[:k]]
+    for _ in range(8):
+        near = np.concatenate([(part @ c.T).argmax(axis=1) for part in np.array_split(x, len(x) // 2000 + 1)])
+        order = np.argsort(near, kind="stable")
+        starts = np.searchsorted(near[order], np.arange(k))
+        full = np.diff(np.append(starts, len(x))) > 0
+        sums = c.copy()
+        sums[full] = np.add.reduceat(x[order], starts[full], axis=0)
+        c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    return c.astype(np.float32)
+
+
+def _fit(list_rows: float):
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Spherical k-means on a bounded sample of a space."""
+        """Centroids on a bounded sample of a space, or of one of its first lists; n: the rows that it stands for."""
         pdf = pdf.sort_values("vec_id", ignore_index=True)
         x = _matrix(pdf["v"])
-        k = int(max(1, min(pdf["n"].iloc[0] // list_rows, len(x) // 8)))
-        c = x[np.random.default_rng(k).permutation(len(x))[:k]]
-        for _ in range(8):
-            near = np.concatenate([(part @ c.T).argmax(axis=1) for part in np.array_split(x, len(x) // 2000 + 1)])
-            order = np.argsort(near, kind="stable")
-            starts = np.searchsorted(near[order], np.arange(k))
-            full = np.diff(np.append(starts, len(x))) > 0
-            sums = c.copy()
-            sums[full] = np.add.reduceat(x[order], starts[full], axis=0)
-            c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-        return pd.DataFrame({"space": pdf["space"].iloc[0], "list": np.arange(k, dtype=np.int32), "c": [r.tobytes() for r in c.astype(np.float32)]})
+        k = int(max(1, min(pdf["n"].iloc[0] // list_rows, len(x) // FIT_ROWS)))
+        c = _k_means(x, k)
+        return pd.DataFrame({"space": pdf["space"].iloc[0], "first": pdf["first"].iloc[0], "list": np.arange(k, dtype=np.int32), "c": [r.tobytes() for r in c]})
 
     return centroids
 
 
+class Lists:
+    """The lists of a space: first centroids, and parts of each first list where there are two levels."""
+
+    def __init__(self, first: np.ndarray, parts: list[np.ndarray] | None = None):
+        self.first, self.parts = first, parts
+        self.offsets = np.cumsum([0, *map(len, parts)]) if parts else np.arange(len(first) + 1)
+        self.centroids = np.concatenate(parts) if parts else first
+
+    def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The ``probes`` nearest lists of each vector, the nearest first; of two levels those in the nearest first lists.
+        -1 where a vector has fewer."""
+        s = x @ self.first.T
+        if not self.parts:
+            return _top(s, min(probes, s.shape[1]))
+        firsts = _top(s, min(FIRST_PROBES, s.shape[1]))
+        rows, lists, scores = [], [], []
+        for f in np.unique(firsts):
+            mine = np.flatnonzero((firsts == f).any(axis=1))
+            score = x[mine] @ self.parts[f].T
+            best = _top(score, min(probes, score.shape[1]))
+            rows.append(np.repeat(mine, best.shape[1])), lists.append((best + self.offsets[f]).ravel())
+            scores.append(np.take_along_axis(score, best, axis=1).ravel())
+        rows, lists, scores = map(np.concatenate, (rows, lists, scores))
+        order = np.lexsort((lists, -scores, rows))
+        rows, lists = rows[order], lists[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(x)))[rows]
+        out = np.full((len(x), probes), -1, np.int64)
+        keep = rank < probes
+        out[rows[keep], rank[keep]] = lists[keep]
+        return out
+
+
+def _top(s: np.ndarray, m: int) -> np.ndarray:
+    """The places of the m greatest values of each row, the greatest first."""
+    near = np.argpartition(-s, m - 1, axis=1)[:, :m]
+    return np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, axis=1), axis=1, kind="stable"), axis=1)
+
+
 def _assign(shared, probes: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spaces = shared.value
         for b in batches:
             out = []
             for space, part in b.groupby("space"):
-                c = spaces[int(space)]
-                x = _matrix(part["v"])
-                s = x @ c.T
-                m = min(probes, len(c))
-                near = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, axis=1), axis=1, kind="stable"), axis=1)
-                out.append(part.assign(list=near[:, 0].astype(np.int32), probes=list(near.astype(np.int32))))
+                near = spaces[int(space)].nearest(_matrix(part["v"]), probes)
+                out.append(part.assign(list=near[:, 0].astype(np.int32), probes=[r[r >= 0] for r in near.astype(np.int32)]))
             yield pd.concat(out) if out else b.assign(list=np.int32(0), probes=None)
 
     return run
 
 
+def fitted_lists(kept: DataFrame, counts: DataFrame, sample: int = SAMPLE, list_rows: int = LIST_ROWS) -> dict[int, Lists]:
+    """The lists of each space, so many that one has about ``list_rows`` rows.
+
+    One level of centroids is fitted on at most ``sample`` vectors of a space, which gives sample / FIT_ROWS lists. A space
+    that needs more gets a second level: each first list's parts are fitted on at most as many of its own vectors, each
+    list in a task of its own, so that the number of lists grows with the space. All centroids are sent to all workers,
+    CENTROID_VALUES values at most."""
+    spark = kept.sparkSession
+    sizes = {r["space"]: (r["n"], r["dims"]) for r in counts.collect()}  # a row a space
+
+    def share(name: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1_000_000)) < F.lit(0.95 * sample * 1_000_000) / F.col(name)
+
+    shape = "space long, first int, list int, c binary"
+    drawn = kept.select("space", "vec_id", "v", F.lit(0).alias("first")).join(F.broadcast(counts), "space").where(share("n"))
+    found = drawn.groupBy("space").applyInPandas(_fit(list_rows), shape).toPandas()  # sample / FIT_ROWS rows a space
+    spaces = {int(s): Lists(_matrix(p.sort_values("list")["c"])) for s, p in found.groupby("space")}
+    for space, (_, dims) in sizes.items():
+        # A space so small that the draw missed it has one list around its first axis.
+        spaces.setdefault(space, Lists(np.eye(1, dims, dtype=np.float32)))
+    large = [s for s, (n, _) in sizes.items() if n > 2 * list_rows * len(spaces[s].first)]
+    if not large:
+        return spaces
+    wanted = sum(sizes[s][0] / list_rows * sizes[s][1] for s in large)
+    longer = list_rows * max(1.0, wanted / CENTROID_VALUES)
+    shared = spark.sparkContext.broadcast({s: spaces[s] for s in large})
+    rows = spread(kept.where(F.col("space").isin(*large)).select("space", "vec_id", "v")).mapInPandas(_assign(shared, 1), "space long, vec_id long, v binary, list int, probes array<int>")
+    rows = checkpoint(rows.select("space", "vec_id", "v", F.col("list").alias("first")))
+    members = checkpoint(rows.groupBy("space", "first").agg(F.count("*").alias("n")))
+    # FIT_ROWS vectors a centroid are enough, and no more than a sample of a list.
+    some = F.least(F.lit(0.95 * sample) / F.col("n"), F.lit(4.0 * FIT_ROWS / longer))
+    chosen = rows.join(F.broadcast(members), ["space", "first"]).where(F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(1_000_000)) < F.lit(1_000_000) * some)
+    parts = chosen.groupBy("space", "first").applyInPandas(_fit(longer), shape).toPandas()
+    for space in large:
+        mine = {int(f): _matrix(p.sort_values("list")["c"]) for f, p in parts[parts["space"] == space].groupby("first")}
+        first = spaces[space].first
+        spaces[space] = Lists(first, [mine.get(f, first[f : f + 1]) for f in range(len(first))])
+    return spaces
+
+
 def _blocks_of_lists(c: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
     """Splits lists into blocks of neighbours that have about ``rows`` rows: halves along the widest direction, again and again."""
     block, todo, n = np.zeros(len(c), np.int32), [np.arange(len(c))], 0
@@ -251,25 +337,16 @@ def nearest(vectors: DataFrame, k: int = K, probes: int = PROBES, sample: int =
         .select("vec_id", F.explode("others").alias("other"), F.lit(0.0).alias("d"))
     )
 
-    counts = kept.groupBy("space").agg(F.count("*").alias("n"))
-    share = F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1_000_000)) < F.lit(0.95 * sample * 1_000_000) / F.col("n")
-    drawn = kept.select("space", "vec_id", "v").join(F.broadcast(counts), "space").where(share)
-    fitted = drawn.groupBy("space").applyInPandas(_fit(list_rows), "space long, list int, c binary")
-    # Bounded: at most sample / 8 centroids a space.
-    spaces = {s: _matrix(p.sort_values("list")["c"]) for s, p in fitted.toPandas().groupby("space")}
-    # A space so small that the draw missed it has one list around its first axis.
-    for r in counts.collect():
-        if r["space"] not in spaces:
-            dims = len(kept.where(F.col("space") == r["space"]).first()["v"]) // 4
-            spaces[r["space"]] = np.eye(1, dims, dtype=np.float32)
+    counts = checkpoint(kept.groupBy("space").agg(F.count("*").alias("n"), F.max(F.length("v") / 4).cast("int").alias("dims")))
+    spaces = fitted_lists(kept, counts, sample, list_rows)
     shared = spark.sparkContext.broadcast(spaces)
     indexed = checkpoint(
         spread(kept.select("space", "vec_id", "v")).mapInPandas(_assign(shared, probes), "space long, vec_id long, v binary, list int, probes array<int>")
     )
-    weight: dict[int, np.ndarray] = {s: np.zeros(len(c)) for s, c in spaces.items()}
+    weight: dict[int, np.ndarray] = {s: np.zeros(len(c.centroids)) for s, c in spaces.items()}
     for r in indexed.groupBy("space", "list").count().collect():  # a row a list
         weight[r["space"]][r["list"]] = r["count"]
-    blocks = [(s, x, int(b)) for s, c in spaces.items() for x, b in enumerate(_blocks_of_lists(c, weight[s], cell_rows))]
+    blocks = [(s, x, int(b)) for s, c in spaces.items() for x, b in enumerate(_blocks_of_lists(c.centroids, weight[s], cell_rows))]
     block_of = F.broadcast(spark.createDataFrame(blocks, "space long, list int, block int")) if blocks else None
     if block_of is None:
         return copies
