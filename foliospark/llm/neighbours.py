@@ -35,7 +35,7 @@ LIST_ROWS = 200
 #: Lists that a query looks into.
 PROBES = 48
 #: Members, and queries, of one task's block of lists.
-CELL_ROWS = 10_000
+CELL_ROWS = 25_000
 #: Strictness of the test: a candidate is abandoned if its scaled partial distance exceeds (1 + EPS0 / sqrt(dims)) times
 #: the bound.
 EPS0 = 2.1
@@ -289,22 +289,24 @@ def _search(k: int):
         q, qid = _matrix(query["v"]), query["vec_id"].to_numpy()
         best = _Best(len(q), k + 1)
         of = {int(x): np.flatnonzero(mlist == x) for x in np.unique(mlist)}
-        pairs = [(order, int(x), i) for i, ps in enumerate(query["probes"]) for order, x in enumerate(ps) if int(x) in of]
         # Each query's nearest lists first: the bounds are tight when the farther ones are scanned.
-        pairs.sort()
-        at = 0
-        while at < len(pairs):
-            order, x, _ = pairs[at]
-            to = at
-            while to < len(pairs) and pairs[to][:2] == (order, x):
-                to += 1
-            asking, mine = np.array([p[2] for p in pairs[at:to]]), of[x]
+        many = np.array([len(p) for p in query["probes"]])
+        lists = np.concatenate([np.asarray(p, np.int32) for p in query["probes"]])
+        asks = np.repeat(np.arange(len(query)), many)
+        order = np.arange(len(asks)) - np.repeat(np.cumsum(many) - many, many)
+        here = np.isin(lists, np.array(list(of), np.int32))
+        lists, asks, order = lists[here], asks[here], order[here]
+        at = np.lexsort((asks, lists, order))
+        lists, asks, order = lists[at], asks[at], order[at]
+        cuts = np.flatnonzero((np.diff(lists) != 0) | (np.diff(order) != 0)) + 1
+        for asking in np.split(np.arange(len(asks)), cuts) if len(asks) else ():
+            mine = of[int(lists[asking[0]])]
+            asking = asks[asking]
             for part in np.array_split(mine, len(mine) // 2000 + 1):
                 for some in np.array_split(asking, len(asking) // 2000 + 1):
                     r, c, d, _ = scan_list(q[some], m[part], best.d[some, k])
                     if len(r):
                         best.add(some[r], mid[part[c]], np.round(d, PLACES))
-            at = to
         ok = (best.id >= 0) & (best.id != qid[:, None])
         r, c = np.nonzero(ok)
         return pd.DataFrame({"vec_id": qid[r], "other": best.id[r, c], "d": best.d[r, c].astype(np.float64)})
