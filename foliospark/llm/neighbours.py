@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.operators.skew import join_by_size
-from foliospark.session import by_key, checkpoint, spread
+from foliospark.session import bounded_broadcast, by_key, checkpoint, spread, written
 
 SPACE = ["entity_type", "modality", "provider", "model", "version", "dimension", "preprocessing_hash"]
 
@@ -225,6 +225,41 @@ def _blocks_of_lists(c: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray
     return block
 
 
+def _by_block(probes: list, block_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(vector, block, its probes in that block, the nearest first) of every block that a vector asks."""
+    lists = np.concatenate([np.asarray(p, np.int32) for p in probes])
+    rows = np.repeat(np.arange(len(probes)), [len(p) for p in probes])
+    blocks = block_of[lists]
+    order = np.lexsort((np.arange(len(rows)), blocks, rows))
+    rows, blocks, lists = rows[order], blocks[order], lists[order]
+    cuts = np.flatnonzero((np.diff(rows) != 0) | (np.diff(blocks) != 0)) + 1
+    firsts = np.concatenate([[0], cuts])
+    return rows[firsts], blocks[firsts], np.split(lists, cuts)
+
+
+def _asking(shared):
+    """Rows of vectors once for every block that they ask."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for space, part in b.groupby("space"):
+                rows, blocks, probes = _by_block(part["probes"].tolist(), shared.value[int(space)])
+                yield part.drop(columns="probes").iloc[rows].assign(block=blocks.astype(np.int32), probes=probes)
+
+    return run
+
+
+def _asked_counts(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for space, part in b.groupby("space"):
+                _, blocks, _ = _by_block(part["probes"].tolist(), shared.value[int(space)])
+                block, n = np.unique(blocks, return_counts=True)
+                yield pd.DataFrame({"space": space, "block": block.astype(np.int32), "q": n})
+
+    return run
+
+
 class _Best:
     """The k nearest so far of each query of a block."""
 
@@ -325,49 +360,48 @@ def nearest(vectors: DataFrame, k: int = K, probes: int = PROBES, sample: int =
     as neighbours, so that no group of copies, however large, is compared with itself. A few neighbours may be missed.
     """
     spark = vectors.sparkSession
-    rows = checkpoint(usable_vectors(vectors).withColumn("copy", F.sha2("v", 256)))
-    same = Window.partitionBy("space", "copy").orderBy("vec_id")
-    kept = checkpoint(rows.withColumn("rank", F.row_number().over(same)).where(F.col("rank") <= k + 1))
-    many = checkpoint(
-        rows.groupBy("space", "copy").agg(F.count("*").alias("n")).where(F.col("n") > k + 1)
-    )
-    others = kept.where(F.col("rank") <= k).join(many.select("space", "copy"), ["space", "copy"], "left_semi")
-    lists_of = others.groupBy("space", "copy").agg(F.collect_list("vec_id").alias("others"))
-    surplus = rows.join(kept.select("vec_id"), "vec_id", "left_anti").select("space", "copy", "vec_id")
-    copies = (
-        join_by_size(surplus, checkpoint(lists_of.join(many, ["space", "copy"])), ["space", "copy"])
-        .select("vec_id", F.explode("others").alias("other"), F.lit(0.0).alias("d"))
-    )
+    same = ["space", "copy_a", "copy_b"]
+    digests = {"copy_a": F.xxhash64("v"), "copy_b": F.xxhash64(F.lit(1), F.reverse(F.hex("v")))}
+    rows = written(usable_vectors(vectors).withColumns(digests))
+    ids = rows.select(*same, "vec_id")
+    many = checkpoint(ids.groupBy(*same).agg(F.count("*").alias("n")).where(F.col("n") > k + 1))
+    none = spark.createDataFrame([], "vec_id long, other long, d double")
+    if many.isEmpty():
+        kept, copies = rows.select("space", "vec_id", "v"), none
+    else:
+        alike = checkpoint(join_by_size(ids, many, same, how="left_semi"))
+        # The first of each group: a partition hands on as many as are kept, however large the group.
+        first = alike.withColumn("rank", F.row_number().over(Window.partitionBy(*same).orderBy("vec_id"))).where(F.col("rank") <= k + 1)
+        first = checkpoint(first)
+        surplus = checkpoint(alike.join(first.select("vec_id"), "vec_id", "left_anti"))
+        lists_of = first.where(F.col("rank") <= k).groupBy(*same).agg(F.collect_list("vec_id").alias("others"))
+        copies = (
+            join_by_size(surplus, checkpoint(lists_of.join(many, same)), same)
+            .select("vec_id", F.explode("others").alias("other"), F.lit(0.0).alias("d"))
+        )
+        kept = rows.select("space", "vec_id", "v").join(bounded_broadcast(surplus.select("vec_id")), "vec_id", "left_anti").select("space", "vec_id", "v")
 
     counts = checkpoint(kept.groupBy("space").agg(F.count("*").alias("n"), F.max(F.length("v") / 4).cast("int").alias("dims")))
     spaces = fitted_lists(kept, counts, sample, list_rows)
     shared = spark.sparkContext.broadcast(spaces)
-    indexed = checkpoint(
+    indexed = written(
         spread(kept.select("space", "vec_id", "v")).mapInPandas(_assign(shared, probes), "space long, vec_id long, v binary, list int, probes array<int>")
     )
     weight: dict[int, np.ndarray] = {s: np.zeros(len(c.centroids)) for s, c in spaces.items()}
     for r in indexed.groupBy("space", "list").count().collect():  # a row a list
         weight[r["space"]][r["list"]] = r["count"]
-    blocks = [(s, x, int(b)) for s, c in spaces.items() for x, b in enumerate(_blocks_of_lists(c.centroids, weight[s], cell_rows))]
-    block_of = F.broadcast(spark.createDataFrame(blocks, "space long, list int, block int")) if blocks else None
-    if block_of is None:
+    blocks = {s: _blocks_of_lists(c.centroids, weight[s], cell_rows) for s, c in spaces.items()}
+    if not blocks:
         return copies
-    members = indexed.join(block_of, ["space", "list"])
-    asks = (
-        indexed.select("space", "vec_id", F.posexplode("probes").alias("order", "list"))
-        .join(block_of, ["space", "list"])
-        .groupBy("space", "vec_id", "block")
-        .agg(F.array_sort(F.collect_list(F.struct("order", "list"))).alias("p"))
-        .select("space", "vec_id", "block", F.col("p.list").alias("probes"))
-    )
-    asks = checkpoint(asks)
-    loads = (
-        members.groupBy("space", "block")
-        .agg(F.count("*").alias("m"))
-        .join(asks.groupBy("space", "block").agg(F.count("*").alias("q")), ["space", "block"])
-        .select("space", "block", F.ceil(F.col("m") / cell_rows).alias("m_parts"), F.ceil(F.col("q") / (2 * cell_rows)).alias("q_parts"))
-    )
+    rows_of = spark.createDataFrame([(s, int(b), int(weight[s][of == b].sum())) for s, of in blocks.items() for b in np.unique(of)], "space long, block int, m long")
+    of_lists = spark.sparkContext.broadcast(blocks)  # a number a list
+    q = indexed.select("space", "probes").mapInPandas(_asked_counts(of_lists), "space long, block int, q long").groupBy("space", "block").agg(F.sum("q").alias("q"))
+    loads = rows_of.join(q, ["space", "block"]).select("space", "block", F.ceil(F.col("m") / cell_rows).alias("m_parts"), F.ceil(F.col("q") / (2 * cell_rows)).alias("q_parts"))
     loads = F.broadcast(checkpoint(loads))  # a row a block, a block being some thousands of rows
+    block_of = F.broadcast(spark.createDataFrame([(s, x, int(b)) for s, of in blocks.items() for x, b in enumerate(of)], "space long, list int, block int"))
+    members = indexed.join(block_of, ["space", "list"])
+    # A vector goes to each block that it asks with its lists there; nothing else of it moves.
+    asks = indexed.mapInPandas(_asking(of_lists), "space long, vec_id long, v binary, list int, block int, probes array<int>")
     part = F.xxhash64(F.lit(5), "vec_id")
     cells = (
         members.join(loads, ["space", "block"])
@@ -376,8 +410,7 @@ def nearest(vectors: DataFrame, k: int = K, probes: int = PROBES, sample: int =
             F.lit(False).alias("asks"), "vec_id", "v", "list", F.lit(None).cast("array<int>").alias("probes"),
         )
         .unionByName(
-            asks.join(indexed.select("vec_id", "v", "list"), "vec_id")
-            .join(loads, ["space", "block"])
+            asks.join(loads, ["space", "block"])
             .select(
                 "space", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m_parts") - 1)).alias("mp"), F.pmod(part, "q_parts").alias("qp"),
                 F.lit(True).alias("asks"), "vec_id", "v", "list", "probes",
