@@ -33,7 +33,7 @@ CENTROID_VALUES = 64_000_000
 #: Rows that a list should have.
 LIST_ROWS = 200
 #: Lists that a query looks into.
-PROBES = 48
+PROBES = 80
 #: Members, and queries, of one task's block of lists.
 CELL_ROWS = 25_000
 #: Strictness of the test: a candidate is abandoned if its scaled partial distance exceeds (1 + EPS0 / sqrt(dims)) times

@@ -85,7 +85,20 @@ QUERIES = {
     "p8_shared": p8_shared,
     "p8_lines": p8_lines,
 }
+_SPANS = """
+w as (select doc_id, unnest(generate_series(1, length(text) - 149)) i, text from documents where length(text) >= 150),
+h as (select distinct doc_id, i - 1 s, substr(text, i, 150) k from w),
+m as (select k from h group by k having count(distinct doc_id) > 1),
+c as (select distinct doc_id, s from h join m using (k)),
+g as (select doc_id, s, case when s - lag(s) over (partition by doc_id order by s) <= 150 then 0 else 1 end fresh from c),
+n as (select doc_id, s, sum(fresh) over (partition by doc_id order by s) no from g),
+f as (select doc_id, min(s) start_char, max(s) + 150 end_char from n group by doc_id, no)
+"""
+
 SQL: dict[str, str] = {
+    "p8_found": f"with {_SPANS} select doc_id, start_char, end_char from f",
+    "p8_shared": f"""with {_SPANS}, t as (select doc_id, max(coalesce(length(text), 0))::bigint n_chars from documents group by 1), s as (select doc_id, sum(end_char - start_char)::bigint c from f group by 1)
+select t.doc_id, n_chars, coalesce(c, 0) shared_chars, case when n_chars > 0 then coalesce(c, 0) / n_chars else 0.0 end "share" from t left join s using (doc_id)""",
     "p8_lines": r"""
 with t as (select doc_id, text, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) no from documents where length(text) > 0),
 l as (select doc_id, line, coalesce(sum(length(line) + 1) over (partition by doc_id order by no rows between unbounded preceding and 1 preceding), 0)::bigint start_char from t),

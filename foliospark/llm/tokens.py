@@ -10,15 +10,17 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.session import spread
 
-#: Where the vocabulary lies; a parameter of every operator here.
+#: Where the vocabulary lies on the driver's machine; a parameter of every operator here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 #: Fixed value: the vocabulary's rule for cutting a text into pieces, which merges never cross.
@@ -41,9 +43,9 @@ def byte_letters() -> list[str]:
 class SegmentTreeBpe:
     """Encoder of one vocabulary."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, vocabulary: str):
+        """``vocabulary``: the text of a vocabulary file."""
+        model = json.loads(vocabulary)["model"]
         ids = model["vocab"]
         self.byte_ids = [ids[c] for c in byte_letters()]
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
@@ -118,16 +120,33 @@ class SegmentTreeBpe:
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> SegmentTreeBpe:
-    """The encoder of a vocabulary file, once per Python worker."""
-    return SegmentTreeBpe(path)
+    """The encoder of a vocabulary file."""
+    return _encoder_of(Path(path).read_text(encoding="utf-8"))
+
+
+@lru_cache(maxsize=4)
+def _encoder_of(vocabulary: str) -> SegmentTreeBpe:
+    """An encoder, once per Python worker."""
+    return SegmentTreeBpe(vocabulary)
+
+
+@lru_cache(maxsize=8)
+def _shared(application: str, path: str) -> Broadcast:
+    """A vocabulary file's text, read where the driver is and sent to all workers once an application: a few megabytes."""
+    return SparkSession.active().sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
+
+
+def _vocabulary(path: str) -> Broadcast:
+    return _shared(SparkSession.active().sparkContext.applicationId, path)
 
 
 def token_ids(text: Column, vocabulary: str = VOCABULARY) -> Column:
     """ARRAY<INT> of the ids of ``text``, without special tokens. Null, like an empty text, gives an empty array."""
+    shared = _vocabulary(vocabulary)
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        e = encoder(vocabulary)
+        e = _encoder_of(shared.value)
         for texts in batches:
             yield pd.Series([e.encode(x) for x in texts], dtype=object)
 
@@ -136,10 +155,11 @@ def token_ids(text: Column, vocabulary: str = VOCABULARY) -> Column:
 
 def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
     """Number of ids of ``text``; 0 for null and empty texts. Only the number leaves the Python worker."""
+    shared = _vocabulary(vocabulary)
 
     @F.pandas_udf("bigint")
     def n(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        e = encoder(vocabulary)
+        e = _encoder_of(shared.value)
         for texts in batches:
             yield pd.Series([len(e.encode(x)) for x in texts], dtype="int64")
 
