@@ -138,7 +138,14 @@ QUERIES = {f.__name__: f for f in (
     q_tokens, q_tokens_nfkc, q_word_tokens, q_bm25_topk, q_bm25_filtered, q_cfr_extract, q_cfr_controlled, q_concept_canon, q_claims,
 )}
 
+_LIST = f"""list_concat(flatten(list_transform(regexp_extract_all(lower(text), '[{_CJK}]+'), lambda r: list_concat(string_split(r, ''), list_transform(generate_series(1, length(r) - 1), lambda i: substr(r, i, 2))))), regexp_extract_all(lower(text), '{LATIN_WORD}'))"""
+
 SQL = {
+    "q_claims": f"""with {_VOCAB}, k as (select doc_id, list_sort(list_distinct(list(concept))) known from found group by 1),
+      t as (select doc_id, list_slice(list_filter({_LIST}, lambda x: length(x) >= 2), 1, 12) w from documents),
+      l as (select doc_id, list_concat(coalesce(known, []), coalesce(w, [])) l from t left join k using (doc_id))
+      select doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') claims from l""",
+    "q_word_tokens": r"""select distinct line_id, coalesce(len(regexp_extract_all("text", '[\x{3400}-\x{9FFF}\x{20000}-\x{3134F}]|[A-Za-z0-9]+|[^\s\v\x{85}\p{Z}]')), -1) n_tokens from ocr_lines""",
     "q_tokens": "with " + _TOKENS.replace("{docs}", "documents") + " select term, sum(tf)::bigint tf, count(*) df from posts group by 1",
     "q_bm25_topk": _BM25.replace("{docs}", "select * from documents") + 'select query_id, doc_id, "rank", score from top where "rank" <= 10',
     "q_bm25_filtered": _BM25.replace("{docs}", "select * from documents where source = 'transcription'")

@@ -38,10 +38,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a new one."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. Only on one machine (tests) a new one takes its place where
+    that is unset; on a cluster a local folder would be lost with its machine, so that it is an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="foliospark-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliospark-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -79,13 +83,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+#: Bytes of files, compressed as they are, that one partition behind by_key should hold.
+PARTITION_BYTES = 48 * 1024 * 1024
+
+
+def _file_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a plan reads as far as its leaves know them; other leaves (checkpoints) count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return sum(n for n in sizes if n < 1 << 60)
+
+
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` hashed by keys into a fixed number of partitions, for work in Python behind the shuffle: adaptive execution
     would join small partitions by their bytes, though their work is long. The number is that of
-    ``spark.sql.shuffle.partitions``, and of cores at least."""
+    ``spark.sql.shuffle.partitions``, of cores, or of PARTITION_BYTES in the files that are read, whichever is most."""
     spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *keys)
+    cores, usual = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(cores, usual, _file_bytes(df) // PARTITION_BYTES), *keys)
 
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
