@@ -17,7 +17,8 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -344,6 +345,18 @@ def with_rest(df: DataFrame, rest: DataFrame | None) -> DataFrame:
     return df.join(found, "text", "left").select(*df.columns, "rest")
 
 
+#: The last vocabulary that the driver sent, with its application: several tables are brought to one form by it.
+_last: list = [None, None, None, ""]
+
+
+def _sent(spark: SparkSession, vocabulary: list[tuple[str, int]]) -> tuple[Broadcast, str]:
+    """A vocabulary at the workers and its key there: sent once, so that a worker makes its trie once."""
+    application = spark.sparkContext.applicationId
+    if _last[0] != application or _last[1] is not vocabulary:
+        _last[:] = [application, vocabulary, spark.sparkContext.broadcast(vocabulary), uuid.uuid4().hex]
+    return _last[2], _last[3]
+
+
 def canonical_forms(df: DataFrame, vocabulary: list[tuple[str, int]], rest: DataFrame | None = None) -> DataFrame:
     """``df`` with form, its column ``text`` in canonical spellings, and reading, the key by which forms are compared
     and searched. Each row passes through Python once. Both arguments are those of canonical_vocabulary.
@@ -351,7 +364,7 @@ def canonical_forms(df: DataFrame, vocabulary: list[tuple[str, int]], rest: Data
     The key is what the form reads as: the same for texts that read the same, whatever the vocabulary's size. Null stays
     null, an empty or invisible text gives empty ones.
     """
-    shared, key = df.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
+    shared, key = _sent(df.sparkSession, vocabulary)
     fields = T.StructType([*df.schema.fields, T.StructField("form", T.StringType()), T.StructField("reading", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
