@@ -10,6 +10,7 @@ compared by what their canonical forms read as.
 
 from __future__ import annotations
 
+import gc
 import unicodedata
 import uuid
 from collections.abc import Iterator
@@ -145,11 +146,22 @@ class Trie:
     """
 
     def __init__(self, words: dict[str, int]):
+        # The collector would look at the growing trie again and again, though nothing in it can be freed.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            self._build(words)
+        finally:
+            if collects:
+                gc.freeze()
+                gc.enable()
+
+    def _build(self, words: dict[str, int]) -> None:
         self.root, map_ = [{}, [], None, -1], table()
         by_letter: dict[int, dict[str, list]] = {}
         for word, weight in words.items():
             node = self.root
-            for c in unicodedata.normalize("NFD", word):
+            for c in word if word.isascii() else unicodedata.normalize("NFD", word):
                 own = by_letter.setdefault(id(node), {})
                 if c not in own:
                     own[c] = child = [{}, [], None, -1]
