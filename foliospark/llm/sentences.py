@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.reading import INVISIBLE, reading
+from foliospark.llm.reading import reading, table
 from foliospark.llm.scans import is_number, is_title, may_be_title, title_key, titles_of_lines
 from foliospark.session import bounded_broadcast, by_key, checkpoint
 
@@ -92,7 +92,7 @@ def _is_month(word: str) -> bool:
     return len(word) >= 3 and any(len(m) == len(word) and sum(x != y for x, y in zip(m, word, strict=True)) == 1 for m in _MONTHS)
 
 
-_UNSEEN_CHARS = frozenset(map(chr, INVISIBLE)) | {c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cf"}
+_UNSEEN_CHARS = frozenset(chr(code) for code, read in table().items() if read is None)
 _UNSEEN = re.compile("[" + re.escape("".join(sorted(_UNSEEN_CHARS))) + "]+")
 #: White space but the ideographic space, which stands for a mark in old Chinese.
 _SPACE = re.compile(r"[^\S\u3000]")
