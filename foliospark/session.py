@@ -88,10 +88,11 @@ PARTITION_BYTES = 48 * 1024 * 1024
 
 
 def _file_bytes(df: DataFrame) -> int:
-    """Bytes of the files that a plan reads as far as its leaves know them; other leaves (checkpoints) count nothing."""
+    """Bytes of the files that a plan reads. Checkpoints count nothing: they carry the estimate of the plan that they were,
+    which joins may have multiplied beyond any use."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    return sum(n for n in sizes if n < 1 << 60)
+    nodes = [leaves.apply(i) for i in range(leaves.size())]
+    return sum(int(x.stats().sizeInBytes()) for x in nodes if x.getClass().getSimpleName() == "LogicalRelation")
 
 
 def by_key(df: DataFrame, *keys: str) -> DataFrame:

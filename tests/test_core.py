@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import geometry as G
 from foliospark.functions import ids, score, text
 from foliospark.operators import bm25, cfr, evidence, integrity, layout, metrics, orphans, review, search, similarity, skew, spatial, vectors
+from foliospark import session
 from foliospark.sources import files, recognition, storage
 
 
@@ -377,6 +378,17 @@ def test_stable_ids_are_uuid5(spark):
     assert value(spark, ids.stable_id("figure", F.lit(None).cast("string"))) is None
 
 
+def test_partitions_follow_the_files_alone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(2000).write.parquet(path)
+    files = spark.read.parquet(path)
+    n = session._file_bytes(files)
+    assert 0 < n < 1 << 20
+    # A checkpoint of a product carries an estimate that no table has.
+    product = session.checkpoint(files.crossJoin(files.toDF("b")).crossJoin(files.toDF("c")).where("id = b and b = c"))
+    assert session._file_bytes(product.join(files, "id")) == n and session.by_key(product, "id").rdd.getNumPartitions() == 4
+
+
 def test_blob_digests(spark):
     df = spark.createDataFrame([(bytearray(b"wheel"),), (bytearray(),)], "b binary")
     assert [r["h"] for r in df.select(ids.blob_sha1(F.col("b")).alias("h")).collect()] == [hashlib.sha1(f"blob {len(b)}\0".encode() + b).hexdigest() for b in (b"wheel", b"")]
