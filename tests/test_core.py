@@ -8,13 +8,14 @@ import struct
 import zlib
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
 from foliospark.functions import ids, score, text
 from foliospark.operators import bm25, cfr, evidence, integrity, layout, metrics, orphans, review, search, similarity, skew, spatial, vectors
-from foliospark import session
+from foliospark import plans, session
 from foliospark.sources import files, recognition, storage
 
 
@@ -133,6 +134,54 @@ def test_weighted_jaccard(spark):
     assert [tuple(r) for r in w.collect()] == [("o", "k", 0.9)]
 
 
+def sets(rng, owners, keys, have):
+    return [(f"o{o}", None if k == 0 else f"k{k}", k % 3, round(rng.choice([0.0, 0.3, 0.7, 0.72, 1.0]), 2)) for o in owners for k in rng.sample(range(keys), have)]
+
+
+@pytest.mark.parametrize("have", [2, 8])
+def test_best_jaccard(spark, monkeypatch, have):
+    """As the join of all pairs, with keys that few or most queries have, null keys, weights of 0, ties and several blocks."""
+    rng = random.Random(have)
+    s = "doc_id string, k string, l int, w double"
+    rows = spark.createDataFrame(sets(rng, range(60), 12 if have == 8 else 40, have) + [("o9x", "elsewhere", 1, 0.5), (None, "k1", 1, 0.9)], s).repartition(3)
+    q = rows.where("doc_id like 'o%0' or doc_id = 'o9x' or doc_id = 'o7'").withColumnRenamed("doc_id", "query_id")
+    columns = ["query_id", "doc_id", "n_query", "n_candidate", "n_matched", "rank"]
+    want = bm25.top_k(similarity.weighted_jaccard(q, rows, ["k", "l"]).where("query_id <> doc_id"), 4).orderBy("query_id", "rank").collect()
+    for values in (similarity.QUERY_VALUES, 5):
+        monkeypatch.setattr(similarity, "QUERY_VALUES", values)
+        got = similarity.best_jaccard(q, rows, ["k", "l"], 4).orderBy("query_id", "rank").collect()
+        assert [[r[c] for c in columns] for r in got] == [[r[c] for c in columns] for r in want]
+        assert [r["score"] for r in got] == pytest.approx([r["score"] for r in want], abs=1e-11)
+    assert similarity.best_jaccard(q.limit(0), rows, ["k", "l"], 4).count() == 0 and similarity.best_jaccard(q, rows.limit(0), ["k", "l"], 4).count() == 0
+
+
+def test_best_sets_by_lists_and_by_table():
+    rng = np.random.default_rng(1)
+    size, terms = 7, 40
+    at = np.sort(rng.permutation(size * terms)[:120])
+    of, weight, begins = at % size, rng.random(120), np.searchsorted(at, np.arange(terms + 1) * size)
+    rows = np.sort(rng.permutation(5 * terms)[:130])
+    mine = (rows % terms, rng.random(130), rows // terms, 5)
+    for a, b in zip(similarity._listed(begins, of, weight, size)(*mine), similarity._tabled(begins, of, weight, size)(*mine), strict=True):
+        assert a == pytest.approx(b, abs=1e-12) and a.shape == (5, size) and a.sum() > 0
+
+
+def test_graph_jaccard_shuffles_no_pairs(spark, tmp_path):
+    """60 queries and 3 000 suppliers have the same 10 edges, so that all 180 000 pairs have common keys."""
+    items = spark.range(3_000).selectExpr("id as l_suppkey", "explode(sequence(1, 10)) as l_linenumber").selectExpr("*", "'A' as l_returnflag", "cast(l_linenumber as double) as l_quantity", "(l_suppkey + l_linenumber) % 7 / 100.0D as l_discount")
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    context = spark.sparkContext
+
+    def stages():
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    last = max(stages(), default=-1)
+    rows = plans.QUERIES["q_graph_jaccard"](spark, str(tmp_path)).collect()
+    assert len(rows) == 600 and 0 < sum(n for k, n in stages().items() if k > last) < 180_000
+
+
 def test_evidence_coverage(spark):
     claims = spark.createDataFrame([("q", "gear"), ("q", "Wheel"), ("q", " "), ("q", None)], "query_id string, claim string")
     ev = spark.createDataFrame([("d", "the gear box", "Verified"), ("d", "wheel", "documented"), ("e", "long unrelated text", "verified"), ("f", "x", None), ("f", None, "verified")], "doc_id string, value string, state string")
